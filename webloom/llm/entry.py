@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, harmonic_packing, html_density, info_sanitize, secret_scan, token_counts, weak_quality
+from . import chat_format, harmonic_packing, html_density, info_sanitize, jaccard_join, secret_scan, string_tiling, suffix_dedup, token_counts, weak_quality
 from .common import ensure_checkpoint_dir, table
 
 
@@ -30,9 +30,17 @@ def op3_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weak_quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.summarize_repeats(table(spark, sf_dir, "documents"))
+
+
+def op5_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return string_tiling.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = r"\### Assistant: </turn> ok"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").cast("long").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     back = chat_format.read_back(chat_format.expand(conversations))
     joined = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
@@ -46,6 +54,10 @@ def op7_info_sanitize(spark: SparkSession, sf_dir: str) -> DataFrame:
     return info_sanitize.find(table(spark, sf_dir, "documents"))
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_components(table(spark, sf_dir, "documents"), size=3, percent=90)
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cache = f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)

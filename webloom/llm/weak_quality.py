@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import U, WORD_BYTES, ByteHash, K2, grams, members, mix, owner, per_document, slices, utf8
 
@@ -30,19 +31,20 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 
 FEATURES = (
-    "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
     "n_lines long, n_upper long, n_lower long, n_bangs long, n_distinct long, n_stops long"
 )
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each batch with one more column, a struct of counts."""
     words = ByteHash(WORD_BYTES)
     lines = ByteHash(members(lambda b: b != 10))
     symbol = members(lambda b: b in SYMBOLS)
     lead = members(lambda b: b & 0xC0 != 0x80)
     upper, lower = members(lambda b: 65 <= b <= 90), members(lambda b: 97 <= b <= 122)
     bang, stop = members(lambda b: b == 33), members(lambda b: b in b".?!")
-    schema = pa.schema([(c.split()[0], pa.int64()) for c in FEATURES.split(", ")])
+    names = [c.split()[0] for c in FEATURES.split(", ")]
 
     def distinct(hashes: np.ndarray, docs: np.ndarray, n: int) -> np.ndarray:
         keys = mix(hashes + docs.astype(np.uint64) * K2)
@@ -69,7 +71,6 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             full = inside[line_end] > inside[line_start]
             line_docs = owner(line_first)[full]
             n_lines = np.bincount(line_docs, minlength=n)
-            ids = part.column("doc_id")
             columns = [
                 n_words,
                 per_document(WORD_BYTES[data] & lead[data], offsets),
@@ -83,22 +84,25 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 distinct(hashes, docs, n),
                 per_document(stop[data[end - 1]] if len(end) else np.zeros(0, bool), first),
             ]
-            yield pa.RecordBatch.from_arrays([ids.cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns)], schema=schema)
+            counts = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
+            yield pa.RecordBatch.from_arrays([*part.columns, counts], names=[*part.schema.names, "counts"])
 
 
-def text_features(docs: DataFrame) -> DataFrame:
-    """One row of counts per document; no shuffle."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_features, FEATURES)
+def text_features(docs: DataFrame, name: str = "features") -> DataFrame:
+    """docs with a struct of counts as column `name`; no shuffle."""
+    schema = T.StructType([*docs.schema.fields, T.StructField(name, T._parse_datatype_string(FEATURES))])
+    return docs.mapInArrow(_features, schema)
 
 
 def _vote(bad, good):
     return F.when(bad, 0).when(good, 1).otherwise(-1)
 
 
-def rules() -> dict[str, F.Column]:
+def rules(name: str = "features") -> dict[str, F.Column]:
     """Named votes over `text_features`; a rule that cannot judge abstains."""
-    n, c = F.col("n_words"), F.col
-    letters, root = c("n_upper") + c("n_lower"), F.sqrt(F.col("n_words").cast("double"))
+    c = lambda x: F.col(name)[x]
+    n = c("n_words")
+    letters, root = c("n_upper") + c("n_lower"), F.sqrt(n.cast("double"))
     return {
         "markup": _vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
         "shouting": _vote((10 * c("n_upper") > 4 * letters) | (5 * c("n_bangs") > n), (10 * c("n_upper") <= 2 * letters) & (20 * c("n_bangs") <= n)),
@@ -142,22 +146,37 @@ def fit(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200, smoothing:
     return posterior
 
 
-def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)."""
-    named = rules()
-    features = text_features(docs).withColumns(
-        {"base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))}
-    )
-    voted = features.withColumn("pattern", sum(((vote + 1) * 3**k for k, vote in enumerate(named.values())), F.lit(0)).cast("int"))
+def base_failed(name: str = "features") -> F.Column:
+    n = F.col(name)["n_words"]
+    return (n < MIN_WORDS) | (100 * F.col(name)["n_repeat_words"] > MAX_REPEAT_PERCENT * n)
+
+
+def posterior(featured: DataFrame, name: str = "features") -> F.Column:
+    """Probability of good as a column over `featured`; the rules are fitted to all its rows that pass the base test."""
+    named = rules(name)
+    pattern = sum(((vote + 1) * 3**k for k, vote in enumerate(named.values())), F.lit(0)).cast("int")
     # at most 3**len(rules) rows, and so small enough for the driver at any corpus size
-    seen = voted.groupBy("pattern").agg(F.sum(F.when(F.col("base_failed"), 0).otherwise(1)).alias("count")).collect()
+    counted = featured.select(pattern.alias("pattern"), F.when(base_failed(name), 0).otherwise(1).alias("one")).groupBy("pattern").agg(F.sum("one").alias("count"))
+    seen = counted.orderBy("pattern").collect()
     codes = np.array([r["pattern"] for r in seen], np.int64)
-    votes = np.stack([codes // 3**k % 3 - 1 for k in range(len(named))], 1) if len(codes) else np.zeros((0, len(named)), np.int64)
-    quality = fit(votes, np.array([r["count"] for r in seen], float))
-    posterior = np.zeros(3 ** len(named))
-    posterior[codes] = np.round(quality, 12)
-    looked_up = F.element_at(F.array(*map(F.lit, posterior[np.sort(codes)].tolist())), F.array_position(F.array(*map(F.lit, np.sort(codes).tolist())), F.col("pattern")).cast("int")) if len(codes) else F.lit(0.0)
-    return voted.withColumn("quality", looked_up).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality",
-    )
+    votes = np.stack([codes // 3**k % 3 - 1 for k in range(len(named))], 1)
+    quality = np.zeros(3 ** len(named))
+    quality[codes] = np.round(fit(votes, np.array([r["count"] for r in seen], float)), 12)
+    return F.element_at(F.array(*map(F.lit, quality.tolist())), pattern + 1)
+
+
+def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)."""
+    featured = text_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+    scored = featured.select("doc_id", "features", base_failed().alias("base_failed"), posterior(featured).alias("quality"))
+    counts = [F.col("features")[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return scored.select("doc_id", *counts, "base_failed", (~F.col("base_failed") & (F.col("quality") >= threshold)).alias("kept"), "quality")
+
+
+def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """docs without the rejected ones; all columns stay, whatever their names."""
+    name = "features"
+    while name in docs.columns:
+        name = f"_{name}"
+    featured = text_features(docs, name)
+    return featured.filter(~base_failed(name) & (posterior(featured, name) >= threshold)).select(docs.columns)
