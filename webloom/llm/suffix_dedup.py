@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +125,8 @@ def front_code(records: np.ndarray, places: np.ndarray) -> bytes:
     n, width = records.shape
     shared = common_prefixes(records)
     rest = records[np.arange(width)[None, :] >= shared[:, None]]
-    return b"".join([np.array([n, width], "<i8").tobytes(), shared.astype("<u2").tobytes(), places.astype("<i8").tobytes(), rest.tobytes()])
+    body = b"".join([shared.astype("<u2").tobytes(), np.ascontiguousarray(places.T).astype("<i8").tobytes(), rest.tobytes()])
+    return np.array([n, width], "<i8").tobytes() + zstandard.compress(body, 3)
 
 
 def common_prefixes(records: np.ndarray) -> np.ndarray:
@@ -140,9 +142,10 @@ def common_prefixes(records: np.ndarray) -> np.ndarray:
 def front_decode(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(records, common prefix lengths, places)."""
     n, width = (int(x) for x in np.frombuffer(blob, "<i8", 2))
-    shared = np.frombuffer(blob, "<u2", n, 16).astype(np.int64)
-    places = np.frombuffer(blob, "<i8", 2 * n, 16 + 2 * n).reshape(n, 2)
-    rest = np.frombuffer(blob, np.uint8, offset=16 + 18 * n)
+    body = zstandard.decompress(blob[16:])
+    shared = np.frombuffer(body, "<u2", n).astype(np.int64)
+    places = np.ascontiguousarray(np.frombuffer(body, "<i8", 2 * n, 2 * n).reshape(2, n).T)
+    rest = np.frombuffer(body, np.uint8, offset=18 * n)
     records = np.zeros((n, width), np.uint8)
     records[np.arange(width)[None, :] >= shared[:, None]] = rest
     rows = np.arange(n)
@@ -279,11 +282,12 @@ def _runs(layout: _Suffixes):
         cuts = np.flatnonzero(np.diff(bucket[by])) + 1
         groups = np.split(by, cuts) if len(by) else []
         runs = [front_code(records_kept[g], places_kept[g]) for g in groups]
-        ids, n = [int(bucket[g[0]]) for g in groups], int(spans.sum())
-        salt = (mix(places[spans, 0].astype(np.uint64)) % U(layout.buckets)).astype(np.int64)
+        done = merge_spans(np.stack([places[spans, 0], start[spans], stop[spans]], 1))
+        ids, n = [int(bucket[g[0]]) for g in groups], len(done)
+        salt = (mix(done[:, 0].astype(np.uint64)) % U(layout.buckets)).astype(np.int64)
         return pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([np.array(ids, np.int64), salt]).astype(np.int32)), pa.array([*runs, *[None] * n], pa.binary()),
-            *(pa.array(np.concatenate([np.zeros(len(runs), np.int64), x[spans]])) for x in (places[:, 0], start, stop)),
+            *(pa.array(np.concatenate([np.zeros(len(runs), np.int64), done[:, k]])) for k in range(3)),
         ], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +297,7 @@ def _runs(layout: _Suffixes):
                 data, offsets = utf8(part.column("text"))
                 anchors = part.column("anchors")
                 at = anchors.flatten().to_numpy().astype(np.int64)
-                docs = np.repeat(np.arange(part.num_rows), anchors.value_lengths().to_numpy())
+                docs = np.repeat(np.arange(part.num_rows), anchors.value_lengths().fill_null(0).to_numpy())
                 ids = part.column("doc_id").to_numpy()
                 for k in range(0, len(at), RUN // 4):
                     d, a = docs[k : k + RUN // 4], at[k : k + RUN // 4]
@@ -345,7 +349,24 @@ def repeats(records: np.ndarray, lengths: np.ndarray, places: np.ndarray, layout
     row, low = np.nonzero(step == 1)
     _, high = np.nonzero(step == -1)
     at = places[row, 1]
-    return np.stack([places[row, 0], at - (high - 1), at - low + length], 1)
+    return merge_spans(np.stack([places[row, 0], at - (high - 1), at - low + length], 1))
+
+
+def merge_spans(spans: np.ndarray) -> np.ndarray:
+    """(document, start, stop) rows with those that touch or overlap joined."""
+    if len(spans) < 2:
+        return spans
+    spans = spans[np.lexsort((spans[:, 1], spans[:, 0]))]
+    new = np.ones(len(spans), bool)
+    new[1:] = spans[1:, 0] != spans[:-1, 0]
+    # running maxima of `stop` that start anew with each document
+    group = np.cumsum(new)
+    lift = group * (int(spans[:, 2].max()) + 1)
+    stop = np.maximum.accumulate(spans[:, 2] + lift) - lift
+    new[1:] |= spans[1:, 1] > stop[:-1]
+    first = np.flatnonzero(new)
+    last = np.append(first[1:] - 1, len(spans) - 1)
+    return np.stack([spans[first, 0], spans[first, 1], stop[last]], 1)
 
 
 def _merged(layout: _Suffixes):
@@ -434,7 +455,8 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int")
     shared = sampled.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, at int")
     anchors = shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")).join(copies, "doc_id", "left_anti")
-    runs = docs.join(anchors.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "anchors").mapInArrow(_runs(layout), EXCHANGE)
+    # a left join like that in _with_spans, so that the texts are dealt by doc_id once
+    runs = docs.join(anchors.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "anchors").mapInArrow(_runs(layout), EXCHANGE)
     merged = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(layout), "doc_id long, start long, stop long")
     return merged.unionByName(copies)
 
