@@ -6,8 +6,9 @@
    n - ceil(t n) + 1, which are the keys of the tiles.
 2. Equal sets become one class, which stands for all its copies.
 3. In every tile, each class meets the tile's smallest id only; pairs whose
-   sizes or 256-bit parity bitmaps cannot reach the threshold (differing bits
-   are at most the symmetric difference) go, the others are checked exactly.
+   sizes or parity bitmaps cannot reach the threshold (differing bits are at
+   most the symmetric difference) go: first by 256 bits, then by as many bits as
+   the size band has elements. The others are checked exactly.
 4. Verified links give components. Classes that still are in different
    components meet again inside their tiles, banded by size and bounded by bit
    counts before a row is made, and are checked exactly too. So each link
@@ -33,6 +34,8 @@ from .common import ASCII_LOWER, K1, K2, K3, U, WORD_BYTES, ByteHash, cut, grams
 from .components import components
 
 BUCKETS = 1 << 16
+#: Up to this number of ids, texts to verify are picked by a broadcast of 8 bytes an id; more are joined by a shuffle.
+BROADCAST_IDS = 500_000
 BITMAP = ("b0", "b1", "b2", "b3")
 
 
@@ -84,6 +87,37 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
+def _wide_bitmap(mixed: np.ndarray) -> bytes:
+    """Parities of the elements in the least power of two of bits, 256 at least, that is no less than their number."""
+    bits = 256
+    while bits < len(mixed):
+        bits *= 2
+    return np.packbits((np.bincount((mixed >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes() if len(mixed) else b""
+
+
+def differing_bits(x: bytes, y: bytes) -> int:
+    """Of two wide bitmaps; the longer one is folded onto the shorter."""
+    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _bounded(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = [
+                (100 + percent) * differing_bits(x, y) <= (100 - percent) * n
+                for x, y, n in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("n").to_pylist(), strict=True)
+            ]
+            kept = batch.filter(pa.array(good, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+
+    return run
+
+
 def _signatures(size: int, percent: int, order: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = ByteHash(WORD_BYTES, ASCII_LOWER)
@@ -106,9 +140,11 @@ def _signatures(size: int, percent: int, order: np.ndarray):
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(first[:-1], length)
+                wide = [_wide_bitmap(mixed[a:b]) for a, b in zip(first, first[1:])]
                 columns = [n, fold(np.add, mixed), fold(np.bitwise_xor, mix(mixed ^ K1)), *bitmap]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in columns), _lists(elements[at], ends)], names=["doc_id", "n", "s0", "s1", *BITMAP, "keys"]
+                    [part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in columns), pa.array(wide, pa.binary()), _lists(elements[at], ends)],
+                    names=["doc_id", "n", "s0", "s1", *BITMAP, "wide", "keys"],
                 )
 
     return run
@@ -162,28 +198,37 @@ class JaccardJoin:
         self.order = np.empty(BUCKETS, np.uint64)
         self.order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
 
+    def _bound(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
+        """The pairs (a, b) that the wide bitmaps allow."""
+        x = wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
+        y = wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
+        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n"))
+        return both.mapInArrow(_bounded(self.percent), "a long, b long")
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) over the threshold."""
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = self.docs.join(wanted, "doc_id", "left_semi")
+        texts = self.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
         elements = texts.mapInArrow(_elements(self.size, self.order), "doc_id long, elements binary")
         sized = pairs.join(elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
         sized = sized.join(elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        return sized.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long")
+        return sized.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long").distinct()
 
     def linked(self) -> tuple[DataFrame, DataFrame]:
         """(signatures with class columns, components of class representatives)."""
-        schema = "doc_id long, n long, s0 long, s1 long, b0 long, b1 long, b2 long, b3 long, keys array<long>"
+        schema = "doc_id long, n long, s0 long, s1 long, b0 long, b1 long, b2 long, b3 long, wide binary, keys array<long>"
         every = cut(self.docs.mapInArrow(_signatures(self.size, self.percent, self.order), schema))
         classes = every.filter("n > 0").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("doc_id"))
         reps = every.join(classes, ["doc_id", "s0", "s1", "n"], "left_semi")
-        bits = cut(reps.select("doc_id", "n", *BITMAP).distinct())
+        bits = cut(reps.select("doc_id", "n", *BITMAP, "wide").distinct())
+        wide, bits = bits.select("doc_id", "n", "wide"), bits.drop("wide")
         rows = reps.select(F.explode("keys").alias("key"), "doc_id")
         tiles = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
         shared = cut(rows.join(tiles, "key"))
         small = lambda name: bits.select(F.col("doc_id").alias(name), F.struct("n", *BITMAP).alias(f"{name}_s"))
         pairs = shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-        first = cut(pairs.join(small("a"), "a").join(small("b"), "b").filter(possible("a_s", "b_s", self.percent)).select("a", "b"))
+        near = pairs.join(small("a"), "a").join(small("b"), "b").filter(possible("a_s", "b_s", self.percent)).select("a", "b")
+        first = cut(self._bound(near, wide))
         links = cut(self._verify(first))
         groups = components(links)
         # what is still apart meets inside the tiles
@@ -191,7 +236,8 @@ class JaccardJoin:
         mixed = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
         apart = cut(tagged.join(mixed, "key", "left_semi").select("key", "doc_id", "component", "n", *BITMAP))
         met = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y", self.percent))
-        more = cut(met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti"))
+        met = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+        more = cut(self._bound(met, wide))
         added = cut(self._verify(more))
         if added.limit(1).count():
             groups = components(links.union(added))
