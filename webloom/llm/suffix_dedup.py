@@ -91,32 +91,35 @@ def _sampled(length: int):
                 at, h = np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
                 at, once = np.unique(at, return_index=True)
                 docs = np.searchsorted(offsets, at, "right") - 1
-                ids = part.column("doc_id").to_numpy()
-                yield pa.RecordBatch.from_arrays([pa.array(h[once].view(np.int64)), pa.array(ids[docs]), pa.array((at - offsets[docs]).astype(np.int32))], names=["h", "doc_id", "at"])
+                ids, h = part.column("doc_id").to_numpy(), h[once]
+                _, lead, which, times = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+                again = lead[which] != np.arange(len(h))
+                # of a gram that repeats here, one place meets other tasks; the rest is dealt out at random
+                h = np.where(again, mix(h + (ids[docs] + at).astype(np.uint64) * K0), h)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(h.view(np.int64)), pa.array(ids[docs]), pa.array((at - offsets[docs]).astype(np.int32)), pa.array(times[which] > 1)], names=["h", "doc_id", "at", "known"]
+                )
 
     return run
 
 
 def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, those whose h occurs more than once; holds one row between batches."""
+    """Of rows sorted by h, those known to repeat or whose h occurs more than once; holds one row between batches."""
     kept: tuple[np.ndarray, ...] | None = None
-    known = False  # the kept row's h occurred before it
     for batch in batches:
         if not batch.num_rows:
             continue
-        now = tuple(batch.column(x).to_numpy() for x in ("h", "doc_id", "at"))
+        now = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "doc_id", "at", "known"))
         if kept is not None:
             now = tuple(np.concatenate([a, b]) for a, b in zip(kept, now, strict=True))
         same = now[0][1:] == now[0][:-1]
-        good = np.zeros(len(now[0]), bool)
+        good = now[3].copy()
         good[1:] |= same
         good[:-1] |= same
-        good[0] |= known
-        known = bool(good[-1])
-        kept = tuple(x[-1:] for x in now)
+        kept = tuple(x[-1:] for x in (*now[:3], good))
         good[-1] = False
         yield pa.RecordBatch.from_arrays([pa.array(now[1][good]), pa.array(now[2][good])], names=["doc_id", "at"])
-    if kept is not None and known:
+    if kept is not None and kept[3][0]:
         yield pa.RecordBatch.from_arrays([pa.array(kept[1]), pa.array(kept[2])], names=["doc_id", "at"])
 
 
@@ -452,7 +455,7 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     keyed = docs.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n")).filter(F.col("n") >= length)
     firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
     copies = keyed.join(firsts, "digest").filter("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
-    sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int")
+    sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int, known boolean")
     shared = sampled.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, at int")
     anchors = shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")).join(copies, "doc_id", "left_anti")
     # a left join like that in _with_spans, so that the texts are dealt by doc_id once
