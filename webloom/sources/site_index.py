@@ -1,0 +1,67 @@
+"""Sitemaps, robots files and feeds as DataFrame expressions over stored documents."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import urls
+
+
+def index_kind(xml: Column) -> Column:
+    root = F.lower(F.regexp_extract(xml, r"(?is)^\s*(?:<\?.*?\?>|<!--.*?-->|<![^>]*>|\s)*<(?:\w+:)?(\w+)", 1))
+    return F.when(root.isin("sitemapindex", "urlset"), root).when(root.isin("rss", "rdf"), "rss").when(root == "feed", "atom").otherwise("unknown")
+
+
+def index_urls(xml: Column) -> Column:
+    """Raw URLs in document order, by kind; malformed documents give what can be read."""
+    entity = lambda x: F.trim(F.replace(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), F.lit("&amp;"), F.lit("&")))
+    loc = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc\s*>(.*?)</(?:\w+:)?loc\s*>"), F.lit(1))
+    items = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0)), lambda x: F.regexp_extract(x, r"(?is)<link\s*>(.*?)</link\s*>", 1))
+    entries = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<entry\b.*?</entry>"), F.lit(0)), lambda x: F.regexp_extract(x, r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1))
+    kind = index_kind(xml)
+    found = F.when(kind.isin("sitemapindex", "urlset"), loc).when(kind == "rss", items).when(kind == "atom", entries).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(found, entity), lambda x: x != "")
+
+
+def parse_index(documents: DataFrame, scope=None) -> DataFrame:
+    """(doc_url, kind, pos, url): canonical, joined to the base URL, first of each; `scope` maps a URL column to '' outside."""
+    rows = documents.select("doc_url", "base_url", index_kind(F.col("body")).alias("kind"), F.posexplode(index_urls(F.col("body"))).alias("pos", "raw"))
+    url = urls.canonical_url(urls.join_url(F.col("base_url"), F.col("raw")))
+    rows = rows.select("doc_url", "kind", "pos", (scope(url) if scope else url).alias("url")).filter("url <> ''")
+    return rows.groupBy("doc_url", "kind", "url").agg(F.min("pos").alias("pos"))
+
+
+def robots_sitemaps(text: Column) -> Column:
+    lines = F.split(text, "\r?\n")
+    found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)), lambda x: x != "")
+    return F.array_distinct(found)
+
+
+def feed_links(html: Column) -> Column:
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?alternate") & x.rlike(r"(?i)application/(rss|atom)\+xml|application/feed\+json"))
+    return F.transform(tags, lambda x: F.regexp_extract(x, r"""(?i)\bhref\s*=\s*["']([^"']*)["']""", 1))
+
+
+def robots_rules(documents: DataFrame) -> DataFrame:
+    """(origin, agent, allow, path) rows of robots files (origin, body)."""
+    line = F.posexplode(F.split("body", "\r?\n")).alias("n", "line")
+    rows = documents.select("origin", line).select("origin", "n", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), "#.*$", "")).alias("value"))
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("origin").orderBy("n")
+    rows = rows.filter(F.col("key").isin("user-agent", "allow", "disallow"))
+    starts = (F.col("key") == "user-agent") & F.coalesce(F.lag("key").over(w) != "user-agent", F.lit(True))
+    rows = rows.withColumn("group", F.sum(starts.cast("int")).over(w))
+    agents = rows.filter("key = 'user-agent'").select("origin", "group", F.lower("value").alias("agent"))
+    return rows.filter("key <> 'user-agent' AND value <> ''").join(agents, ["origin", "group"]).select("origin", "agent", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
+
+
+def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """requests (url) with `allowed`: the longest matching path rule of the agent, allow on a tie or without any."""
+    own = rules.filter(F.col("agent") == agent.lower()).select("origin", "allow", F.col("path").alias("rule"))
+    r = requests.select("url").distinct().withColumn("origin", urls.origin_of(F.col("url")))
+    path = F.regexp_replace(F.col("url"), "^[^:/?#]+://[^/?#]*", "")
+    hits = r.join(own, "origin").filter(F.when(path == "", "/").otherwise(path).startswith(F.col("rule")))
+    best = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
+    return requests.join(best, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
