@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one numpy step holds at a time.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 
 U = np.uint64
 #: Fixed odd multipliers of the hash functions below.

@@ -23,7 +23,10 @@ _LETTERS = "a-zªµºß-öø-ÿ"
 _UPPER = "A-ZÀ-ÖØ-Þ"
 _NUMBERS = "0-9²³¹¼½¾"
 _TAILS = "'s|'t|'re|'ve|'m|'ll|'d"
-_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]|<\\||\\S{2000}|\\s{2000}")
+_UNUSUAL = re.compile("[^\t\n\r\x20-\x7e\xa1-\xff]")
+_LONG_SPACE = re.compile("\\s{2000}")
+#: Characters of a piece from which on the library's merging is the faster one.
+LONG = 2000
 #: The files' own split patterns, for the characters of the fast path.
 WORD_PATTERN = re.compile(f"{_TAILS}|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 BYTE_PATTERN = f"{_TAILS}| ?[{_LETTERS}{_UPPER}]+| ?[{_NUMBERS}]+| ?[^\\s{_LETTERS}{_UPPER}{_NUMBERS}]+|\\s+(?!\\S)|\\s+"
@@ -37,6 +40,12 @@ def _byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
+def _unusual(text: str) -> bool:
+    if _UNUSUAL.search(text) or "<|" in text:
+        return True
+    return len(text) >= LONG and (max(map(len, text.split()), default=0) >= LONG or bool(_LONG_SPACE.search(text)))
+
+
 class PieceTokenizer:
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
@@ -63,7 +72,7 @@ class PieceTokenizer:
         self.fast = tiktoken.Encoding("own", pat_str=r"[^\x00]+\x00" if self.words else BYTE_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def _encoded(self, text: str) -> np.ndarray:
-        if _UNUSUAL.search(text):
+        if _unusual(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4")
         if not self.words:
             return self.fast.encode_to_numpy(text)
