@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import let
+
 #: Fixed values of the classifier.
 STRONG = (
     "cf-browser-verification", "cf_chl_opt", "cf-mitigated", "challenge-platform", "just a moment", "checking your browser", "attention required! | cloudflare",
@@ -35,17 +37,15 @@ def _lower(html: Column, n: int) -> Column:
 
 
 def is_challenge(html: Column) -> Column:
-    t = _lower(html, 20_000)
-    weak = sum((t.contains(w).cast("int") for w in WEAK), F.lit(0))
-    return _any(t, STRONG) | ((weak >= 2) & _any(t, WEAK_CONTEXT))
+    weak = lambda t: sum((t.contains(w).cast("int") for w in WEAK), F.lit(0)) >= 2
+    return let(_lower(html, 20_000), lambda t: _any(t, STRONG) | (weak(t) & _any(t, WEAK_CONTEXT)))
 
 
 def spa_failure(html: Column) -> Column:
     """The phrase that shows it, or null."""
-    t = _lower(html, 20_000)
-    strong = [F.when(t.contains(x), x) for x in SPA_STRONG]
-    weak = [F.when(_any(t, SPA_MARKERS) & t.contains(x), x) for x in SPA_WEAK]
-    return F.coalesce(*strong, *weak)
+    strong = lambda t: [F.when(t.contains(x), x) for x in SPA_STRONG]
+    weak = lambda t: [F.when(t.contains(x) & _any(t, SPA_MARKERS), x) for x in SPA_WEAK]
+    return let(_lower(html, 20_000), lambda t: F.coalesce(*strong(t), *weak(t)))
 
 
 def visible_length(html: Column) -> Column:
@@ -59,8 +59,8 @@ def is_login(html: Column, final_url: Column) -> Column:
     at_path = F.lit(False)
     for p in LOGIN_PATHS:
         at_path = at_path | (path == p) | path.startswith(f"{p}/")
-    t = _lower(html, 5_000)
-    return at_path | (_any(t, ('name="password"', 'type="password"')) & _any(t, ("login", "sign in")))
+    form = lambda t: _any(t, ('name="password"', 'type="password"')) & _any(t, ("login", "sign in"))
+    return at_path | let(_lower(html, 5_000), form)
 
 
 def verdict(html: Column, status: Column, final_url: Column, bypass_l3: Column | None = None) -> Column:
@@ -73,7 +73,7 @@ def verdict(html: Column, status: Column, final_url: Column, bypass_l3: Column |
         (is_challenge(html), "blocked_cloudflare", F.lit("challenge page signature"), "jina"),
         (status.isin(*BLOCK_STATUSES), "blocked_generic", F.concat(F.lit("HTTP "), status.cast("string")), None),
         (blank, "blocked_generic", F.lit("empty body"), None),
-        (_any(_lower(html, 20_000), BLOCK_TEXTS), "blocked_generic", F.lit("block text detected"), None),
+        (let(_lower(html, 20_000), lambda t: _any(t, BLOCK_TEXTS)), "blocked_generic", F.lit("block text detected"), None),
         (~bypass & spa.isNotNull(), "spa_load_incomplete", F.concat(F.lit("SPA load failure: '"), spa, F.lit("'")), None),
         (~bypass & (visible_length(html) < 200), "empty", F.lit("no extractable content (SPA or blocked)"), None),
     ]

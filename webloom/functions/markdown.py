@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .expressions import let
 from .urls import canonical_url, join_url
 
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -14,8 +15,7 @@ MARKER = "\n\n[...truncated...]"
 
 def lines(text: Column) -> Column:
     """As str.splitlines: no last empty line."""
-    parts = F.split(text, LINE_END, -1)
-    return F.when(text == "", F.array().cast("array<string>")).when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return let(F.split(text, LINE_END, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts))
 
 
 def strip(text: Column) -> Column:
@@ -24,17 +24,21 @@ def strip(text: Column) -> Column:
 
 def quality(text: Column) -> Column:
     t = F.coalesce(text, F.lit(""))
-    ls = lines(t)
-    tables = F.zip_with(ls, F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda a, b: a.contains("|") & F.coalesce(strip(b).rlike(r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"), F.lit(False)))
-    fences = F.size(F.filter(ls, lambda x: strip(x).startswith("```")))
-    return F.struct(
-        F.char_length(t).alias("char_count"),
-        F.size(ls).alias("line_count"),
-        F.size(F.filter(ls, lambda x: x.rlike(r"^#{1,6}\s+\S"))).alias("heading_count"),
-        F.regexp_count(t, F.lit(r"\[[^\]]+\]\([^)]+\)")).alias("link_count_markdown"),
-        F.size(F.filter(tables, lambda x: x)).alias("table_count"),
-        F.ceil(fences / 2).cast("int").alias("code_block_count"),
-    )
+    bar = r"^\|?\s*:?-{3,}:?\s*(\|\s*:?-{3,}:?\s*)+\|?$"
+
+    def counts(ls: Column) -> Column:
+        tables = F.zip_with(ls, F.slice(ls, 2, F.greatest(F.size(ls), F.lit(1))), lambda a, b: a.contains("|") & b.contains("---") & strip(b).rlike(bar))
+        fences = F.size(F.filter(ls, lambda x: x.contains("```") & strip(x).startswith("```")))
+        return F.struct(
+            F.char_length(t).alias("char_count"),
+            F.size(ls).alias("line_count"),
+            F.size(F.filter(ls, lambda x: x.startswith("#") & x.rlike(r"^#{1,6}\s+\S"))).alias("heading_count"),
+            F.regexp_count(t, F.lit(r"\[[^\]]+\]\([^)]+\)")).alias("link_count_markdown"),
+            F.size(F.filter(tables, lambda x: F.coalesce(x, F.lit(False)))).alias("table_count"),
+            F.ceil(fences / 2).cast("int").alias("code_block_count"),
+        )
+
+    return let(lines(t), counts)
 
 
 def headings(text: Column) -> Column:
