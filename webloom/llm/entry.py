@@ -106,10 +106,10 @@ l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE
 r AS (SELECT doc_id AS node, doc_id AS reached FROM n UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reached)
 SELECT n.doc_id, n.n AS n_shingles, min(reached) AS component_id FROM n JOIN r ON r.node = n.doc_id GROUP BY 1, 2
 """
-#: For the article element of the driver's page template.
+#: For the article element of the driver's page template; HTML decodes `&amp` without its semicolon too.
 OP1_SQL = r"""
 WITH b AS (SELECT page_id, url, list_transform(string_split_regex(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(?:p|h1)>'),
-  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS blocks FROM pages),
+  lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '&amp', '&'), '\s+', ' ', 'g'))) AS blocks FROM pages),
 t AS (SELECT page_id, url, array_to_string(list_filter(blocks, lambda x: x <> ''), chr(10)) AS text FROM b)
 SELECT page_id, url, text, length(text) AS n_chars FROM t
 """
