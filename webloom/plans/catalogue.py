@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detection, markdown, safety, urls
+from ..functions import detection, html, markdown, safety, urls
 from ..operators import crawl, rules, state
 from ..sources import archive, site_index
 from ..streaming import audit
@@ -128,6 +128,23 @@ def host_link_graph(spark, sf_dir):
     return crawl.links(t(spark, sf_dir, "pages")).select(urls.domain_of(F.col("url")).alias("domain"), "url").groupBy("domain").agg(F.count_distinct("url").alias("n_targets"), F.count(F.lit(1)).alias("n_links"))
 
 
+@query()
+def page_markdown(spark, sf_dir):
+    return t(spark, sf_dir, "pages").select("page_id", html.markdown_of("html").alias("markdown"))
+
+
+@query(r"SELECT page_id, trim(regexp_replace(regexp_extract(html, '(?is)<h1>(.*?)</h1>', 1), '\s+', ' ', 'g')) AS heading, 1 AS n_used, 1 AS n_errors FROM pages")
+def page_selected(spark, sf_dir):
+    got = t(spark, sf_dir, "pages").select("page_id", html.selected(["article > h1", "a:hover"])("html").alias("s"))
+    heading = F.trim(F.regexp_replace(F.regexp_extract("s.html", "(?is)<h1>(.*?)</h1>", 1), r"\s+", " "))
+    return got.select("page_id", heading.alias("heading"), F.size("s.used").alias("n_used"), F.size("s.errors").alias("n_errors"))
+
+
+@query("SELECT event_id, 'json' AS kind FROM events")
+def content_adapter_kind(spark, sf_dir):
+    return t(spark, sf_dir, "events").select("event_id", html.response_kind("props").alias("kind"))
+
+
 def _headed(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.concat(F.lit("# "), F.col("source"), F.lit("\n\n[doc](https://example.com/d/"), F.col("doc_id").cast("string"), F.lit("?utm_source=x) | a | b |\n|---|---|\n```\ncode\n```\n## Text\n"), F.coalesce("text", F.lit("")))
     return t(spark, sf_dir, "documents").select("doc_id", head.alias("md"))
