@@ -51,6 +51,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = min(n, max(at + 1, end))
         yield batch.slice(at, end - at)
         at = end
+    # idle workers stay alive and would keep what Arrow has freed
+    pa.default_memory_pool().release_unused()
 
 
 def _offsets(array: pa.Array) -> np.ndarray:
