@@ -65,17 +65,30 @@ def url_id(url: Column) -> Column:
     return F.substring(F.sha1(canonical_url(url)), 1, 16)
 
 
+def remove_dots(url: Column) -> Column:
+    """`.` and `..` segments of the path resolved; the rest as it is."""
+
+    def resolve(path: Column) -> Column:
+        parts = F.split(F.regexp_replace(path, "^/", ""), "/")
+        step = lambda a, x: F.when(x == ".", a).when(x == "..", F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(x)))
+        kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+        return let(F.concat(F.lit("/"), F.array_join(kept, "/")), lambda p: F.when(path.rlike(r"/\.\.?$") & ~p.endswith("/"), F.concat(p, F.lit("/"))).otherwise(p))
+
+    rest = F.regexp_extract(url, r"^[^?#]*([?#].*)?$", 1)
+    return F.when(part(url, 3).rlike(r"(^|/)\.\.?(/|$)"), F.concat(origin_of(url), resolve(part(url, 3)), rest)).otherwise(url)
+
+
 def join_url(base: Column, ref: Column) -> Column:
-    """RFC 3986 resolution without dot segments."""
+    """RFC 3986 resolution; dot segments are resolved in relative references only."""
     folder = F.regexp_replace(part(base, 3), "[^/]*$", "")
     folder = F.when(folder == "", "/").otherwise(folder)
     return (
         F.when(ref.rlike("^[A-Za-z][A-Za-z0-9+.-]*:"), ref)
         .when(ref.startswith("//"), F.concat(part(base, 1), F.lit(":"), ref))
-        .when(ref.startswith("/"), F.concat(origin_of(base), ref))
+        .when(ref.startswith("/"), remove_dots(F.concat(origin_of(base), ref)))
         .when(ref.startswith("?"), F.concat(drop_query(base), ref))
         .when(ref.startswith("#") | (ref == ""), F.concat(F.regexp_replace(base, "#.*$", ""), ref))
-        .otherwise(F.concat(origin_of(base), folder, ref))
+        .otherwise(remove_dots(F.concat(origin_of(base), folder, ref)))
     )
 
 

@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detection, html, markdown, safety, urls
-from ..operators import crawl, rules, state
+from ..functions import detection, html, markdown, network, results, safety, urls
+from ..operators import access, crawl, rules, state
 from ..sources import archive, site_index
 from ..streaming import audit
 from .lineage import cut
@@ -489,6 +489,78 @@ def archive_body(spark, sf_dir):
     return t(spark, sf_dir, "documents").select("doc_id", archive.strip_frontmatter(text).alias("body"))
 
 
+@query("SELECT doc_id, '# ' || coalesce(source, '') || CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN '' ELSE chr(10) || chr(10) || rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS body FROM documents WHERE coalesce(text, '') NOT LIKE '%</script%'")
+def structured_data(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).contains("</script"))
+    block = F.to_json(F.struct(F.coalesce("source", F.lit("")).alias("headline"), F.coalesce("text", F.lit("")).alias("articleBody")))
+    return d.select("doc_id", results.json_ld(F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))).alias("body"))
+
+
+@query("SELECT event_id, CASE event_type WHEN 'error' THEN 'timeout' ELSE 'internal-error' END AS kind, event_type = 'error' AS again, CASE event_type WHEN 'error' THEN 'retry' ELSE 'abort' END AS advice FROM events")
+def error_codec(spark, sf_dir):
+    made = F.when(F.col("event_type") == "error", results.format_error(F.lit("timeout"), F.col("event_type"))).otherwise(F.col("event_type"))
+    return t(spark, sf_dir, "events").select("event_id", results.error_payload(made).alias("e")).select("event_id", F.col("e.errorType").alias("kind"), F.col("e.retryable").alias("again"), F.col("e.suggestedAction").alias("advice"))
+
+
+@query("SELECT event_id, CASE WHEN event_id % 400 = 399 THEN 2.0::DOUBLE ELSE least(event_id % 400, 300)::DOUBLE END AS wait FROM events")
+def retry_after(spark, sf_dir):
+    number = F.col("event_id") % 400
+    header = F.when(number == 399, "soon").otherwise(number.cast("string"))
+    return t(spark, sf_dir, "events").select("event_id", results.retry_after(header, F.current_timestamp()).alias("wait"))
+
+
+@query("SELECT event_type, count(*) AS n, round(count(*) * 100.0 / (SELECT count(*) FROM events), 1)::DOUBLE AS percent FROM events GROUP BY 1")
+def outcome_shares(spark, sf_dir):
+    return access.outcome_shares(t(spark, sf_dir, "events"), "event_type").withColumn("percent", F.col("percent").cast("double"))
+
+
+@query("SELECT doc_id, ['https://example.com/' || doc_id, 'https://example.com/a/' || (doc_id + 1)] AS links FROM documents")
+def markdown_links(spark, sf_dir):
+    text = F.concat(F.lit("[a](/"), F.col("doc_id"), F.lit(") [b](../a/"), F.col("doc_id") + 1, F.lit("?utm_source=x) [c](#top) [d](/"), F.col("doc_id"), F.lit("#z)"))
+    return t(spark, sf_dir, "documents").select("doc_id", results.markdown_links(text, F.lit("https://example.com/b/c")).alias("links"))
+
+
+@query(f"WITH {URLS} SELECT page_id, domain AS key, false AS blocked FROM c")
+def host_keys(spark, sf_dir):
+    host = F.lower(urls.part(F.col("url"), 2))
+    return pages(spark, sf_dir).select("page_id", network.domain_key(F.col("domain")).alias("key"), network.blocked_host(host).alias("blocked"))
+
+
+@query(f"""WITH {URLS}, d AS (SELECT DISTINCT domain FROM c), g AS (SELECT *, length(domain) % 3 AS k FROM d)
+ SELECT domain, CASE k WHEN 0 THEN 'hint' WHEN 1 THEN 'stored' END AS gear FROM g""")
+def effective_gear(spark, sf_dir):
+    d = pages(spark, sf_dir).select("domain").distinct()
+    k = F.length("domain") % 3
+    sites = d.select("domain", F.when(k == 0, "hint").otherwise("").alias("gear_hint"))
+    stored = d.select("domain", F.lit("stored").alias("gear"), (k == 2).alias("stale"), F.lit(0).alias("unreachable_until"), F.lit(0.5).alias("confidence"))
+    return access.effective_gear(d, sites, stored, F.lit(1))
+
+
+@query(f"""WITH {URLS}, d AS (SELECT DISTINCT domain, length(domain) % 4 AS k FROM c)
+ SELECT domain, CASE k WHEN 1 THEN 'main' ELSE 'default' END AS selected_account_id, CASE k WHEN 1 THEN 'retrieve_page' WHEN 2 THEN 'mark_account_profile_or_register_account_profile' ELSE 'open_browser_session' END AS tool,
+ CASE k WHEN 1 THEN 'auto' ELSE 'required' END AS assist, CASE k WHEN 0 THEN 'bundle' ELSE 'page' END AS extract_mode,
+ CASE k WHEN 0 THEN 'no_site_profile,no_account_profile' WHEN 1 THEN '' WHEN 2 THEN 'account_blocked' ELSE 'site_needs_account,human_assist_expected,no_account_profile' END AS reasons FROM d""")
+def fetch_readiness(spark, sf_dir):
+    d = pages(spark, sf_dir).select("domain").distinct().withColumn("k", F.length("domain") % 4)
+    sites = d.filter("k > 0").select("domain", (F.col("k") == 3).alias("needs_account"), F.lit(False).alias("human_assist"), F.array(F.lit("page")).alias("modes"))
+    profiles = d.filter("k IN (1, 2)").select("domain", F.when(F.col("k") == 1, "main").otherwise("default").alias("account_id"), F.when(F.col("k") == 1, "active").otherwise("blocked").alias("status"), F.lit(None).cast("string").alias("expires_at"), F.lit(True).alias("is_default"))
+    held = profiles.select("domain", "account_id")
+    targets = d.select("domain", F.lit("").alias("account_id"), F.lit("user_authorized").alias("access_mode"))
+    ready = access.readiness(targets, sites, profiles, held, F.current_timestamp())
+    return ready.select("domain", "selected_account_id", "tool", "assist", "extract_mode", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"WITH {URLS} SELECT DISTINCT 'https://' || domain || '/' AS start_url, CASE WHEN rtrim(path, '/') = '' THEN 'https://' || domain || '/' ELSE 'https://' || domain || rtrim(path, '/') END AS url FROM c")
+def site_discovery(spark, sf_dir):
+    p = pages(spark, sf_dir).select("domain", F.concat(F.lit("https://"), F.col("domain")).alias("site"), F.col("url").alias("page"))
+    loc = F.concat(F.lit("<url><loc>"), F.col("site"), urls.part(F.col("page"), 3), F.lit("</loc></url>"))
+    maps = p.groupBy("site").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(loc), ""), F.lit("</urlset>")).alias("body")).select(F.concat("site", F.lit("/maps/all.xml")).alias("url"), "body")
+    sites = p.select("site").distinct()
+    index = sites.select(F.concat("site", F.lit("/index.xml")).alias("url"), F.lit("<sitemapindex><sitemap><loc>maps/all.xml</loc></sitemap></sitemapindex>").alias("body"))
+    robots = sites.select(F.concat("site", F.lit("/robots.txt")).alias("url"), F.lit("User-agent: *\nSitemap: /index.xml\n").alias("body"))
+    return site_index.discover(sites.select(F.concat("site", F.lit("/")).alias("start_url")), maps.unionByName(index).unionByName(robots))
+
+
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_windows(spark, sf_dir):
     return _streamed(spark, sf_dir, lambda s: audit.windowed(s), "complete").select(F.col("window_start").cast("timestamp_ntz").alias("window_start"), "event_type", "n")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -47,8 +47,6 @@ def robots_rules(documents: DataFrame) -> DataFrame:
     """(origin, agent, allow, path) rows of robots files (origin, body)."""
     line = F.posexplode(F.split("body", "\r?\n")).alias("n", "line")
     rows = documents.select("origin", line).select("origin", "n", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), "#.*$", "")).alias("value"))
-    from pyspark.sql import Window
-
     w = Window.partitionBy("origin").orderBy("n")
     rows = rows.filter(F.col("key").isin("user-agent", "allow", "disallow"))
     starts = (F.col("key") == "user-agent") & F.coalesce(F.lag("key").over(w) != "user-agent", F.lit(True))
@@ -65,3 +63,33 @@ def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> D
     hits = r.join(own, "origin").filter(F.when(path == "", "/").otherwise(path).startswith(F.col("rule")))
     best = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
     return requests.join(best, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+
+
+def discover(starts: DataFrame, captured: DataFrame, scope=None, same_domain: bool = True, sitemaps: int = 20, children: int = 10, feeds: int = 20) -> DataFrame:
+    """(start_url, url): pages that the captured robots file, sitemaps, child sitemaps and feeds of each start list.
+
+    captured: (url, body), one row per URL. The counts bound what is read per start (the feature); `scope` maps a page's URL to '' outside.
+    """
+    docs = captured.select(urls.canonical_url(F.col("url")).alias("doc_url"), F.coalesce("body", F.lit("")).alias("body"))
+    s = starts.select("start_url", urls.origin_of(F.col("start_url")).alias("_origin")).distinct()
+
+    def first(rows: DataFrame, most: int) -> DataFrame:
+        w = Window.partitionBy("start_url").orderBy("pos", "doc_url")
+        return rows.groupBy("start_url", "doc_url").agg(F.min("pos").alias("pos")).withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= most).drop("_n", "pos")
+
+    def named(listed: Column) -> Column:
+        return F.posexplode(F.transform(listed, lambda x: urls.canonical_url(urls.join_url(F.concat("_origin", F.lit("/")), x)))).alias("pos", "doc_url")
+
+    def read(queue: DataFrame) -> DataFrame:
+        wanted = docs.join(queue.select("doc_url").distinct(), "doc_url", "left_semi").withColumn("base_url", F.col("doc_url"))
+        rows = queue.join(parse_index(wanted), "doc_url")
+        return rows.filter(urls.domain_of(F.col("url")) == urls.domain_of(F.col("start_url"))) if same_domain else rows
+
+    robots = s.join(docs, F.concat("_origin", F.lit("/robots.txt")) == F.col("doc_url"), "left")
+    known = F.array(F.lit("/sitemap.xml"), F.lit("/sitemap_index.xml"))
+    queue = first(robots.select("start_url", named(F.concat(robots_sitemaps(F.coalesce("body", F.lit(""))), known))), sitemaps)
+    top = read(queue)
+    below = top.filter("kind = 'sitemapindex'").select("start_url", F.col("url").alias("doc_url"), "pos").join(queue, ["start_url", "doc_url"], "left_anti")
+    home = s.join(docs, urls.canonical_url(F.col("start_url")) == F.col("doc_url")).select("start_url", named(feed_links(F.col("body"))))
+    found = top.unionByName(read(first(below, children))).unionByName(read(first(home, feeds))).filter("kind <> 'sitemapindex'")
+    return found.select("start_url", (scope(F.col("url")) if scope else F.col("url")).alias("url")).filter("url <> ''").distinct()
