@@ -167,6 +167,15 @@ def test_packing_and_counts(spark, docs, nothing, tmp_path):
     assert token_counts.count_tokens(nothing, path, str(tmp_path / "none")).count() == 0
 
 
+def test_counts_of_hot_texts_and_null_ids(spark, tmp_path):
+    given = [(k, "hot text" if k % 3 else f"text {k}") for k in range(300)] + [(7, "hot text"), (None, "alone"), (None, None)]
+    frame = spark.createDataFrame(given, "doc_id long, text string").repartition(4)
+    got = token_counts.count_tokens(frame, entry.tokenizer_path("byte_bpe_50k.json"), str(tmp_path / "cache")).collect()
+    library = PieceTokenizer(entry.tokenizer_path("byte_bpe_50k.json"))
+    order = lambda x: sorted(x, key=repr)
+    assert order((r.doc_id, r.n_bytes, r.n_tokens) for r in got) == order((d, len(t or ""), library.count(t or "")) for d, t in given)
+
+
 def test_tokenizers_match_the_library():
     from tokenizers import Tokenizer
 

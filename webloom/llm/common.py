@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at a time.
 SLICE_BYTES = 1 << 20
@@ -35,6 +36,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A key is hot from this share of the rows on, so at most as many keys are.
+HOT_SHARE = 1000
+
+
+def hot_keys(sizes: DataFrame, n: str = "n") -> DataFrame:
+    """The rows of `sizes` (one a key, with its row count) of hot keys: at most HOT_SHARE of them."""
+    total = sizes.agg(F.sum(n)).first()[0] or 0
+    return sizes.filter(F.col(n) > max(1, total // HOT_SHARE))
+
+
+def join_spread(rows: DataFrame, values: DataFrame, hot: DataFrame, key: str, value: str, spread: Column) -> DataFrame:
+    """rows left-joined to values (one row a binary key) without one task for a hot key.
+
+    `hot`, the values of hot_keys, goes to all workers; its rows are dealt by key and `spread` (binary), which no value has as its key.
+    """
+    first = rows.join(F.broadcast(hot.select(key, F.col(value).alias("_hot"))), key, "left")
+    dealt = first.withColumn("_key", F.when(F.col("_hot").isNull(), F.col(key)).otherwise(F.concat(F.col(key), spread)))
+    found = dealt.join(values.select(F.col(key).alias("_key"), value), "_key", "left")
+    return found.withColumn(value, F.coalesce("_hot", value)).drop("_hot", "_key")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

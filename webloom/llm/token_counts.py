@@ -4,8 +4,10 @@ Counts are stored as (tokenizer, digest, n_tokens): the digest of a tokenizer's
 file and that of a text. Texts are joined to the stored counts by digest;
 only one text of each digest without a count is encoded, and its count is
 appended to the cache, a Parquet table in a folder that all executors share.
+Digests with over a thousandth of all rows are joined by broadcast.
 
-Edge cases: a null text is empty (0 bytes, 0 tokens). Repeated rows and ids
+Edge cases: a null text is empty (0 bytes, 0 tokens); a row with a null id
+stays. Repeated rows and ids
 keep one result row each; of equal texts one is encoded. An empty table gives
 an empty result. Other columns of `docs` do not matter.
 """
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
-from .common import slices
+from .common import cut, hot_keys, join_spread, slices
 from .piece_tokens import PieceTokenizer
 
 CACHE = "tokenizer string, digest binary, n_tokens long"
@@ -59,10 +61,12 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text")).withColumn("digest", F.unhex(F.substring(F.sha2(F.col("text"), 256), 1, 32)))
     known = stored(spark, cache_path, version)
-    distinct = keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    misses = distinct.join(known, "digest", "left_anti")
+    distinct = cut(keyed.groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    misses = distinct.join(known, "digest", "left_anti").select(F.col("digest").alias("_digest"), F.col("doc_id").alias("_id"))
     # one row a digest, even where ids repeat
-    todo = keyed.join(misses, ["doc_id", "digest"], "left_semi")
+    todo = keyed.join(misses, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     counted = todo.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
     counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
-    return keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest").join(stored(spark, cache_path, version), "digest").drop("digest")
+    counts = stored(spark, cache_path, version)
+    sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
+    return join_spread(sized, counts, counts.join(hot_keys(distinct), "digest"), "digest", "n_tokens", F.unhex(F.hex("doc_id"))).select("doc_id", "n_bytes", "n_tokens")
