@@ -30,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import K0, K1, U, mix, slices, utf8
+from .common import K0, K1, U, cut, hot_keys, join_spread, mix, slices, utf8
 
 GRAM = 32
 #: Suffixes that a task sorts at a time.
@@ -453,8 +453,9 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     layout = _Suffixes(length, buckets)
     keyed = docs.select("doc_id", F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), F.octet_length("text").cast("long").alias("n")).filter(F.col("n") >= length)
-    firsts = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("digest", "least")
-    copies = keyed.join(firsts, "digest").filter("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
+    sizes = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size"))
+    firsts = cut(sizes.filter("least < most").drop("most"))
+    copies = join_spread(keyed, firsts, hot_keys(firsts, "size"), "digest", "least", F.unhex(F.hex("doc_id"))).filter("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
     sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int, known boolean")
     shared = sampled.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, at int")
     anchors = shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")).join(copies, "doc_id", "left_anti")
