@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -231,6 +232,14 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan(nothing, entry.tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_secrets_in_long_runs():
+    began = time.perf_counter()
+    word = "a" * 5000 + "1x"
+    assert secret_scan.random_spans(f"see {word} here", lambda x: len(x) // 4, 2.2) == []
+    assert secret_scan.random_spans(word, len, 2.2) == [(0, 5002)]
+    assert time.perf_counter() - began < 5
+
+
 PAGE = """<html><head><title>x</title><style>p{}</style></head><body><div id="menu"><a href=/>Home</a><a href=/b>B</a></div><header>Site</header>
 <div class="content"><h1>Title &amp; more</h1><p>First <b>bold</b>
  text, long enough to count as a paragraph of prose.<p>Second paragraph, also long enough to count as prose.<script>var a = "</p>";</script></div>

@@ -42,7 +42,7 @@ IDENTIFIER = re.compile(
     r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}"
     r"|[0-9+/_=-]+"
     r"|[A-Za-z]*([_/+-][A-Za-z]*|[_/+-][0-9]{1,6})+"
-    r"|([A-Z]?[a-z]{2,})+[0-9]{0,6}"
+    r"|(?:[a-z]{2,}+)?(?:[A-Z][a-z]{2,}+)*+[0-9]{0,6}"
     r"|[A-Za-z]{4,}[0-9]{1,6}"
 )
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
