@@ -232,6 +232,21 @@ def test_secrets(spark, nothing):
     assert secret_scan.scan(nothing, entry.tokenizer_path("byte_bpe_50k.tiktoken")).count() == 0
 
 
+def test_random_strings():
+    encoding = secret_scan.vocabulary(entry.tokenizer_path("byte_bpe_50k.tiktoken"))
+    found = lambda text: [text[s:e] for s, e in secret_scan.random_spans(text, lambda x: len(encoding.encode_ordinary(x)), 2.2)]
+    key = "q7Zp0XvR2mK9wLt4BnYc8sHd"
+    for text in (f"AUTH_KEY={key}", f"https://x.com/a?sig={key}&x=1", f"{key}=x", f"to {key}", f"x=={key}"):
+        assert found(text) == [key], text
+    assert found(f"k={key}==&x") == [f"{key}=="]
+    for word in (key[:16], key[:8], "qXzRkWvPbNmTgHsLdFjY42", "qXzRkWvPbNmTgHsL", "qXzRkWvP-bNmTgHsL", "xkqzvwjpbtgrmfzqhdlw"):
+        assert found(f"the {word}, then") == [word], word
+    path = "internationalization/documentation/understanding/configuration/environment/"
+    assert found(f"/{path}{key[:16]}") == [key[:16]]
+    words = "getUserName2024 jsmith42 README2024 some-long-kebab-case-name org_apache_spark_sql HttpServletRequest x86_64-linux-gnu a-b-c-d-e 20240115T103000Z ACKNOWLEDGEMENTS Geschwindigkeit 555-8791 ________"
+    assert found(f"{words} 123e4567-e89b-12d3-a456-426614174000 {'0a' * 20}") == []
+
+
 def test_secrets_in_long_runs():
     began = time.perf_counter()
     word = "a" * 5000 + "1x"
