@@ -271,6 +271,29 @@ def test_html(spark):
     assert html_density.extract(table.limit(0)).count() == 0
 
 
+def test_html_layouts():
+    prose = "<h1>Title</h1>" + "".join(f"<p>Paragraph {k} of the story, long enough to count as prose of the page.</p>" for k in range(6))
+    want = html_density.main_text(f"<body><div>{prose}</div></body>")
+    assert want.startswith("Title\nParagraph 0") and want.count("\n") == 6
+    side, nav = "<div class='sidebar'><p>Side notes that nobody wants to read.</p></div>", "<nav><a href=/>Home</a> You are here</nav>"
+    talk = "<div class='comments-area'>" + "<p>A reader says hello and more than enough words, again and again and again.</p>" * 12 + "</div>"
+    for start, end in (
+        ("<div class='layout has-sidebar'>", "</div>"), ("<div class='post comments-open'>", "</div>"), ("<div class='post category-social'>", "</div>"),
+        ("<form method=post id=aspnetForm>", "</form>"), ("<form><div class='has-sidebar'><div class='post comments-open'>", "</div></div></form>"),
+        ("<div role=form>", "</div>"), ("<div class='widget'>", "</div>"), ("<main><div class='with-ads'>", "</div></main>"),
+    ):
+        assert html_density.main_text(f"<body>{nav}{start}<div>{prose}</div>{side}{end}<footer>Of the site</footer></body>") == want, start
+    for page in (f"<article>{prose}</article>{talk}", f"<div>{prose}</div>{side}<form>Your mail <input> <button>Go</button></form>"):
+        assert html_density.main_text(f"<body>{nav}{page}</body>") == want
+    assert html_density.main_text(f"<body>{nav}<article></article><div class=ad>Buy this now.</div></body>") == ""
+    assert html_density.main_text(f"<body>{nav}<div class=ad hidden>{prose}</div></body>") == ""
+
+
+def test_html_drawn_text():
+    page = "<body><article><p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> be.</p><svg><title>t</title><path d=''/><text>Label</text></svg><textarea>a < b</textarea><p>End.</p></article></body>"
+    assert html_density.main_text(page) == "Let x=2 be.\nLabel\na < b\nEnd."
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 

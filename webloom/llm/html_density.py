@@ -1,10 +1,16 @@
 """Main-text extraction by composite text density.
 
 Each element's density is its characters per tag, damped by the share of link
-text (Sun, Song and Liao, SIGIR 2011). Elements that are boilerplate by tag,
-role or name are cut first. The element whose children's densities sum highest
-is the core; with the least density on its path to the body as threshold, it
-is widened to an enclosing article, or to parents whose other children reach
+text (Sun, Song and Liao, SIGIR 2011). Hidden elements and nav, footer, aside,
+menu, dialog, button and a header outside an article are cut first. A form, or
+a name with a word of boilerplate among others ('has-sidebar'), is only weak
+evidence: such an element stays if it holds the densest subtree or over half of
+the body's text outside links; a role, or a name of boilerplate words alone
+('comments', 'site-footer'), stays with over nine tenths of it. Neither stays
+by its share if an article or main lies elsewhere. The element whose children's
+densities sum highest is the core. If it lies in an article, the outermost one
+is the result, whatever its density; else, with the least density on its path
+to the body as threshold, it is widened to parents whose other children reach
 the threshold too. Its text is given block by block.
 
 Edge cases: null or empty html gives an empty text; unclosed, misnested and
@@ -32,7 +38,10 @@ TOKEN = re.compile(
 )
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+#: annotation (MathML), desc, metadata and defs (SVG) are never shown.
+RAW = frozenset("script style title noscript template iframe select object annotation annotation-xml desc metadata defs".split())
+#: Elements below these are no tags of the page: their text counts, they do not.
+DRAWN = frozenset(("svg", "math"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
@@ -40,8 +49,8 @@ BLOCK = frozenset(
 #: An open element of the second kind ends where one of the first begins.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "tbody": ("tr", "td", "th", "thead", "tbody"), "tfoot": ("tr", "td", "th", "tbody"), "body": ("head",)}
 SCOPES = frozenset("table ul ol dl article section div main body html td th blockquote".split())
-CUT_TAGS = frozenset("nav footer aside form menu dialog button head".split())
-CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form".split())
+CUT_TAGS = frozenset("nav footer aside menu dialog button head".split())
+CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar".split())
 #: Words of class and id names that mark boilerplate.
 CUT_NAMES = frozenset(
     "ad ads adbox adv advert adverts advertisement advertising banner promo promotion sponsor sponsored sidebar sidenav nav navbar navigation topnav menu "
@@ -49,38 +58,48 @@ CUT_NAMES = frozenset(
     "popup modal overlay share sharing social related recommended newsletter subscribe subscription signup login widget pagination pager toolbar skip".split()
 )
 HEADS = frozenset(("header",))
+#: Words that leave the meaning of a name of boilerplate words as it is.
+NEUTRAL = frozenset("site page main global top bottom left right primary secondary area list section wrapper wrap container content box block inner outer thread bar links item items group".split())
+#: Evidence that an element is boilerplate, and the share of the body's text outside links from which on it stays.
+KEPT, WEAK, STRONG, FINAL = range(4)
+STAYS = {WEAK: 0.5, STRONG: 0.9}
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 
-def _cut(tag: str, attrs: str, in_article: bool) -> bool:
+def _mark(tag: str, attrs: str, in_article: bool) -> int:
     if tag in CUT_TAGS:
-        return True
+        return FINAL
     if tag in ("body", "html", "main", "article"):
-        return False
+        return KEPT
     if tag == "header" and not in_article:
-        return True
+        return FINAL
+    mark = WEAK if tag == "form" else KEPT
     if not attrs or "=" not in attrs and "hidden" not in attrs.lower():
-        return False
+        return mark
     for m in ATTRIBUTE.finditer(attrs):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return FINAL
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
-            return True
+            return FINAL
         if name == "role" and value.lower() in CUT_ROLES:
-            return True
+            mark = STRONG
+        if name == "role" and value.lower() == "form":
+            mark = max(mark, WEAK)
         if name in ("class", "id"):
-            words = {x.lower() for x in NAME_PART.findall(value)}
-            if words & CUT_NAMES or not in_article and words & HEADS:
-                return True
-    return False
+            cut = CUT_NAMES if in_article else CUT_NAMES | HEADS
+            for part in value.split():
+                words = {x.lower() for x in NAME_PART.findall(part)}
+                if words & cut:
+                    mark = max(mark, STRONG if words <= cut | NEUTRAL else WEAK)
+    return mark
 
 
 class Page:
     """Elements in page order (parents first) and texts as (element, block, text)."""
 
     def __init__(self, source: str) -> None:
-        self.tags, self.parents, self.cuts = ["#root"], [0], [False]
+        self.tags, self.parents, self.marks, self.drawn = ["#root"], [0], [KEPT], [False]
         self.texts: list[tuple[int, int, str]] = []
         stack, articles, block, at = [0], 0, 0, 0
         n = len(source)
@@ -112,6 +131,12 @@ class Page:
                     end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(source, at)
                     at = end.end() if end else n
                 continue
+            if tag == "textarea":
+                end = re.compile(r"</textarea[^>]*>", re.IGNORECASE).search(source, at)
+                self._open(tag, stack, KEPT)
+                self.texts.append((len(self.tags) - 1, block + 1, source[at : end.start() if end else n]))
+                block, at = block + 2, end.end() if end else n
+                continue
             if tag == "br":
                 self.texts.append((stack[-1], block, " "))
             if tag in BLOCK:
@@ -127,12 +152,64 @@ class Page:
             if not stack:
                 stack = [0]
             i = len(self.tags)
-            self.tags.append(tag)
-            self.parents.append(stack[-1])
-            self.cuts.append(self.cuts[stack[-1]] or _cut(tag, m["attrs"], articles > 0))
+            self._open(tag, stack, _mark(tag, m["attrs"], articles > 0))
             if tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK):
                 stack.append(i)
                 articles += tag in ("article", "main")
+        self._decide()
+
+    def _open(self, tag: str, stack: list[int], mark: int) -> None:
+        above = stack[-1]
+        self.tags.append(tag)
+        self.parents.append(above)
+        self.marks.append(mark)
+        self.drawn.append(self.drawn[above] or self.tags[above] in DRAWN)
+
+    def _decide(self) -> None:
+        """Cuts by tag, and by evidence where the text does not speak against it."""
+        n, known = len(self.tags), self.marks
+        self._spread(FINAL)
+        if not any(WEAK <= x <= STRONG for x in known):
+            return
+        for mark in (STRONG, WEAK):
+            if mark not in known:
+                continue
+            plain, main = self._plain(), [x in ("article", "main") for x in self.tags]
+            for i in range(n - 1, 0, -1):
+                main[self.parents[i]] += main[i]
+            above = [0] * n  # articles that are parents
+            for i in range(1, n):
+                up = self.parents[i]
+                above[i] = above[up] + (self.tags[up] in ("article", "main"))
+            holds = set()
+            if mark == WEAK:
+                x = self._densities()[4]
+                while x:
+                    holds.add(x)
+                    x = self.parents[x]
+            for i in range(1, n):
+                if known[i] == mark and (i in holds or main[i] + above[i] == main[0] and plain[i] > STAYS[mark] * plain[0]):
+                    known[i] = KEPT
+            self._spread(mark)
+
+    def _spread(self, least: int) -> None:
+        """Cuts all elements marked `least` or more, with what is below them."""
+        self.cuts = [False] * len(self.tags)
+        for i in range(1, len(self.tags)):
+            self.cuts[i] = self.cuts[self.parents[i]] or self.marks[i] >= least
+
+    def _plain(self) -> list[int]:
+        """Characters outside links below each element, without cut ones."""
+        n = len(self.tags)
+        plain, linked = [0] * n, [False] * n
+        for i in range(1, n):
+            linked[i] = linked[self.parents[i]] or self.tags[i] == "a"
+        for i, _, text in self.texts:
+            if not self.cuts[i] and not linked[i]:
+                plain[i] += len("".join(text.split()))
+        for i in range(n - 1, 0, -1):
+            plain[self.parents[i]] += plain[i]
+        return plain
 
     def _last(self, stack: list[int], tag: str) -> int:
         return next(k for k in range(len(stack) - 1, -1, -1) if self.tags[stack[k]] == tag) + 1
@@ -144,10 +221,10 @@ class Page:
                 return
             yield x
 
-    def core(self) -> int:
-        """The element that holds the main text; 0 is the whole page."""
+    def _densities(self) -> tuple[int, list[int], list[float], list[float], int]:
+        """(body, characters, densities, their sums over children, the element with the highest sum)."""
         n = len(self.tags)
-        chars, linked, tags, links = [0] * n, [0] * n, [1] * n, [0] * n
+        chars, linked, tags, links = [0] * n, [0] * n, [int(not x) for x in self.drawn], [0] * n
         for i, _, text in self.texts:
             if not self.cuts[i]:
                 chars[i] += len("".join(text.split()))
@@ -155,7 +232,7 @@ class Page:
         for i in range(1, n):
             in_link[i] = in_link[self.parents[i]] or self.tags[i] == "a"
             if in_link[i]:
-                linked[i], links[i] = chars[i], 1
+                linked[i], links[i] = chars[i], tags[i]
         for i in range(n - 1, 0, -1):
             if not self.cuts[i]:
                 p = self.parents[i]
@@ -167,12 +244,18 @@ class Page:
         share = linked[body] / max(1, chars[body])
         density, sums = [0.0] * n, [0.0] * n
         for i in range(1, n):
-            if chars[i] and not self.cuts[i]:
+            if chars[i] and not self.cuts[i] and not self.drawn[i]:
                 base = math.log(chars[i] * linked[i] / max(1, chars[i] - linked[i]) + share * chars[i] + math.e)
                 ratio = chars[i] / max(1, linked[i]) * tags[i] / max(1, links[i])
                 density[i] = chars[i] / tags[i] * math.log(max(ratio, 1.0 + 1e-9)) / base
                 sums[self.parents[i]] += density[i]
-        best = max((i for i in range(n) if i and i != body and chars[i] and not self.cuts[i] and self.tags[i] != "html"), key=lambda i: (max(sums[i], density[i] if sums[i] == 0 else 0), -i), default=body)
+        best = max((i for i in range(n) if i and i != body and chars[i] and not self.cuts[i] and not self.drawn[i] and self.tags[i] != "html"), key=lambda i: (max(sums[i], density[i] if sums[i] == 0 else 0), -i), default=body)
+        return body, chars, density, sums, best
+
+    def core(self) -> int:
+        """The element that holds the main text; 0 is the whole page."""
+        n = len(self.tags)
+        body, chars, density, _, best = self._densities()
         path, up = [best], best
         while up and up != body:
             up = self.parents[up]
