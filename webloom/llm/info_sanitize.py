@@ -1,8 +1,10 @@
 """Personal data by shape, and terms that give it away.
 
 Base shapes (e-mail, IP, card, phone) are protected entities. For every term
-near an entity, corpus counts say how strongly it reveals it: with n(t, e)
-documents where t stands within `window` words of e, n(t) documents with t and
+near an entity, corpus counts say how strongly it reveals it. Terms are all word
+runs of letters and digits of any length, joined by inner underscores; scripts
+without spaces are not divided further. With n(t, e) documents where t is one of
+the `window` words before or after e (whatever stands between them), n(t) documents with t and
 n(e) with e among N, the disclosure is log2(n(t, e) * N / (n(t) * n(e))) bits at
 a probability P(e | t) = n(t, e) / n(t). Terms above both thresholds, seen with
 the entity in at least `support` different contexts (so that copies of a text
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 
@@ -33,7 +36,7 @@ IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
-WORD = re.compile(r"[^\W\d_]{3,}")
+WORD = re.compile(r"[^\W_]++(?:_++[^\W_]++)*+")
 #: Terms up to this number go to every worker; more are joined instead.
 BROADCAST_TERMS = 200_000
 SPANS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -75,9 +78,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _contexts(window: int):
-    reach = 40 * window
+def _lower_words(text: str | None) -> set[str]:
+    return {x.lower() for x in WORD.findall(text or "")}
+
 
+def _contexts(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
@@ -85,10 +90,13 @@ def _contexts(window: int):
                 for text in part.column("text").to_pylist():
                     spans = base_spans(text) if text else []
                     near: dict[str, tuple[set[str], list[str]]] = {}
+                    at = [m.span() for m in WORD.finditer(text)] if spans else []
+                    starts, ends = [x for x, _ in at], [x for _, x in at]
                     for k, s, e in spans:
                         value = text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])
                         terms, around = near.setdefault(f"{k}:{value}", (set(), []))
-                        left, right = WORD.findall(text[max(0, s - reach) : s].lower())[-window:], WORD.findall(text[e : e + reach].lower())[:window]
+                        before, after = bisect_right(ends, s), bisect_left(starts, e)
+                        left, right = ([text[x:y].lower() for x, y in side] for side in (at[max(0, before - window) : before], at[after : after + window]))
                         around += [*left, "|", *right]
                         terms.update(left, right)
                     for entity, (terms, around) in near.items():
@@ -105,7 +113,7 @@ def _term_counts(wanted: frozenset[str]):
         counts: dict[str, int] = defaultdict(int)
         for batch in batches:
             for text in batch.column("text"):
-                for term in wanted.intersection(WORD.findall((text.as_py() or "").lower())):
+                for term in wanted & _lower_words(text.as_py()):
                     counts[term] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["term", "n"])
 
@@ -115,7 +123,7 @@ def _term_counts(wanted: frozenset[str]):
 def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in slices(batch):
-            words = [sorted(set(WORD.findall((x or "").lower()))) for x in part.column("text").to_pylist()]
+            words = [sorted(_lower_words(x)) for x in part.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "words"])
 
 
