@@ -1,4 +1,5 @@
 from webloom.functions import html
+from webloom.operators import crawl
 
 
 def test_render():
@@ -21,3 +22,12 @@ def test_robust():
     assert html.to_markdown(None) == html.to_markdown("") == html.EMPTY
     assert html.to_markdown("<div>" * 10000 + "deep") == "deep"
     assert isinstance(html.to_markdown("<p>" + "<div class='x'>word</div>" * 60000), str)
+
+
+def test_anchors(spark):
+    page = """<a href="/d">Two <b>words</b></a><a href='/s'>one</a><A class=x HREF=/u>un</A><a href="/q?a=1&amp;b=2">A &amp; B</a><!-- <a href="/no">c</a> -->
+    <script>x = '<a href="/js">j</a>'</script><ul><li><a href=/open>open</li><li>after</li></ul><a name="n">none</a><a href="">e</a><a href="#f">f</a><a href='MAILTO:a@b'>m</a><a href = " /d ">again</a>"""
+    got = crawl.links(spark.createDataFrame([(1, "https://x.com/p", page), (2, "https://x.com/", None)], "page_id long, url string, html string")).orderBy("pos").collect()
+    want = [("d", "Two words"), ("s", "one"), ("u", "un"), ("q?a=1&b=2", "A & B"), ("open", "open")]
+    assert [(r.url, r.text) for r in got] == [(f"https://x.com/{u}", x) for u, x in want]
+    assert html.anchors("<p>" * 800_000 + "<a href=/end>" + "long " * 100)[0] == {"href": "/end", "label": ("long " * 100)[:200]}

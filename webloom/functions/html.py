@@ -61,9 +61,9 @@ class _Builder(HTMLParser):
         self.at.children.append(data)
 
 
-def parse(source: str) -> Node:
+def parse(source: str, limit: int | None = MAX_CHARS) -> Node:
     builder = _Builder()
-    builder.feed(source[:MAX_CHARS])
+    builder.feed(source[:limit])
     builder.close()
     return builder.root
 
@@ -76,6 +76,37 @@ def walk(root: Node) -> Iterator[Node]:
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
+def anchors(source: str | None, most: int = 200) -> list[dict[str, str]]:
+    """href and label of every a[href] in page order; the label is its text without tags, up to `most` characters.
+
+    A page is read whole. Unclosed anchors end with the element around them; comments, scripts and styles hold none.
+    """
+    found: list[dict[str, str]] = []
+    labels: list[list[str]] = []
+    unfilled: dict[int, int] = {}  # open anchors and the characters of their labels so far
+    stack: list[Node | str | int] = [parse(source or "", None)]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, int):
+            unfilled.pop(x, None)
+        elif isinstance(x, str):
+            for k in list(unfilled) if unfilled else ():
+                labels[k].append(x)
+                unfilled[k] += len("".join(x.split()))
+                if unfilled[k] > most:
+                    del unfilled[k]
+        elif x.tag not in ("script", "style"):
+            if x.tag == "a" and "href" in x.attrs:
+                unfilled[len(found)] = 0
+                stack.append(len(found))
+                found.append({"href": x.attrs["href"].strip(), "label": ""})
+                labels.append([])
+            stack += reversed(x.children)
+    for row, parts in zip(found, labels, strict=True):
+        row["label"] = " ".join("".join(parts).split())[:most]
+    return found
+
+
 def strip_boilerplate(root: Node) -> Node:
     """Without navigation, footers, asides, scripts, styles and hidden elements."""
     for node in walk(root):
@@ -250,6 +281,11 @@ def response_kind(source: pd.Series) -> pd.Series:
     return source.map(lambda x: adapt(x or "")[0])
 
 
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())])))
+def anchors_of(source: pd.Series) -> pd.Series:
+    return source.map(anchors, na_action=None)
+
+
 def selected(selectors: list[str]):
     """A UDF: struct of the selected html, what matched and what is no supported selector."""
 

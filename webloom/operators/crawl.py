@@ -10,7 +10,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import urls
+from ..functions import html, urls
 from ..functions.expressions import let
 
 TERMINAL = ("fetched", "error", "skipped")
@@ -65,15 +65,10 @@ def seeds(candidates: DataFrame, policy: CrawlPolicy, limit: int) -> DataFrame:
     return named.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos", "url").limit(limit)
 
 
-ANCHOR = r'(?is)<a\b[^>]*?\bhref\s*=\s*"([^"]*)"[^>]*>(.*?)</a>'
-
-
 def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, url, text, same_domain): flat anchors, the first of each canonical URL of a page."""
-    html = F.coalesce("html", F.lit(""))
-    found = F.arrays_zip(F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1)).alias("href"), F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2)).alias("label"))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(found).alias("pos", "a")).filter(~F.lower(F.trim(F.col("a.href"))).rlike("^(#|mailto:|tel:|javascript:|data:)"))
-    rows = rows.select("page_id", "pos", "base", urls.canonical_url(urls.join_url(F.col("base"), F.trim(F.col("a.href")))).alias("url"), F.substring(F.trim(F.regexp_replace(F.regexp_replace("a.label", "<[^>]*>", ""), r"\s+", " ")), 1, 200).alias("text"))
+    """(page_id, pos, url, text, same_domain): every a[href] of the HTML tree, the first of each canonical URL of a page."""
+    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(html.anchors_of("html")).alias("pos", "a")).filter((F.col("a.href") != "") & ~F.lower("a.href").rlike("^(#|mailto:|tel:|javascript:|data:)"))
+    rows = rows.select("page_id", "pos", "base", urls.canonical_url(urls.join_url(F.col("base"), F.col("a.href"))).alias("url"), F.col("a.label").alias("text"))
     rows = rows.filter(F.col("url").rlike("^https?://")).withColumn("same_domain", urls.domain_of(F.col("url")) == urls.domain_of(F.col("base")))
     first = Window.partitionBy("page_id", "url").orderBy("pos")
     return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "base")
