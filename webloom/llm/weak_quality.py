@@ -103,11 +103,13 @@ def rules(name: str = "features") -> dict[str, F.Column]:
     c = lambda x: F.col(name)[x]
     n = c("n_words")
     letters, root = c("n_upper") + c("n_lower"), F.sqrt(n.cast("double"))
+    # of order n**0.5 up to 20,000 words, n**0.4 beyond: the slowest growth of vocabularies in Heaps' law
+    few = root * F.pow(F.lit(20000.0) / F.greatest(n, F.lit(20000)), F.lit(0.1))
     return {
         "markup": _vote(10 * c("n_symbols") > n, 50 * c("n_symbols") <= n),
         "shouting": _vote((10 * c("n_upper") > 4 * letters) | (5 * c("n_bangs") > n), (10 * c("n_upper") <= 2 * letters) & (20 * c("n_bangs") <= n)),
         "repetition": _vote(
-            (10 * c("n_repeat_words") > 3 * n) | ((c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines"))) | ((n >= 30) & (n <= 20000) & (2 * c("n_distinct") < 5 * root)),
+            (10 * c("n_repeat_words") > 3 * n) | ((c("n_lines") >= 4) & (10 * c("n_dup_lines") > 3 * c("n_lines"))) | ((n >= 30) & (2 * c("n_distinct") < 5 * few)),
             (20 * c("n_repeat_words") <= 3 * n) & (20 * c("n_dup_lines") <= 3 * c("n_lines")),
         ),
         "prose": _vote(
