@@ -13,7 +13,8 @@
    components meet again inside their tiles, banded by size and bounded by bit
    counts before a row is made, and are checked exactly too. So each link
    between different sets is found or lies inside a component already, and a
-   group of near copies never makes all its pairs.
+   group of near copies never makes all its pairs. Components are exact; the
+   links inside one are not all verified, so there are no counts of links.
 
 Edge cases: null, empty or blank texts have an empty set, link with nothing and
 are their own component. Texts with fewer words than `size` are one shingle.
