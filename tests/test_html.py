@@ -1,5 +1,6 @@
 from webloom.functions import html
 from webloom.operators import crawl
+from webloom.plans import catalogue
 
 
 def test_render():
@@ -31,3 +32,10 @@ def test_anchors(spark):
     want = [("d", "Two words"), ("s", "one"), ("u", "un"), ("q?a=1&b=2", "A & B"), ("open", "open")]
     assert [(r.url, r.text) for r in got] == [(f"https://x.com/{u}", x) for u, x in want]
     assert html.anchors("<p>" * 800_000 + "<a href=/end>" + "long " * 100)[0] == {"href": "/end", "label": ("long " * 100)[:200]}
+
+
+def test_structured_data_keeps_all_documents(spark, tmp_path):
+    data = [(1, "s", "before </script> after"), (2, "s", "plain")]
+    spark.createDataFrame(data, "doc_id long, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = catalogue.queries()["structured_data"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.body) for r in got) == [(d, f"# {s}\n\n{x}") for d, s, x in data]

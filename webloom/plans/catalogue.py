@@ -491,8 +491,9 @@ def archive_body(spark, sf_dir):
 
 @query("SELECT doc_id, '# ' || coalesce(source, '') || CASE WHEN trim(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') = '' THEN '' ELSE chr(10) || chr(10) || rtrim(text, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') END AS body FROM documents WHERE coalesce(text, '') NOT LIKE '%</script%'")
 def structured_data(spark, sf_dir):
-    d = t(spark, sf_dir, "documents").filter(~F.coalesce("text", F.lit("")).contains("</script"))
+    d = t(spark, sf_dir, "documents")
     block = F.to_json(F.struct(F.coalesce("source", F.lit("")).alias("headline"), F.coalesce("text", F.lit("")).alias("articleBody")))
+    block = F.replace(block, F.lit("</"), F.lit("<\\/"))  # or a text could end the script
     return d.select("doc_id", results.json_ld(F.concat(F.lit('<script type="application/ld+json">'), block, F.lit("</script>"))).alias("body"))
 
 
