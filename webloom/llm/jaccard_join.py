@@ -6,25 +6,37 @@
    n - ceil(t n) + 1, which are the keys of the tiles.
 2. Equal sets become one class, which stands for all its copies.
 3. In every tile, each class meets the tile's smallest id only; pairs whose
-   sizes or parity bitmaps cannot reach the threshold (differing bits are at
-   most the symmetric difference) go: first by 256 bits, then by as many bits as
-   the size band has elements. The others are checked exactly.
-4. Verified links give components. Classes that still are in different
-   components meet again inside their tiles, banded by size and bounded by bit
-   counts before a row is made, and are checked exactly too. So each link
-   between different sets is found or lies inside a component already, and a
-   group of near copies never makes all its pairs. Components are exact; the
-   links inside one are not all verified, so there are no counts of links.
+   sizes or parity bitmaps (as many bits as the set has elements, 256 at least)
+   cannot reach the threshold go, as differing bits are at most the symmetric
+   difference. The others are checked exactly and give components.
+4. Of tiles with classes of different components, those with the same members
+   are one. Inside them, banded by size, classes of different components meet
+   where their places in the order, their sizes and their bit counts allow the
+   threshold: all of that is tested inside the join, so that only such pairs
+   become rows. They are checked exactly too. So each link between different
+   sets is found or lies inside a component already, and a group of near copies
+   never makes all its pairs.
+
+`near_components` needs no more than that. `all_links` has every link between
+classes and `link_counts` the number of links of every document: the same tiles
+without the components, as many rows as there are links.
 
 Edge cases: null, empty or blank texts have an empty set, link with nothing and
-are their own component. Texts with fewer words than `size` are one shingle.
-Repeated rows give one row each. An empty table gives an empty result; other
-columns do not matter. Shingles are compared by 64-bit hashes.
+are their own component. Texts with fewer words than `size` are one shingle; a
+text of any length is one set. Repeated rows give one row each; different texts
+under one id each have their own component, and keep_one drops the id if one of
+them reaches a smaller id. Rows without an id never link to other texts: their
+component is that of an equal text with an id, else null, and keep_one keeps
+them. Ties (equal sizes, equal counts) are broken
+by id and hash, which changes no result. An empty table gives an empty result;
+other columns do not matter. Shingles are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +49,8 @@ from .components import components
 BUCKETS = 1 << 16
 #: Up to this number of ids, texts to verify are picked by a broadcast of 8 bytes an id; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
-BITMAP = ("b0", "b1", "b2", "b3")
+#: Pairs of one class that a task verifies together.
+FAN = 500
 
 
 def _shingles(words: ByteHash, part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,35 +101,13 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def _wide_bitmap(mixed: np.ndarray) -> bytes:
+def bitmap(mixed: np.ndarray) -> np.ndarray:
     """Parities of the elements in the least power of two of bits, 256 at least, that is no less than their number."""
     bits = 256
     while bits < len(mixed):
         bits *= 2
-    return np.packbits((np.bincount((mixed >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1).astype(np.uint8)).tobytes() if len(mixed) else b""
-
-
-def differing_bits(x: bytes, y: bytes) -> int:
-    """Of two wide bitmaps; the longer one is folded onto the shorter."""
-    p, q = np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8)
-    if len(p) < len(q):
-        p, q = q, p
-    while len(p) > len(q):
-        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
-    return int(np.bitwise_count(p ^ q).sum())
-
-
-def _bounded(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = [
-                (100 + percent) * differing_bits(x, y) <= (100 - percent) * n
-                for x, y, n in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), batch.column("n").to_pylist(), strict=True)
-            ]
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
-
-    return run
+    odd = np.bincount((mixed >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64) if len(mixed) else np.zeros(0, np.int64)
 
 
 def _signatures(size: int, percent: int, order: np.ndarray):
@@ -135,17 +126,15 @@ def _signatures(size: int, percent: int, order: np.ndarray):
                         out[full] = op.reduceat(values, first[full])
                     return out
 
-                bit = U(1) << ((mixed >> U(8)) & U(63))
-                word = (mixed >> U(14)) & U(3)
-                bitmap = [fold(np.bitwise_xor, np.where(word == U(k), bit, U(0))) for k in range(4)]
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(first[:-1], length)
-                wide = [_wide_bitmap(mixed[a:b]) for a, b in zip(first, first[1:])]
-                columns = [n, fold(np.add, mixed), fold(np.bitwise_xor, mix(mixed ^ K1)), *bitmap]
+                bits = [bitmap(mixed[a:b]) for a, b in zip(first, first[1:])]
+                bit_ends = np.concatenate([[0], np.cumsum([len(x) for x in bits])])
+                columns = [n, fold(np.add, mixed), fold(np.bitwise_xor, mix(mixed ^ K1))]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in columns), pa.array(wide, pa.binary()), _lists(elements[at], ends)],
-                    names=["doc_id", "n", "s0", "s1", *BITMAP, "wide", "keys"],
+                    [part.column("doc_id"), *(pa.array(c.view(np.int64)) for c in columns), _lists(np.concatenate([np.zeros(0, np.int64), *bits]), bit_ends), _lists(elements[at], ends)],
+                    names=["doc_id", "n", "s0", "s1", "bits", "keys"],
                 )
 
     return run
@@ -164,30 +153,53 @@ def _elements(size: int, order: np.ndarray):
 
 
 def _verified(percent: int):
+    """Rows sorted by (a, salt, b), first the set of a itself (b is null), then the sets that it may link to."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head, held = None, []
         for batch in batches:
             good = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                common = int((both[1:] == both[:-1]).sum())
-                good.append(100 * common >= percent * (len(x) + len(y) - common))
-            kept = batch.filter(pa.array(good, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([kept.column("a"), kept.column("b")], names=["a", "b"])
+            for a, salt, b, body in zip(batch.column("a").to_pylist(), batch.column("salt").to_pylist(), batch.column("b").to_pylist(), batch.column("elements"), strict=True):
+                y = np.frombuffer(body.as_py(), np.uint64)
+                if b is None:
+                    held = [*held, y] if head == (a, salt) else [y]
+                    head = (a, salt)
+                elif any(linked(x, y, percent) for x in held):
+                    good.append((a, b))
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in good], pa.int64()) for k in range(2)], names=["a", "b"])
 
     return run
 
 
+def linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Exact intersection of sorted arrays against the threshold."""
+    both = np.concatenate([x, y])
+    both.sort(kind="stable")
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= percent * (len(x) + len(y) - common)
+
+
+def differing_bits(x: Column, y: Column, percent: int) -> Column:
+    """Of two bitmaps whose sizes are in the same band: the longer one is folded onto the shorter."""
+
+    def halved(c: Column) -> Column:
+        half = F.size(c).cast("int") / 2
+        return F.zip_with(F.slice(c, F.lit(1), half.cast("int")), F.slice(c, half.cast("int") + 1, half.cast("int")), lambda p, q: p.bitwiseXOR(q))
+
+    for _ in range(1 + math.ceil(math.log2(100 / percent))):
+        x, y = F.when(F.size(x) > F.size(y), halved(x)).otherwise(x), F.when(F.size(y) > F.size(x), halved(y)).otherwise(y)
+    return F.aggregate(F.zip_with(x, y, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda total, k: total + k)
+
+
 def possible(x: str, y: str, percent: int) -> Column:
     """Sizes and bit counts of x.* and y.* allow the threshold."""
     nx, ny = F.col(f"{x}.n"), F.col(f"{y}.n")
-    differing = sum((F.bit_count(F.col(f"{x}.{b}").bitwiseXOR(F.col(f"{y}.{b}"))) for b in BITMAP), F.lit(0))
-    return (100 * nx >= percent * ny) & (100 * ny >= percent * nx) & ((100 + percent) * differing <= (100 - percent) * (nx + ny))
+    sizes = (100 * nx >= percent * ny) & (100 * ny >= percent * nx)
+    return F.when(sizes, (100 + percent) * differing_bits(F.col(f"{x}.bits"), F.col(f"{y}.bits"), percent) <= (100 - percent) * (nx + ny)).otherwise(False)
 
 
 class JaccardJoin:
-    """The join over one table of (doc_id, text); see `linked` for its result."""
+    """The join over one table of (doc_id, text); see `result`, `all_links` and `link_counts`."""
 
     def __init__(self, docs: DataFrame, size: int = 5, percent: int = 80) -> None:
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -199,57 +211,97 @@ class JaccardJoin:
         self.order = np.empty(BUCKETS, np.uint64)
         self.order[np.argsort(counts, kind="stable")] = np.arange(BUCKETS, dtype=np.uint64)
 
-    def _bound(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
-        """The pairs (a, b) that the wide bitmaps allow."""
-        x = wide.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("wide").alias("x"))
-        y = wide.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("wide").alias("y"))
-        both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y", (F.col("na") + F.col("nb")).alias("n"))
-        return both.mapInArrow(_bounded(self.percent), "a long, b long")
+    @cached_property
+    def signatures(self) -> DataFrame:
+        schema = "doc_id long, n long, s0 long, s1 long, bits array<long>, keys array<long>"
+        return cut(self.docs.mapInArrow(_signatures(self.size, self.percent, self.order), schema))
+
+    @cached_property
+    def classes(self) -> DataFrame:
+        """(s0, s1, n, node, copies): sets, the smallest id that has each, and the number of rows."""
+        return self.signatures.filter("n > 0").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"))
+
+    @cached_property
+    def _tiles(self) -> tuple[DataFrame, DataFrame]:
+        """(sizes and bitmaps of classes, (key, least, doc_id, pos) of keys that at least two classes have)."""
+        named = self.classes.select("s0", "s1", "n", F.col("node").alias("doc_id"))
+        reps = self.signatures.join(named, ["doc_id", "s0", "s1", "n"], "left_semi")
+        bits = cut(reps.select("doc_id", "n", "bits").distinct())
+        rows = reps.select("doc_id", F.posexplode("keys").alias("pos", "key"))
+        tiles = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
+        return bits, cut(rows.join(tiles, "key"))
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) over the threshold."""
+        """The pairs (a, b) over the threshold. Sets of b go where the set of a goes once for FAN of them."""
+        fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
+        heads = fans.select("a", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"))
+        members = pairs.join(fans, "a").select("a", F.pmod(F.xxhash64("b"), F.col("fan")).cast("int").alias("salt"), "b")
+        roles = heads.unionByName(members).withColumn("doc_id", F.coalesce("b", "a"))
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         texts = self.docs.join(F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted, "doc_id", "left_semi")
-        elements = texts.mapInArrow(_elements(self.size, self.order), "doc_id long, elements binary")
-        sized = pairs.join(elements.select(F.col("doc_id").alias("a"), F.col("elements").alias("x")), "a")
-        sized = sized.join(elements.select(F.col("doc_id").alias("b"), F.col("elements").alias("y")), "b")
-        return sized.select("a", "b", "x", "y").mapInArrow(_verified(self.percent), "a long, b long").distinct()
-
-    def linked(self) -> tuple[DataFrame, DataFrame]:
-        """(signatures with class columns, components of class representatives)."""
-        schema = "doc_id long, n long, s0 long, s1 long, b0 long, b1 long, b2 long, b3 long, wide binary, keys array<long>"
-        every = cut(self.docs.mapInArrow(_signatures(self.size, self.percent, self.order), schema))
-        classes = every.filter("n > 0").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("doc_id"))
-        reps = every.join(classes, ["doc_id", "s0", "s1", "n"], "left_semi")
-        bits = cut(reps.select("doc_id", "n", *BITMAP, "wide").distinct())
-        wide, bits = bits.select("doc_id", "n", "wide"), bits.drop("wide")
-        rows = reps.select(F.explode("keys").alias("key"), "doc_id")
-        tiles = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
-        shared = cut(rows.join(tiles, "key"))
-        small = lambda name: bits.select(F.col("doc_id").alias(name), F.struct("n", *BITMAP).alias(f"{name}_s"))
+        sets = texts.mapInArrow(_elements(self.size, self.order), "doc_id long, elements binary")
+        ready = roles.join(sets, "doc_id").select("a", "salt", "b", "elements").repartition("a", "salt").sortWithinPartitions("a", "salt", "b")
+        return ready.mapInArrow(_verified(self.percent), "a long, b long")
+
+    def _meet(self, rows: DataFrame, bits: DataFrame, apart: bool) -> DataFrame:
+        """Distinct pairs inside tiles that places, sizes and bit counts allow; `apart`: of different components only."""
+        t = self.percent
+        # a little wider than the ratio of linked sizes, so that these are in the same band or in neighbouring ones
+        band = F.floor(F.log(F.col("n").cast("double")) * (0.999 / math.log(100 / t))).cast("int") if t < 100 else F.col("n").cast("int")
+        placed = rows.join(bits, "doc_id").withColumn("band", band)
+        x = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
+        y = placed.alias("y")
+        nx, ny = F.col("x.n"), F.col("y.n")
+        once = (nx < ny) | ((nx == ny) & (F.col("x.doc_id") < F.col("y.doc_id")))
+        # what comes before the first common key is in one of the sets only
+        room = (100 + t) * F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= t * (nx + ny)
+        fits = once & room & possible("x", "y", t)
+        if apart:
+            fits = (F.col("x.component") != F.col("y.component")) & fits
+        met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & fits)
+        ids = (F.col("x.doc_id"), F.col("y.doc_id"))
+        return met.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
+
+    def _components(self) -> DataFrame:
+        """(node, component) of the class representatives that link."""
+        bits, shared = self._tiles
+        small = lambda name: bits.select(F.col("doc_id").alias(name), F.struct("n", "bits").alias(f"{name}_s"))
         pairs = shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
-        near = pairs.join(small("a"), "a").join(small("b"), "b").filter(possible("a_s", "b_s", self.percent)).select("a", "b")
-        first = cut(self._bound(near, wide))
+        first = cut(pairs.join(small("a"), "a").join(small("b"), "b").filter(possible("a_s", "b_s", self.percent)).select("a", "b").distinct())
         links = cut(self._verify(first))
         groups = components(links)
         # what is still apart meets inside the tiles
-        tagged = shared.join(bits, "doc_id").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        mixed = tagged.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high").select("key")
-        apart = cut(tagged.join(mixed, "key", "left_semi").select("key", "doc_id", "component", "n", *BITMAP))
-        met = apart.alias("x").join(apart.alias("y"), (F.col("x.key") == F.col("y.key")) & (F.col("x.doc_id") < F.col("y.doc_id")) & (F.col("x.component") != F.col("y.component")) & possible("x", "y", self.percent))
-        met = met.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
-        more = cut(self._bound(met, wide))
+        tagged = shared.drop("least").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        apart = cut(tagged.join(self._distinct_tiles(tagged, F.col("component")), "key", "left_semi"))
+        more = cut(self._meet(apart, bits, True).join(first, ["a", "b"], "left_anti"))
         added = cut(self._verify(more))
-        if added.limit(1).count():
-            groups = components(links.union(added))
-        return every, groups
+        return components(links.union(added)) if added.limit(1).count() else groups
+
+    def _distinct_tiles(self, rows: DataFrame, label: Column) -> DataFrame:
+        """(key): of the tiles with different labels, the first key of those with the same members."""
+        members = [F.bit_xor(F.xxhash64("doc_id", F.lit(k))).alias(f"h{k}") for k in range(2)]
+        tiles = rows.groupBy("key").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count(F.lit(1)).alias("size"), *members)
+        return tiles.filter("low < high").groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key")
+
+    def all_links(self) -> DataFrame:
+        """(a, b) of every link between class representatives, a < b."""
+        bits, shared = self._tiles
+        rows = cut(shared.drop("least").join(self._distinct_tiles(shared, F.col("doc_id")), "key", "left_semi"))
+        return self._verify(cut(self._meet(rows, bits, False)))
+
+    def link_counts(self) -> DataFrame:
+        """(doc_id, n_links) for every row: how many other rows it links to, equal sets included."""
+        links = self.all_links().distinct()
+        both = links.union(links.select("b", "a")).toDF("node", "other")
+        sizes = self.classes.select(F.col("node").alias("other"), "copies")
+        near = both.join(sizes, "other").groupBy("node").agg(F.sum("copies").alias("near"))
+        counted = self.classes.join(near, "node", "left").select("s0", "s1", "n", (F.coalesce("near", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+        return self.signatures.select("doc_id", "n", "s0", "s1").join(counted, ["s0", "s1", "n"], "left").select("doc_id", F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
     def result(self) -> DataFrame:
         """(doc_id, n_shingles, component_id) for every row."""
-        every, groups = self.linked()
-        classes = every.filter("n > 0").groupBy("s0", "s1", "n").agg(F.min("doc_id").alias("node"))
-        named = classes.join(groups, "node", "left").select("s0", "s1", "n", F.coalesce("component", "node").alias("component"))
-        return every.select("doc_id", "n", "s0", "s1").join(named, ["s0", "s1", "n"], "left").select(
+        named = self.classes.join(self._components(), "node", "left").select("s0", "s1", "n", F.coalesce("component", "node").alias("component"))
+        return self.signatures.select("doc_id", "n", "s0", "s1").join(named, ["s0", "s1", "n"], "left").select(
             "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")
         )
 
