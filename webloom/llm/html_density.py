@@ -8,14 +8,17 @@ evidence: such an element stays if it holds the densest subtree or over half of
 the body's text outside links; a role, or a name of boilerplate words alone
 ('comments', 'site-footer'), stays with over nine tenths of it. Neither stays
 by its share if an article or main lies elsewhere. The element whose children's
-densities sum highest is the core. If it lies in an article, the outermost one
-is the result, whatever its density; else, with the least density on its path
-to the body as threshold, it is widened to parents whose other children reach
-the threshold too. Its text is given block by block.
-
-Edge cases: null or empty html gives an empty text; unclosed, misnested and
-very deep markup is read without recursion. Repeated rows give one row each;
-an empty table gives an empty result; other columns do not matter.
+densities sum highest is the core. With the least density on its path to the
+body as threshold, it is widened to parents whose other children reach the
+threshold too; an article tag by itself decides nothing, a paragraph is never a
+whole text. Of a core that is the body, children that are mostly links go. Its
+text is given block by block.
+
+Edge cases: null or empty html gives an empty text; unclosed, misnested, very
+deep and very long markup is read whole, without recursion, in time in
+proportion to its length. Of equal sums the first element in page order is the
+core. Repeated rows and rows with null ids or URLs give one row each; an empty
+table gives an empty result; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -31,11 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import slices
 
-TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
-    r"""|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*)>""",
-    re.DOTALL,
-)
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+#: The rest of a tag: quotes count after `=` only, and a `>` between them does not end it.
+REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+>""")
 ATTRIBUTE = re.compile(r"""(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: annotation (MathML), desc, metadata and defs (SVG) are never shown.
@@ -60,6 +61,8 @@ CUT_NAMES = frozenset(
 HEADS = frozenset(("header",))
 #: Words that leave the meaning of a name of boilerplate words as it is.
 NEUTRAL = frozenset("site page main global top bottom left right primary secondary area list section wrapper wrap container content box block inner outer thread bar links item items group".split())
+#: Elements that are parts of a text, and so never the whole of it.
+PIECES = frozenset("p li dt dd td th tr tbody blockquote pre h1 h2 h3 h4 h5 h6 span a b i em strong font center".split())
 #: Evidence that an element is boilerplate, and the share of the body's text outside links from which on it stays.
 KEPT, WEAK, STRONG, FINAL = range(4)
 STAYS = {WEAK: 0.5, STRONG: 0.9}
@@ -101,65 +104,106 @@ class Page:
     def __init__(self, source: str) -> None:
         self.tags, self.parents, self.marks, self.drawn = ["#root"], [0], [KEPT], [False]
         self.texts: list[tuple[int, int, str]] = []
-        stack, articles, block, at = [0], 0, 0, 0
-        n = len(source)
+        self.stack, self.scopes = [0], [0]
+        self.where: dict[str, list[int]] = {}
+        self.articles = self.block = 0
+        self._read(source)
+        self._decide()
+
+    def _read(self, source: str) -> None:
+        """One pass; every search either ends at a mark that is taken or, once it fails, is not made again."""
+        at, seen, n = 0, 0, len(source)
+        final, quoted = source.rfind(">"), True
         while at < n:
-            m = TOKEN.search(source, at)
-            to = m.start() if m else n
-            if to > at:
-                self.texts.append((stack[-1], block, source[at:to]))
-            if not m:
+            low = source.find("<", seen)
+            if low < 0:
                 break
-            at = m.end()
-            if m["tag"] is None:
+            if source.startswith("<!--", low) or source.startswith("<![CDATA[", low):
+                mark = "-->" if source[low + 2] == "-" else "]]>"
+                self._say(source[at:low])
+                end = source.find(mark, low + 4)
+                at = seen = n if end < 0 else end + 3
                 continue
-            tag = m["tag"].lower()
-            if m["end"]:
-                if tag in BLOCK:
-                    block += 1
-                if tag not in VOID and any(self.tags[x] == tag for x in reversed(stack)):
-                    if tag not in BLOCK and any(self.tags[x] in SCOPES for x in stack[self._last(stack, tag) :]):
-                        continue
-                    while True:
-                        gone = self.tags[stack.pop()]
-                        articles -= gone in ("article", "main")
-                        if gone == tag:
-                            break
-                continue
-            if tag in RAW:
-                if tag != "object":
-                    end = re.compile(f"</{re.escape(tag)}[^>]*>", re.IGNORECASE).search(source, at)
-                    at = end.end() if end else n
+            if low > final:
+                break
+            m = NAME.match(source, low)
+            if not m:
+                seen = low + 1
+                if source[seen : seen + 1] in ("!", "?"):
+                    self._say(source[at:low])
+                    at = seen = source.index(">", low) + 1
                 continue
+            self._say(source[at:low])
+            rest = REST.match(source, m.end()) if quoted else None
+            quoted = rest is not None  # quotes that never close count no more from here on
+            end = rest.end() if rest else source.index(">", low) + 1
+            tag, attrs = m[2].lower(), source[m.end() : end - 1]
+            if m[1]:
+                self._end(tag)
+                at = seen = end
+            else:
+                at = seen = self._start(tag, attrs, source, end)
+        self._say(source[at:])
+
+    def _say(self, text: str) -> None:
+        if text:
+            self.texts.append((self.stack[-1], self.block, text))
+
+    def _push(self, i: int, tag: str) -> None:
+        self.where.setdefault(tag, []).append(len(self.stack))
+        if tag in SCOPES:
+            self.scopes.append(len(self.stack))
+        self.stack.append(i)
+        self.articles += tag in ("article", "main")
+
+    def _pop(self, to: int) -> None:
+        """Closes the open elements from place `to` of the stack on."""
+        while len(self.stack) > to:
+            tag = self.tags[self.stack.pop()]
+            self.where[tag].pop()
+            if tag in SCOPES:
+                self.scopes.pop()
+            self.articles -= tag in ("article", "main")
+
+    def _open_at(self, tag: str) -> int:
+        """Place of the innermost open `tag`, or -1 if there is none or a container is open inside it."""
+        places = self.where.get(tag)
+        return places[-1] if places and places[-1] >= self.scopes[-1] else -1
+
+    def _end(self, tag: str) -> None:
+        self.block += tag in BLOCK
+        places = self.where.get(tag)
+        if places and (tag in BLOCK or places[-1] >= self.scopes[-1]):
+            self._pop(places[-1])
+
+    def _start(self, tag: str, attrs: str, source: str, at: int) -> int:
+        """Where reading goes on."""
+        if tag in RAW and tag != "object" or tag == "textarea":
+            end = re.compile(f"</{re.escape(tag)}[^>]*+(?:>|\\Z)", re.IGNORECASE).search(source, at)
+            stop = end.end() if end else len(source)
             if tag == "textarea":
-                end = re.compile(r"</textarea[^>]*>", re.IGNORECASE).search(source, at)
-                self._open(tag, stack, KEPT)
-                self.texts.append((len(self.tags) - 1, block + 1, source[at : end.start() if end else n]))
-                block, at = block + 2, end.end() if end else n
-                continue
-            if tag == "br":
-                self.texts.append((stack[-1], block, " "))
-            if tag in BLOCK:
-                block += 1
-                if tag not in ("html", "body") and "p" in (self.tags[x] for x in self._scope(stack)):
-                    while self.tags[stack.pop()] != "p":
-                        pass
-            for ended in ENDS.get(tag, ()):
-                scope = [self.tags[x] for x in self._scope(stack, ended)]
-                if ended in scope:
-                    while self.tags[stack.pop()] != ended:
-                        pass
-            if not stack:
-                stack = [0]
-            i = len(self.tags)
-            self._open(tag, stack, _mark(tag, m["attrs"], articles > 0))
-            if tag not in VOID and not (m["attrs"].endswith("/") and tag not in BLOCK):
-                stack.append(i)
-                articles += tag in ("article", "main")
-        self._decide()
+                self._open(tag, self.stack[-1], KEPT)
+                self.texts.append((len(self.tags) - 1, self.block + 1, source[at : end.start() if end else stop]))
+                self.block += 2
+            return stop
+        if tag == "object":
+            return at
+        if tag == "br":
+            self.texts.append((self.stack[-1], self.block, " "))
+        if tag in BLOCK:
+            self.block += 1
+            if tag not in ("html", "body") and (p := self._open_at("p")) > 0:
+                self._pop(p)
+        for ended in ENDS.get(tag, ()):
+            if (place := self._open_at(ended)) > 0:
+                self._pop(place)
+        i = len(self.tags)
+        self._open(tag, self.stack[-1], _mark(tag, attrs, self.articles > 0))
+        if tag not in VOID and not (attrs.endswith("/") and tag not in BLOCK):
+            self._push(i, tag)
+        return at
 
-    def _open(self, tag: str, stack: list[int], mark: int) -> None:
-        above = stack[-1]
+    def _open(self, tag: str, above: int, mark: int) -> None:
         self.tags.append(tag)
         self.parents.append(above)
         self.marks.append(mark)
@@ -211,18 +255,8 @@ class Page:
             plain[self.parents[i]] += plain[i]
         return plain
 
-    def _last(self, stack: list[int], tag: str) -> int:
-        return next(k for k in range(len(stack) - 1, -1, -1) if self.tags[stack[k]] == tag) + 1
-
-    def _scope(self, stack: list[int], ended: str = "") -> Iterator[int]:
-        """Open elements from the innermost up to the nearest container."""
-        for x in reversed(stack):
-            if self.tags[x] in SCOPES and self.tags[x] != ended:
-                return
-            yield x
-
-    def _densities(self) -> tuple[int, list[int], list[float], list[float], int]:
-        """(body, characters, densities, their sums over children, the element with the highest sum)."""
+    def _densities(self) -> tuple[int, list[int], list[int], list[float], int]:
+        """(body, characters, those in links, densities, the element with the highest sum of its children's densities)."""
         n = len(self.tags)
         chars, linked, tags, links = [0] * n, [0] * n, [int(not x) for x in self.drawn], [0] * n
         for i, _, text in self.texts:
@@ -250,20 +284,17 @@ class Page:
                 density[i] = chars[i] / tags[i] * math.log(max(ratio, 1.0 + 1e-9)) / base
                 sums[self.parents[i]] += density[i]
         best = max((i for i in range(n) if i and i != body and chars[i] and not self.cuts[i] and not self.drawn[i] and self.tags[i] != "html"), key=lambda i: (max(sums[i], density[i] if sums[i] == 0 else 0), -i), default=body)
-        return body, chars, density, sums, best
+        return body, chars, linked, density, best
 
     def core(self) -> int:
         """The element that holds the main text; 0 is the whole page."""
         n = len(self.tags)
-        body, chars, density, _, best = self._densities()
+        body, chars, linked, density, best = self._densities()
         path, up = [best], best
         while up and up != body:
             up = self.parents[up]
             path.append(up)
         threshold = min((density[i] for i in path if i and density[i]), default=0.0)
-        for i in reversed(path):
-            if self.tags[i] == "article":
-                return i
         children: dict[int, list[int]] = {}
         for i in range(1, n):
             if chars[i] and not self.cuts[i]:
@@ -271,12 +302,18 @@ class Page:
         while best and best != body and self.tags[best] != "main":
             above = self.parents[best]
             others = [i for i in children.get(above, []) if i != best]
-            if not others or all(density[i] < threshold for i in others):
-                if above == body or not others:
+            if self.tags[best] not in PIECES:
+                if not others or all(density[i] < threshold for i in others):
+                    if above == body or not others:
+                        break
+                if above == body and any(density[i] < threshold for i in others):
                     break
-            if above == body and any(density[i] < threshold for i in others):
-                break
             best = above
+        if best == body:  # its children are the article, but for lists of links
+            for i in children.get(body, []):
+                self.cuts[i] = 2 * linked[i] > chars[i]
+            for i in range(body + 1, n):
+                self.cuts[i] = self.cuts[i] or self.cuts[self.parents[i]]
         return best
 
     def text(self) -> str:
