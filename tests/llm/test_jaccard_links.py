@@ -76,5 +76,5 @@ def test_bitmap_bounds_the_difference(spark):
     for n, extra in ((10, 3), (300, 280), (700, 0), (1000, 60)):
         x = r.integers(0, 2**63, n, dtype=np.uint64)
         y = np.concatenate([x[: n - 5], r.integers(0, 2**63, extra, dtype=np.uint64)])
-        row = spark.createDataFrame([(bitmap(x).tolist(), bitmap(y).tolist())], "x array<long>, y array<long>")
+        row = spark.createDataFrame([(bitmap(x, 80).tolist(), bitmap(y, 80).tolist())], "x array<long>, y array<long>")
         assert row.select(jaccard_join.differing_bits(F.col("x"), F.col("y"), 80).alias("d")).first().d <= 5 + extra

@@ -6,9 +6,10 @@
    n - ceil(t n) + 1, which are the keys of the tiles.
 2. Equal sets become one class, which stands for all its copies.
 3. In every tile, each class meets the tile's smallest id only; pairs whose
-   sizes or parity bitmaps (as many bits as the set has elements, 256 at least)
-   cannot reach the threshold go, as differing bits are at most the symmetric
-   difference. The others are checked exactly and give components.
+   places in the order, sizes or parity bitmaps (of a power of two of bits that
+   grows with the set) cannot reach the threshold go, as differing bits are at
+   most the symmetric difference. The others are checked exactly and give
+   components.
 4. Of tiles with classes of different components, those with the same members
    are one. Inside them, banded by size, classes of different components meet
    where their places in the order, their sizes and their bit counts allow the
@@ -50,7 +51,7 @@ BUCKETS = 1 << 16
 #: Up to this number of ids, texts to verify are picked by a broadcast of 8 bytes an id; more are joined by a shuffle.
 BROADCAST_IDS = 500_000
 #: Pairs of one class that a task verifies together.
-FAN = 500
+FAN = 64
 
 
 def _shingles(words: ByteHash, part: pa.RecordBatch, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,10 +102,10 @@ def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(values.view(np.int64)))
 
 
-def bitmap(mixed: np.ndarray) -> np.ndarray:
-    """Parities of the elements in the least power of two of bits, 256 at least, that is no less than their number."""
-    bits = 256
-    while bits < len(mixed):
+def bitmap(mixed: np.ndarray, percent: int) -> np.ndarray:
+    """Parities of the elements in a power of two of bits, 64 at least: so many that of two unlike sets twice as many bits differ as may for a link."""
+    bits = 64
+    while bits * (100 + percent) < 8 * (100 - percent) * len(mixed):
         bits *= 2
     odd = np.bincount((mixed >> U(20)).astype(np.int64) & (bits - 1), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64) if len(mixed) else np.zeros(0, np.int64)
@@ -129,7 +130,7 @@ def _signatures(size: int, percent: int, order: np.ndarray):
                 length = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
                 ends = np.concatenate([[0], np.cumsum(length)])
                 at = np.arange(ends[-1]) - np.repeat(ends[:-1], length) + np.repeat(first[:-1], length)
-                bits = [bitmap(mixed[a:b]) for a, b in zip(first, first[1:])]
+                bits = [bitmap(mixed[a:b], percent) for a, b in zip(first, first[1:])]
                 bit_ends = np.concatenate([[0], np.cumsum([len(x) for x in bits])])
                 columns = [n, fold(np.add, mixed), fold(np.bitwise_xor, mix(mixed ^ K1))]
                 yield pa.RecordBatch.from_arrays(
@@ -223,14 +224,24 @@ class JaccardJoin:
 
     @cached_property
     def _tiles(self) -> tuple[DataFrame, DataFrame]:
-        """(sizes and bitmaps of classes, (key, least, doc_id, pos) of keys that at least two classes have)."""
+        """(sizes and bitmaps of classes, (key, hub, doc_id, place) of keys that at least two classes have).
+
+        place holds the size of a set and the position of the key in it, hub is (doc_id, place) of the tile's smallest id.
+        """
         named = self.classes.select("s0", "s1", "n", F.col("node").alias("doc_id"))
         reps = self.signatures.join(named, ["doc_id", "s0", "s1", "n"], "left_semi")
         bits = cut(reps.select("doc_id", "n", "bits").distinct())
-        rows = reps.select("doc_id", F.posexplode("keys").alias("pos", "key"))
-        tiles = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most")).filter("least < most").select("key", "least")
+        rows = reps.select("doc_id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "doc_id", (F.shiftleft("n", 32) + F.col("pos")).alias("place"))
+        tiles = rows.groupBy("key").agg(F.min(F.struct("doc_id", "place")).alias("hub"), F.max("doc_id").alias("most")).filter("hub.doc_id < most").select("key", "hub")
         return bits, cut(rows.join(tiles, "key"))
 
+    def _room(self, x: str, y: str) -> Column:
+        """Sizes and positions in a tile allow the threshold at the first key that two sets share: what comes before it is in one of them only."""
+        t = self.percent
+        nx, ny = (F.shiftright(f"{s}.place", 32) for s in (x, y))
+        px, py = (F.col(f"{s}.place").bitwiseAND(F.lit((1 << 32) - 1)) for s in (x, y))
+        return (100 * nx >= t * ny) & (100 * ny >= t * nx) & ((100 + t) * F.least(nx - px, ny - py) >= t * (nx + ny))
+
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) over the threshold. Sets of b go where the set of a goes once for FAN of them."""
         fans = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN).cast("int").alias("fan"))
@@ -244,20 +255,21 @@ class JaccardJoin:
         return ready.mapInArrow(_verified(self.percent), "a long, b long")
 
     def _meet(self, rows: DataFrame, bits: DataFrame, apart: bool) -> DataFrame:
-        """Distinct pairs inside tiles that places, sizes and bit counts allow; `apart`: of different components only."""
-        t = self.percent
-        # a little wider than the ratio of linked sizes, so that these are in the same band or in neighbouring ones
-        band = F.floor(F.log(F.col("n").cast("double")) * (0.999 / math.log(100 / t))).cast("int") if t < 100 else F.col("n").cast("int")
-        placed = rows.join(bits, "doc_id").withColumn("band", band)
-        x = placed.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).alias("x")
-        y = placed.alias("y")
+        """Distinct pairs inside tiles that places, sizes and bit counts allow; `apart`: of different components only.
+
+        A tile is parted into bands of sizes that grow by four; sets that link to smaller ones of the band below are guests in it.
+        """
+        band = F.floor(F.log2(F.col("n").cast("double")) / 2).cast("int")
+        near = F.floor(F.log2(F.col("n") * (self.percent / 100 - 1e-9)) / 2).cast("int")
+        lowest = F.greatest(near, F.lit(0))
+        placed = rows.join(bits, "doc_id").withColumn("own", band).withColumn("band", F.explode(F.sequence(F.least(lowest, band), band)))
+        x, y = placed.alias("x"), placed.alias("y")
         nx, ny = F.col("x.n"), F.col("y.n")
-        once = (nx < ny) | ((nx == ny) & (F.col("x.doc_id") < F.col("y.doc_id")))
-        # what comes before the first common key is in one of the sets only
-        room = (100 + t) * F.least(nx - F.col("x.pos"), ny - F.col("y.pos")) >= t * (nx + ny)
-        fits = once & room & possible("x", "y", t)
+        # once: in the band of the smaller one
+        fits = (F.col("x.own") == F.col("x.band")) & ((nx < ny) | ((nx == ny) & (F.col("x.doc_id") < F.col("y.doc_id"))))
         if apart:
-            fits = (F.col("x.component") != F.col("y.component")) & fits
+            fits = fits & (F.col("x.component") != F.col("y.component"))
+        fits = fits & self._room("x", "y") & possible("x", "y", self.percent)
         met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.band") == F.col("y.band")) & fits)
         ids = (F.col("x.doc_id"), F.col("y.doc_id"))
         return met.select(F.least(*ids).alias("a"), F.greatest(*ids).alias("b")).distinct()
@@ -266,12 +278,13 @@ class JaccardJoin:
         """(node, component) of the class representatives that link."""
         bits, shared = self._tiles
         small = lambda name: bits.select(F.col("doc_id").alias(name), F.struct("n", "bits").alias(f"{name}_s"))
-        pairs = shared.filter("doc_id <> least").select(F.col("least").alias("a"), F.col("doc_id").alias("b")).distinct()
+        met = shared.select("hub", F.struct("doc_id", "place").alias("own")).filter("own.doc_id <> hub.doc_id").filter(self._room("hub", "own"))
+        pairs = met.select(F.col("hub.doc_id").alias("a"), F.col("own.doc_id").alias("b")).distinct()
         first = cut(pairs.join(small("a"), "a").join(small("b"), "b").filter(possible("a_s", "b_s", self.percent)).select("a", "b").distinct())
         links = cut(self._verify(first))
         groups = components(links)
         # what is still apart meets inside the tiles
-        tagged = shared.drop("least").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+        tagged = shared.drop("hub").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
         apart = cut(tagged.join(self._distinct_tiles(tagged, F.col("component")), "key", "left_semi"))
         more = cut(self._meet(apart, bits, True).join(first, ["a", "b"], "left_anti"))
         added = cut(self._verify(more))
@@ -286,7 +299,7 @@ class JaccardJoin:
     def all_links(self) -> DataFrame:
         """(a, b) of every link between class representatives, a < b."""
         bits, shared = self._tiles
-        rows = cut(shared.drop("least").join(self._distinct_tiles(shared, F.col("doc_id")), "key", "left_semi"))
+        rows = cut(shared.drop("hub").join(self._distinct_tiles(shared, F.col("doc_id")), "key", "left_semi"))
         return self._verify(cut(self._meet(rows, bits, False)))
 
     def link_counts(self) -> DataFrame:
