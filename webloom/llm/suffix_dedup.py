@@ -13,10 +13,12 @@
    but the earliest of each are removed.
 
 Documents equal to an earlier one need no suffixes: they go as a whole. Edge
-cases: a null text is empty; texts shorter than `length` bytes keep all. Rows
-that repeat an id are one document at one place, and do not count as earlier
-than each other. An empty table gives an empty result; other columns do not
-matter. Grams are told apart by 64-bit hashes, windows byte by byte.
+cases: a null text is empty; texts shorter than `length` bytes keep all; a long
+text is read whole, in overlapping pieces. Rows that repeat an id and its text
+are one document at one place, and do not count as earlier than each other; so
+are rows without an id and with the same text, which come last. An empty table gives an empty result; other
+columns do not matter. Grams are told apart by 64-bit hashes, windows byte by
+byte.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ from pyspark.sql import functions as F
 from .common import K0, K1, U, cut, hot_keys, join_spread, mix, slices, utf8
 
 GRAM = 32
+#: Ids from here on stand for missing ones, so that such rows come last; each text has its own.
+NO_ID = 1 << 62
 #: Suffixes that a task sorts at a time.
 RUN = 100_000
 
@@ -466,9 +470,11 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, length: int) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.coalesce("text", F.lit(""))
+    missing = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
+    own = docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), text.alias("text"))
     spans = repeated_spans(own, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return own.join(spans.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "spans")
+    return own.join(spans.hint("shuffle_hash"), "doc_id", "left").select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "text", "spans")
 
 
 def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
