@@ -1,18 +1,23 @@
 """Personal data by shape, and terms that give it away.
 
 Base shapes (e-mail, IP, card, phone) are protected entities. For every term
-near an entity, corpus counts say how strongly it reveals it. Terms are all word
-runs of letters and digits of any length, joined by inner underscores; scripts
-without spaces are not divided further. With n(t, e) documents where t is one of
-the `window` words before or after e (whatever stands between them), n(t) documents with t and
-n(e) with e among N, the disclosure is log2(n(t, e) * N / (n(t) * n(e))) bits at
-a probability P(e | t) = n(t, e) / n(t). Terms above both thresholds, seen with
-the entity in at least `support` different contexts (so that copies of a text
-prove nothing), are spans of kind `term`, wherever they occur.
-
-Edge cases: a null text is empty. Rows with repeated ids give one row each. An
-empty table gives an empty result; other columns do not matter. Offsets are
-code points; a text of any length is scanned whole.
+near an entity, corpus counts say how strongly it reveals it; an entity is a
+value (this address) or a kind (any address). Terms are all word runs of letters
+and digits of any length, joined by inner underscores; scripts without spaces
+are not divided further. With n(t, e) documents where t is one of the `window`
+words before or after e, whatever stands between them, or a word of the name in
+an e-mail address, n(t) documents with t and n(e) with e among N, the disclosure
+is log2(n(t, e) * N / (n(t) * n(e))) bits at a probability
+P(e | t) = n(t, e) / n(t). Terms above both thresholds, seen with the entity in
+at least `support` different contexts (so that copies of a text prove nothing),
+are spans of kind `term`, wherever they occur. A kind that over a sixty-fourth
+of all documents hold can give no 6 bits, so that words like "mail" stay.
+
+Edge cases: a null text is empty. Rows with null or repeated ids give one row
+each. Ties in the counts change nothing, as thresholds are met or not. An empty
+table gives an empty result; other columns, whatever their names, do not matter.
+Offsets are code points; a text of any length is scanned whole, in time in
+proportion to its length.
 """
 
 from __future__ import annotations
@@ -32,7 +37,8 @@ from .common import cut, slices
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: As `[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)`, which can begin at the first digit of a run only; no run is read again from its middle.
+IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++){3}")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
@@ -94,11 +100,13 @@ def _contexts(window: int):
                     starts, ends = [x for x, _ in at], [x for _, x in at]
                     for k, s, e in spans:
                         value = text[s:e].lower() if k < 2 else re.sub("[^0-9]", "", text[s:e])
-                        terms, around = near.setdefault(f"{k}:{value}", (set(), []))
                         before, after = bisect_right(ends, s), bisect_left(starts, e)
                         left, right = ([text[x:y].lower() for x, y in side] for side in (at[max(0, before - window) : before], at[after : after + window]))
-                        around += [*left, "|", *right]
-                        terms.update(left, right)
+                        name = _lower_words(value.split("@")[0]) if k == 0 else ()
+                        for entity, inner in ((f"{k}:{value}", name), (f"any {k}", ())):
+                            terms, around = near.setdefault(entity, (set(), []))
+                            around += [*left, "|", *right]
+                            terms.update(left, right, inner)
                     for entity, (terms, around) in near.items():
                         context = hashlib.blake2b(" ".join(around).encode(), digest_size=8).digest()
                         rows.append((hashlib.blake2b(entity.encode(), digest_size=8).digest(), context, sorted(terms)))
@@ -127,7 +135,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(words, pa.list_(pa.string()))], names=["doc_id", "words"])
 
 
-def revealing_terms(docs: DataFrame, window: int = 8, support: int = 3, bits: float = 6.0, probability: float = 0.5) -> DataFrame:
+def revealing_terms(docs: DataFrame, window: int = 8, support: int = 3, bits: float = 6.0, probability: float = 0.5, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """(term) whose corpus co-occurrence with some protected entity exceeds the thresholds."""
     near = cut(docs.select("text").mapInArrow(_contexts(window), "entity binary, context binary, terms array<string>"))
     pairs = near.withColumn("term", F.explode("terms")).groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
@@ -136,7 +144,7 @@ def revealing_terms(docs: DataFrame, window: int = 8, support: int = 3, bits: fl
     n_terms = terms.count()
     if not n_terms:
         return terms
-    if n_terms <= BROADCAST_TERMS:
+    if n_terms <= broadcast_terms:
         wanted = frozenset(r["term"] for r in terms.collect())
         counted = docs.select("text").mapInArrow(_term_counts(wanted), "term string, n long").groupBy("term").agg(F.sum("n").alias("n_t"))
     else:
@@ -154,18 +162,24 @@ def all_spans(text: str, terms: frozenset[str]) -> tuple[list[tuple[int, int, in
     base = base_spans(text)
     if not terms:
         return base, base
-    taken = sorted((s, e) for _, s, e in base)
+    starts, ends, furthest = [], [], 0
+    for s, e in sorted((s, e) for _, s, e in base):
+        furthest = max(furthest, e)
+        starts.append(s)
+        ends.append(furthest)
     more = []
     for m in WORD.finditer(text):
-        if m[0].lower() in terms and not any(s < m.end() and m.start() < e for s, e in taken):
-            more.append((len(KINDS), m.start(), m.end()))
+        if m[0].lower() in terms:
+            before = bisect_left(starts, m.end())  # base spans that begin before the word ends
+            if not before or ends[before - 1] <= m.start():
+                more.append((len(KINDS), m.start(), m.end()))
     return base, base + more
 
 
-def _apply(docs: DataFrame, terms: DataFrame, build: Callable, schema: str) -> DataFrame:
+def _apply(docs: DataFrame, terms: DataFrame, build: Callable, schema: str, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
     """Runs build(batch, terms of each text) over docs; terms go to every worker, or by a join if there are many."""
     n_terms = terms.count()
-    if n_terms <= BROADCAST_TERMS:
+    if n_terms <= broadcast_terms:
         wanted = frozenset(r["term"] for r in terms.collect())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,18 +188,24 @@ def _apply(docs: DataFrame, terms: DataFrame, build: Callable, schema: str) -> D
                     yield build(part, [wanted] * part.num_rows)
 
         return docs.mapInArrow(run, schema)
+    free = "_"  # ends no column's name, so that none clashes
+    while any(x.endswith(free) for x in docs.columns):
+        free += "_"
     own = docs.select("doc_id", "text").mapInArrow(_words, "doc_id long, words array<string>").select("doc_id", F.explode("words").alias("term"))
-    own = own.join(terms, "term", "left_semi").groupBy("doc_id").agg(F.collect_set("term").alias("_terms"))
+    # rows that share an id, or have none, share their terms too: a term counts where it stands only
+    own = own.join(terms, "term", "left_semi").groupBy(F.col("doc_id").alias(f"id{free}")).agg(F.collect_set("term").alias(f"terms{free}"))
+
+    columns = docs.columns
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                yield build(part, [frozenset(x or ()) for x in part.column("_terms").to_pylist()])
+                yield build(part.select(columns), [frozenset(x or ()) for x in part.column(f"terms{free}").to_pylist()])
 
-    return docs.join(own, "doc_id", "left").mapInArrow(joined, schema)
+    return docs.join(own, F.col("doc_id").eqNullSafe(F.col(f"id{free}")), "left").drop(f"id{free}").mapInArrow(joined, schema)
 
 
-def find(docs: DataFrame, **thresholds: float) -> DataFrame:
+def find(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS, **thresholds: float) -> DataFrame:
     """One row per document: counts and digest of the base spans, and all spans."""
     names = (*KINDS, "term")
 
@@ -199,10 +219,10 @@ def find(docs: DataFrame, **thresholds: float) -> DataFrame:
         return pa.RecordBatch.from_arrays([part.column("doc_id"), *(pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True))], names=[c.split()[0] for c in SPANS.split(", ")])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _apply(own, revealing_terms(own, **thresholds), build, SPANS)
+    return _apply(own, revealing_terms(own, broadcast_terms=broadcast_terms, **thresholds), build, SPANS, broadcast_terms)
 
 
-def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
+def sanitize(docs: DataFrame, broadcast_terms: int = BROADCAST_TERMS, **thresholds: float) -> DataFrame:
     """docs with every span of `text` replaced by its kind in brackets; other columns stay."""
     masks = tuple(f"[{k.upper()}]" for k in (*KINDS, "term"))
 
@@ -216,7 +236,7 @@ def sanitize(docs: DataFrame, **thresholds: float) -> DataFrame:
 
     def build(part: pa.RecordBatch, terms: list[frozenset[str]]) -> pa.RecordBatch:
         texts = [masked(text, own) for text, own in zip(part.column("text").to_pylist(), terms, strict=True)]
-        names = [x for x in part.schema.names if x != "_terms"]
+        names = part.schema.names
         return pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if x == "text" else part.column(x) for x in names], names=names)
 
-    return _apply(docs, revealing_terms(docs, **thresholds), build, docs.schema)
+    return _apply(docs, revealing_terms(docs, broadcast_terms=broadcast_terms, **thresholds), build, docs.schema, broadcast_terms)
