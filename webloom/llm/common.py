@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import tempfile
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one numpy step holds at a time.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 
 U = np.uint64
 #: Fixed odd multipliers of the hash functions below.
@@ -21,15 +22,34 @@ _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; a temporary one where none is set, which only a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _temporary()
+
+
+@lru_cache(1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="webloom-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The session's folder below the shared one that the cluster names; a temporary one only where none is set (tests)."""
+    """The session's folder below the shared one."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Removes a folder that no later plan reads."""
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cuts lineage with a reliable checkpoint in the shared folder."""
     ensure_checkpoint_dir(df.sparkSession)

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat_format, harmonic_packing, html_density, info_sanitize, jaccard_join, secret_scan, string_tiling, suffix_dedup, token_counts, weak_quality
-from .common import ensure_checkpoint_dir, table
+from .common import shared_folder, table
 
 
 def tokenizer_path(name: str) -> str:
@@ -59,7 +58,8 @@ def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cache = f"{ensure_checkpoint_dir(spark)}/token-counts-{uuid.uuid4().hex}"
+    # a stable place, so that a later run encodes new texts only
+    cache = f"{shared_folder(spark)}/webloom-token-counts"
     counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), cache)
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
 

@@ -1,15 +1,21 @@
 """Token counts through a digest cache.
 
 Counts are stored as (tokenizer, digest, n_tokens): the digest of a tokenizer's
-file and that of a text. Texts are joined to the stored counts by digest;
-only one text of each digest without a count is encoded, and its count is
-appended to the cache, a Parquet table in a folder that all executors share.
-Digests with over a thousandth of all rows are joined by broadcast.
-
-Edge cases: a null text is empty (0 bytes, 0 tokens); a row with a null id
-stays. Repeated rows and ids
-keep one result row each; of equal texts one is encoded. An empty table gives
-an empty result. Other columns of `docs` do not matter.
+file, by which the cache is partitioned, and that of a text. Texts are joined to
+the stored counts by digest; only one text of each digest without a count is
+encoded, and its count is appended to the cache, a Parquet table in a folder
+that all executors share. Digests with over a thousandth of all rows are joined
+by broadcast. Content is normalised only where that cannot change a count: a
+null text is an empty one.
+
+A cache at a stable place saves what a former run encoded; runs that write at
+the same time may store a count twice, which readers merge. A run that fails
+while it writes leaves no count behind, as Spark commits the files at the end.
+
+Edge cases: a null text has 0 bytes and 0 tokens; a row with a null id stays; a
+text of any length is encoded whole. Repeated rows and ids keep one result row
+each; of equal texts one is encoded. An empty table gives an empty result. Other
+columns of `docs` do not matter.
 """
 
 from __future__ import annotations
@@ -26,7 +32,7 @@ from pyspark.sql.utils import AnalysisException
 from .common import cut, hot_keys, join_spread, slices
 from .piece_tokens import PieceTokenizer
 
-CACHE = "tokenizer string, digest binary, n_tokens long"
+CACHE = "digest binary, n_tokens long, tokenizer string"
 
 
 def tokenizer_digest(path: str) -> str:
@@ -41,6 +47,7 @@ def stored(spark: SparkSession, cache_path: str, version: str) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         cache = spark.createDataFrame([], CACHE)
+    # one folder of the cache, and no others
     return cache.filter(F.col("tokenizer") == version).groupBy("digest").agg(F.min("n_tokens").alias("n_tokens"))
 
 
@@ -66,7 +73,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, cache_path: str) -> DataF
     # one row a digest, even where ids repeat
     todo = keyed.join(misses, (F.col("digest") == F.col("_digest")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
     counted = todo.mapInArrow(_encode(tokenizer_path), "digest binary, n_tokens long")
-    counted.select(F.lit(version).alias("tokenizer"), "digest", "n_tokens").write.mode("append").parquet(cache_path)
+    counted.select("digest", "n_tokens", F.lit(version).alias("tokenizer")).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
     counts = stored(spark, cache_path, version)
     sized = keyed.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest")
     return join_spread(sized, counts, counts.join(hot_keys(distinct), "digest"), "digest", "n_tokens", F.unhex(F.hex("doc_id"))).select("doc_id", "n_bytes", "n_tokens")
