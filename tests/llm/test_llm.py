@@ -66,7 +66,7 @@ def test_small_vocabulary_at_every_length(spark):
     wide = " ".join(f"w{r.randrange(3000)}" for _ in range(60_000))
     table = spark.createDataFrame(list(enumerate([small(20_000), small(20_001), small(60_000), wide, ""])), "doc_id long, text string")
     featured = weak_quality.text_features(table)
-    got = rows(featured.select("doc_id", weak_quality.rules()["repetition"].alias("vote"), "features"))
+    got = rows(featured.select("doc_id", weak_quality.rules()["vocabulary"].alias("vote"), "features"))
     assert [got[d].vote == 0 for d in range(4)] == [True, True, True, False]
     assert 10 * got[1].features["n_repeat_words"] <= 3 * 20_001  # so that no other clause votes
 
