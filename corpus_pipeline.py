@@ -1,4 +1,12 @@
-"""From raw documents to packed training sequences: quality, near copies, benchmark passages, personal data, packing."""
+"""From raw documents to packed training sequences: quality, near copies, benchmark passages, personal data, packing.
+
+Every stage takes documents with null ids or texts, repeated rows and further
+columns, and all but the last return the columns that they got: a null or empty
+text fails the first stage's base test and goes; rows without an id are linked
+with nothing and stay; rows that repeat an id and a text stay or go together. An
+empty table passes all stages empty. A text of any length is one row throughout.
+Ties: of linked documents the smallest id stays.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from webloom.llm import harmonic_packing, info_sanitize, jaccard_join, string_tiling, weak_quality
-from webloom.llm.common import ensure_checkpoint_dir, table
+from webloom.llm.common import ensure_checkpoint_dir, remove_folder, table
 from webloom.llm.entry import tokenizer_path
 
 
@@ -50,11 +58,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written to the shared folder and read again."""
+    """All stages over documents, each written to the shared folder and read again; a stage's input goes once its output is written."""
     docs, base = table(spark, sf_dir, "documents"), f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{k}")
             docs = spark.read.parquet(f"{base}/{k}")
+            if k:
+                remove_folder(spark, f"{base}/{k - 1}")
     return docs
