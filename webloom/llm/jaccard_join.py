@@ -41,7 +41,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import ASCII_LOWER, K1, K2, K3, U, WORD_BYTES, ByteHash, cut, grams, mix, owner, slices, utf8
@@ -285,7 +285,7 @@ class JaccardJoin:
         groups = components(links)
         # what is still apart meets inside the tiles
         tagged = shared.drop("hub").join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-        apart = cut(tagged.join(self._distinct_tiles(tagged, F.col("component")), "key", "left_semi"))
+        apart = cut(self._with_partners(tagged.join(self._distinct_tiles(tagged, F.col("component")), "key", "left_semi")))
         more = cut(self._meet(apart, bits, True).join(first, ["a", "b"], "left_anti"))
         added = cut(self._verify(more))
         return components(links.union(added)) if added.limit(1).count() else groups
@@ -296,10 +296,17 @@ class JaccardJoin:
         tiles = rows.groupBy("key").agg(F.min(label).alias("low"), F.max(label).alias("high"), F.count(F.lit(1)).alias("size"), *members)
         return tiles.filter("low < high").groupBy("size", "h0", "h1").agg(F.min("key").alias("key")).select("key")
 
+    def _with_partners(self, rows: DataFrame) -> DataFrame:
+        """Without sets for which no other size in their tile allows a link; the nearest sizes tell. Bitmaps need not go to these."""
+        n, w = F.shiftright("place", 32), Window.partitionBy("key").orderBy("place")
+        sized = rows.withColumn("below", F.lag(n).over(w)).withColumn("above", F.lead(n).over(w))
+        near = (100 * F.col("below") >= self.percent * n) | (100 * n >= self.percent * F.col("above"))
+        return sized.filter(near).drop("below", "above")
+
     def all_links(self) -> DataFrame:
         """(a, b) of every link between class representatives, a < b."""
         bits, shared = self._tiles
-        rows = cut(shared.drop("hub").join(self._distinct_tiles(shared, F.col("doc_id")), "key", "left_semi"))
+        rows = cut(self._with_partners(shared.drop("hub").join(self._distinct_tiles(shared, F.col("doc_id")), "key", "left_semi")))
         return self._verify(cut(self._meet(rows, bits, False)))
 
     def link_counts(self) -> DataFrame:
