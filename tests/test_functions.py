@@ -54,7 +54,7 @@ def test_quality_and_sections(spark):
     q = one(spark, markdown.quality(F.col("t")), t=md)
     assert (q["heading_count"], q["link_count_markdown"], q["table_count"], q["code_block_count"], q["line_count"]) == (2, 1, 1, 1, 12)
     assert "[Section 2 / 2: S]" in one(spark, markdown.section(F.col("t"), F.lit(2)), t=md)
-    assert one(spark, markdown.section(F.col("t"), F.lit(9)), t=md) is None
+    assert '"section-not-found"' in one(spark, markdown.section(F.col("t"), F.lit(9)), t=md)
 
 
 def test_fit_and_chunks(spark):

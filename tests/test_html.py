@@ -31,7 +31,7 @@ def test_anchors(spark):
     got = crawl.links(spark.createDataFrame([(1, "https://x.com/p", page), (2, "https://x.com/", None)], "page_id long, url string, html string")).orderBy("pos").collect()
     want = [("d", "Two words"), ("s", "one"), ("u", "un"), ("q?a=1&b=2", "A & B"), ("open", "open")]
     assert [(r.url, r.text) for r in got] == [(f"https://x.com/{u}", x) for u, x in want]
-    assert html.anchors("<p>" * 800_000 + "<a href=/end>" + "long " * 100)[0] == {"href": "/end", "label": ("long " * 100)[:200]}
+    assert html.anchors("<p>" * 800_000 + "<a href=/end>" + "long " * 100)[0] == {"href": "/end", "label": ("long " * 100)[:200], "title": "", "rel": []}
 
 
 def test_structured_data_keeps_all_documents(spark, tmp_path):

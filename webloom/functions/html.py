@@ -14,9 +14,14 @@ from html import escape
 from html.parser import HTMLParser
 
 import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .markdown import misses_structure
+from .results import json_ld
+from .safety import sanitise
+
 MAX_CHARS = 2 << 20
 EMPTY = "__PARSERS_EXTRACTED_NO_TEXT__"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -76,35 +81,64 @@ def walk(root: Node) -> Iterator[Node]:
         stack += [c for c in reversed(node.children) if isinstance(c, Node)]
 
 
-def anchors(source: str | None, most: int = 200) -> list[dict[str, str]]:
-    """href and label of every a[href] in page order; the label is its text without tags, up to `most` characters.
+class _Anchors(HTMLParser):
+    """a[href] elements in page order, read without building a tree."""
+
+    def __init__(self, most: int) -> None:
+        super().__init__(convert_charrefs=True)
+        self.most, self.found, self.parts = most, [], []
+        self.open: list[tuple[str, int]] = []  # tags around, each with its anchor or -1
+        self.counts: dict[str, int] = {}
+        self.unfilled: dict[int, int] = {}  # open anchors and the characters of their labels so far
+
+    def handle_starttag(self, tag, attrs):
+        given, k = dict(reversed(attrs)), -1
+        if tag == "a" and "href" in given:
+            k = len(self.found)
+            text = lambda name: " ".join((given.get(name) or "").split())
+            self.found.append({"href": (given["href"] or "").strip(), "label": "", "title": text("title")[: self.most], "rel": text("rel").split()})
+            self.parts.append([])
+            self.unfilled[k] = 0
+        if tag not in VOID:
+            self.open.append((tag, k))
+            self.counts[tag] = self.counts.get(tag, 0) + 1
+
+    def handle_startendtag(self, tag, attrs):
+        self.handle_starttag(tag, attrs)
+        if tag not in VOID:
+            self.handle_endtag(tag)
+
+    def handle_endtag(self, tag):
+        if not self.counts.get(tag):
+            return
+        while True:
+            gone, k = self.open.pop()
+            self.counts[gone] -= 1
+            self.unfilled.pop(k, None)
+            if gone == tag:
+                return
+
+    def handle_data(self, data):
+        if self.unfilled and self.open[-1][0] not in ("script", "style"):
+            size = len("".join(data.split()))
+            for k in list(self.unfilled):
+                self.parts[k].append(data)
+                self.unfilled[k] += size
+                if self.unfilled[k] > self.most:
+                    del self.unfilled[k]
+
+
+def anchors(source: str | None, most: int = 200) -> list[dict]:
+    """href, label, title and rel of every a[href] in page order; the label is its text without tags, up to `most` characters.
 
     A page is read whole. Unclosed anchors end with the element around them; comments, scripts and styles hold none.
     """
-    found: list[dict[str, str]] = []
-    labels: list[list[str]] = []
-    unfilled: dict[int, int] = {}  # open anchors and the characters of their labels so far
-    stack: list[Node | str | int] = [parse(source or "", None)]
-    while stack:
-        x = stack.pop()
-        if isinstance(x, int):
-            unfilled.pop(x, None)
-        elif isinstance(x, str):
-            for k in list(unfilled) if unfilled else ():
-                labels[k].append(x)
-                unfilled[k] += len("".join(x.split()))
-                if unfilled[k] > most:
-                    del unfilled[k]
-        elif x.tag not in ("script", "style"):
-            if x.tag == "a" and "href" in x.attrs:
-                unfilled[len(found)] = 0
-                stack.append(len(found))
-                found.append({"href": x.attrs["href"].strip(), "label": ""})
-                labels.append([])
-            stack += reversed(x.children)
-    for row, parts in zip(found, labels, strict=True):
+    reader = _Anchors(most)
+    reader.feed(source or "")
+    reader.close()
+    for row, parts in zip(reader.found, reader.parts, strict=True):
         row["label"] = " ".join("".join(parts).split())[:most]
-    return found
+    return reader.found
 
 
 def strip_boilerplate(root: Node) -> Node:
@@ -268,7 +302,96 @@ def to_markdown(source: str | None) -> str:
     kind, text = adapt(source)
     if kind == "html":
         text = render(strip_boilerplate(parse(source)))
-    return text.replace("\\_", "_").strip() or EMPTY
+    return normalise(text) or EMPTY
+
+
+def normalise(markdown: str) -> str:
+    return markdown.replace("\\_", "_").strip()
+
+
+def plain(node: Node) -> str:
+    return "".join(c for n in walk(node) for c in n.children if isinstance(c, str))
+
+
+def content_root(root: Node) -> Node:
+    """The first main or article, else the body, else all."""
+    nodes = list(walk(root))
+    return next((n for n in nodes if n.tag in ("main", "article")), next((n for n in nodes if n.tag == "body"), root))
+
+
+def hints(root: Node) -> dict[str, bool]:
+    """What the content of a page has that its markdown should show."""
+    tags = [n for n in walk(content_root(root))]
+    return {
+        "heading": any(re.fullmatch("h[1-6]", n.tag) for n in tags), "table": any(n.tag == "table" for n in tags),
+        "code": any(n.tag in ("pre", "code") for n in tags), "link": any(n.tag == "a" and "href" in n.attrs for n in tags),
+    }
+
+
+def microdata(root: Node) -> str:
+    """Title and body of the schema.org items in a page's attributes, as markdown; '' without any."""
+    parts: list[str] = []
+    for item in walk(root):
+        if "itemscope" not in item.attrs or "itemprop" in item.attrs:
+            continue
+        found: dict[str, str] = {}
+        stack = list(item.children)[::-1]
+        while stack:
+            x = stack.pop()
+            if isinstance(x, str):
+                continue
+            for name in x.attrs.get("itemprop", "").split():
+                value = x.attrs.get("content") or x.attrs.get("href") or x.attrs.get("src") or " ".join(plain(x).split())
+                found.setdefault(name, value)
+            if "itemscope" not in x.attrs:
+                stack += reversed(x.children)
+        title = next((found[k] for k in ("headline", "name", "title") if found.get(k)), "")
+        body = next((found[k] for k in ("articleBody", "text", "description") if found.get(k)), "")
+        parts += [f"# {title}"] * bool(title) + [body] * bool(body)
+    return "\n\n".join(parts)
+
+
+def extraction(source: str | None) -> dict:
+    """What the extraction chain chooses from: adapted text of other responses, hints, and three renderings from the narrowest on."""
+    out = {"adapted": None, "hints": {"heading": False, "table": False, "code": False, "link": False}, "main": None, "microdata": None, "page": None, "plain": None}
+    if not (source or "").strip():
+        return out
+    kind, text = adapt(source)
+    if kind != "html":
+        return out | {"adapted": normalise(text) or None}
+    root = parse(source)
+    out["hints"] = hints(root)
+    out["microdata"] = normalise(microdata(root)) or None
+    strip_boilerplate(root)
+    core = content_root(root)
+    out["main"] = normalise(render(core)) or None if core.tag in ("main", "article") else None
+    out["page"] = normalise(render(root)) or None
+    out["plain"] = normalise(" ".join(plain(root).split())) or None
+    return out
+
+
+def _struct(**fields: T.DataType) -> T.StructType:
+    return T.StructType([T.StructField(name, kind) for name, kind in fields.items()])
+
+
+_S, _B = T.StringType(), T.BooleanType()
+
+
+@F.pandas_udf(_struct(adapted=_S, hints=_struct(heading=_B, table=_B, code=_B, link=_B), main=_S, microdata=_S, page=_S, plain=_S))
+def extraction_of(source: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([extraction(x) for x in source], columns=["adapted", "hints", "main", "microdata", "page", "plain"])
+
+
+def extracted(pages: DataFrame, html: str = "html", words: dict[str, str] | None = None) -> DataFrame:
+    """pages with `markdown`: the first rendering that shows the page's structure, made safe; EMPTY for pages without text.
+
+    In order: text of other responses, the main element, schema.org data, the page, its plain text, then those that lack structure.
+    """
+    got = pages.withColumn("_x", extraction_of(F.col(html)))
+    data = F.coalesce(F.nullif(json_ld(F.substring(F.col(html), 1, MAX_CHARS)), F.lit("")), F.col("_x.microdata"))
+    whole = lambda c: F.when(~misses_structure(F.col(c), F.col("_x.hints")), F.col(c))
+    chosen = F.coalesce("_x.adapted", whole("_x.main"), data, whole("_x.page"), "_x.plain", "_x.page", "_x.main")
+    return got.withColumn("markdown", F.coalesce(sanitise(chosen, words), F.lit(EMPTY))).drop("_x")
 
 
 @F.pandas_udf(T.StringType())
@@ -281,7 +404,7 @@ def response_kind(source: pd.Series) -> pd.Series:
     return source.map(lambda x: adapt(x or "")[0])
 
 
-@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("href", T.StringType()), T.StructField("label", T.StringType())])))
+@F.pandas_udf(T.ArrayType(_struct(href=_S, label=_S, title=_S, rel=T.ArrayType(_S))))
 def anchors_of(source: pd.Series) -> pd.Series:
     return source.map(anchors, na_action=None)
 
@@ -294,3 +417,9 @@ def selected(selectors: list[str]):
         return pd.DataFrame([select(x or "", selectors) for x in source], columns=["html", "used", "errors"])
 
     return run
+
+
+def register(spark: SparkSession) -> None:
+    """Makes the UDFs of this module callable from SQL: page_markdown, response_kind, page_anchors."""
+    for name, udf in (("page_markdown", markdown_of), ("response_kind", response_kind), ("page_anchors", anchors_of)):
+        spark.udf.register(name, udf)

@@ -18,7 +18,7 @@ def _inner(host: str | None) -> bool | None:
     try:
         ip = ipaddress.IPv6Address(host.strip("[]").split("%")[0])
     except ValueError:
-        return False
+        return None  # no address at all
     mapped = ip.ipv4_mapped
     return not (mapped or ip).is_global or (mapped or ip).is_multicast
 
@@ -34,6 +34,16 @@ def blocked_host(host: Column) -> Column:
     return F.coalesce(F.when(six, _inner_ipv6(F.when(six, host))).otherwise(urls.blocked_ip(host)), F.lit(False))
 
 
+def is_public_url(url: Column) -> Column:
+    """http or https to a host that is no local name and no address of an inner network; a name needs a dot."""
+    host = F.regexp_extract(F.lower(urls.part(url, 2)), r"^(?:.*@)?(\[[^\]]*\]|[^:]*)(?::[0-9]*)?$", 1)
+    host = F.regexp_replace(host, r"\.$", "")
+    local = (host == "localhost") | host.endswith(".localhost") | host.endswith(".local")
+    six = host.startswith("[")
+    outer = F.when(six, ~_inner_ipv6(F.when(six, host))).otherwise(host.contains(".") & ~urls.blocked_ip(host))
+    return F.coalesce(F.lower(urls.part(url, 1)).isin("http", "https") & (host != "") & ~local & outer, F.lit(False))
+
+
 def _ascii(name: str | None) -> str | None:
     try:
         return None if name is None else name.encode("idna").decode("ascii")

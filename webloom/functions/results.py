@@ -8,14 +8,44 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import urls
+from .detection import LOGIN_PATHS
 from .expressions import let
 
 #: Tags that begin a result; choose others by passing them.
 OK, ERROR = "__OK__:", "__ERROR__:"
 #: Errors that may pass by themselves.
 RETRYABLE = ("timeout", "rate-limit", "session-expired", "domain-unreachable", "job-timeout")
-#: Login paths and texts of ended sessions.
-LOGIN_PATHS = ("/login", "/signin", "/auth", "/account/login", "/sessions")
+#: What to do about each kind of error.
+GUIDANCE = {
+    "timeout": "retry with a higher timeout or a narrower request",
+    "rate-limit": "wait before retrying and reduce concurrency for this domain",
+    "session-expired": "refresh the account login or storage state, then retry",
+    "domain-unreachable": "retry after the unreachable TTL or inspect the domain rule",
+    "job-timeout": "check job status/results, then wait again if it is still running",
+    "blocked-bot": "inspect artifact_id if present, then try proxy, account state, or HITL",
+    "blocked-robots": "respect robots.txt; for single-page user-authorized browser retrieval, use retrieve_page(access_mode='user_authorized')",
+    "empty-content": "inspect artifact_id if present; retry with bypass_l3 only for false positives",
+    "blocked-ssrf": "abort unless local/internal crawling is explicitly enabled",
+    "blocked-ssrf-redirect": "abort; the redirect target is blocked by SSRF protection",
+    "blocked-scope": "narrow the crawl policy or start from a URL inside the allowed scope",
+    "cache-miss": "fetch with cache_mode='enabled' or 'write_only' to populate cache",
+    "chunk-not-found": "request a chunk_index within the available range",
+    "all-fetchers-failed": "inspect artifact_id if present, then try proxy, account state, or HITL",
+    "artifact-not-found": "call list_artifacts and use a current artifact_id",
+    "dns-error": "check the domain or retry later if DNS is transient",
+    "human-window-unavailable": "run with a visible browser session and a vault key, or preconfigure account state",
+    "internal-error": "check get_engine_status and server logs",
+    "invalid-artifact": "use an artifact_id from list_artifacts",
+    "invalid-mode": "use one of the documented modes",
+    "invalid-url": "provide a valid http or https URL",
+    "job-not-found": "check the job_id from crawl_site or get_job_results",
+    "map-failed": "retry map_site or crawl_url the start URL to inspect the failure",
+    "raw-not-found": "call list_raw and use an existing raw_id",
+    "permission-denied": "use a raw_id or artifact_id inside the storage",
+    "section-not-found": "call mode='toc' first and use an existing section id",
+    "keyword-filtered": "content did not match keyword rules (include/exclude/regex); adjust keywords or use a different URL",
+}
+#: Texts of ended sessions.
 EXPIRED_TEXTS = ("session expired", "please log in", "please login", "unauthorized", "sign in to continue")
 ERROR_TYPE = "struct<errorType:string,message:string,retryable:boolean,suggestedAction:string,artifact_id:string>"
 
@@ -162,3 +192,52 @@ def fit_nodes(nodes: Column, most: int) -> Column:
     kept = F.filter(nodes, lambda n: ~F.coalesce(n["ignored"], F.lit(False)) & ((clip(n["role"], 80) != "") | (clip(n["name"], 240) != "")))
     short = F.transform(F.slice(kept, 1, most), lambda n: F.struct(clip(n["role"], 80).alias("role"), clip(n["name"], 240).alias("name"), F.nullif(clip(n["description"], 240), F.lit("")).alias("description")))
     return let(short, lambda s: F.struct(F.size(s).alias("node_count"), (F.size(s) >= most).alias("truncated"), s.alias("nodes")))
+
+
+def links_of_metadata(links: Column, count: Column) -> Column:
+    """Struct of the stored links and their number, that of the list where none is stored."""
+    own = F.coalesce(links, F.array().cast("array<string>"))
+    return F.struct(own.alias("links"), F.coalesce(count, F.size(own)).alias("link_count"))
+
+
+def page_links(result: Column, stored: Column, base: Column, normalize, limit: int = 200) -> Column:
+    """Links of a good result: those stored with the page, or else those of its markdown; in scope, the first of each, at most `limit`.
+
+    `normalize` maps a URL to '' outside the scope (CrawlPolicy.normalize); a failed result has none.
+    """
+    none = F.array().cast("array<string>")
+    kept = lambda urls_: F.slice(F.array_distinct(F.filter(F.transform(urls_, lambda x: normalize(x)), lambda x: x != "")), 1, limit)
+    found = F.regexp_extract_all(result, F.lit(r"\[[^\]]*\]\(((?:[^\s()]|\([^\s()]*\))+)\)"), F.lit(1))
+    full = F.transform(F.filter(found, lambda x: ~x.startswith("#")), lambda x: F.when(x.rlike("^https?://"), x).otherwise(urls.join_url(base, x)))
+    first = kept(F.coalesce(stored, none))
+    return F.when(~is_ok(result), none).otherwise(let(first, lambda f: F.when(F.size(f) > 0, f).otherwise(kept(full))))
+
+
+def crawl_payload(input_url: Column, result: Column, metadata: Column, cache_mode: Column, force_refresh: Column, mode: Column) -> Column:
+    """Typed result of one crawl. metadata: struct of url, artifact_id, links and link_count of the stored page, or null."""
+    canonical = urls.canonical_url(input_url)
+    good, text = is_ok(result), lambda c: F.coalesce(c, F.lit(""))
+    error = error_payload(result)
+    stored = links_of_metadata(metadata["links"], metadata["link_count"])
+    used = F.when(force_refresh & (cache_mode == "enabled"), "write_only").otherwise(cache_mode)
+    own = F.coalesce(F.nullif(canonical, F.lit("")), input_url)
+    return F.struct(
+        good.alias("ok"), F.when(good, unwrap_ok(result)).otherwise("").alias("text"), F.when(~good, error).alias("error"),
+        F.when(canonical == "", "").otherwise(urls.url_id(input_url)).alias("raw_id"),
+        F.when(good, F.coalesce(F.nullif(metadata["url"], F.lit("")), own)).otherwise(own).alias("url"), canonical.alias("canonical_url"),
+        F.when(good, text(metadata["artifact_id"])).otherwise(text(error["artifact_id"])).alias("artifact_id"), used.alias("cache_mode"), mode.alias("mode"),
+        F.when(good, stored["links"]).otherwise(F.array().cast("array<string>")).alias("links"), F.when(good, stored["link_count"]).otherwise(0).alias("link_count"),
+    )
+
+
+def map_payload(start_url: Column, text: Column, ok: Column, url: Column, links: Column, link_count: Column, error: Column) -> Column:
+    """Typed result of mapping a site."""
+    canonical = urls.canonical_url(start_url)
+    own = F.coalesce(F.nullif(canonical, F.lit("")), start_url)
+    told = links_of_metadata(links, link_count)
+    none = F.array().cast("array<string>")
+    return F.struct(
+        ok.alias("ok"), F.when(~ok, "").when(is_ok(text), unwrap_ok(text)).otherwise(text).alias("text"),
+        F.when(~ok, error_payload(F.coalesce(F.nullif(error, F.lit("")), text))).alias("error"), F.when(ok, F.coalesce(F.nullif(url, F.lit("")), own)).otherwise(own).alias("url"),
+        canonical.alias("canonical_url"), F.when(ok, told["links"]).otherwise(none).alias("links"), F.when(ok, told["link_count"]).otherwise(0).alias("link_count"),
+    )

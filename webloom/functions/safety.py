@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from .expressions import let
 
 ZERO_WIDTH = "​"
-#: What is muted, neutralised and masked.
-CONTROL = r"(?i)<\|im_start\|>|<\|im_end\|>|<\|begin_of_text\|>|<\|end_of_text\|>|<\|start_header_id\|>|<\|end_header_id\|>|\[INST\]|\[/INST\]|<s>|</s>|__PROMPT_INJECTION__"
+#: What is muted, neutralised and masked; the last two are the tags of our own results, which no page may forge.
+CONTROL = r"(?i)<\|im_start\|>|<\|im_end\|>|<\|begin_of_text\|>|<\|end_of_text\|>|<\|start_header_id\|>|<\|end_header_id\|>|\[INST\]|\[/INST\]|<s>|</s>|__PROMPT_INJECTION__|__ERROR__|__OK__"
 FAKE_TAGS = r"(?i)</?(system|instruction|instruction_override|ai_rules|sys|assistant|user|developer)>"
 KEYWORDS = ("ignore", "instructions", "override", "system prompt", "forget", "prior", "previous", "developer mode", "jailbreak", "do not tell", "print instead")
 PHRASES = (

@@ -93,8 +93,9 @@ def join_url(base: Column, ref: Column) -> Column:
 
 
 def ttl_seconds(url: Column) -> Column:
-    u = F.lower(url)
-    return F.when(u.rlike("news|blog|medium"), TTL_FAST).when(u.contains("wiki"), TTL_SLOW).otherwise(TTL_ELSE)
+    """Lifetime of a stored page by its host."""
+    host = F.lower(part(url, 2))
+    return F.when(host.rlike(r"news|blog|medium\.com"), TTL_FAST).when(host.contains("wiki"), TTL_SLOW).otherwise(TTL_ELSE)
 
 
 def ipv4_number(host: Column) -> Column:
@@ -124,9 +125,3 @@ def blocked_ip(host: Column) -> Column:
     for low, high in network_ranges():
         hit = hit | number.between(low, high)
     return F.coalesce(hit, F.lit(False))
-
-
-def is_public_url(url: Column) -> Column:
-    host = F.regexp_replace(F.regexp_replace(F.lower(part(url, 2)), ":[0-9]*$", ""), r"\.$", "")
-    named = (host != "localhost") & ~host.endswith(".localhost") & ~host.endswith(".local") & host.contains(".")
-    return F.lower(part(url, 1)).isin("http", "https") & (host != "") & named & ~blocked_ip(host)

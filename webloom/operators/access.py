@@ -43,11 +43,54 @@ def pick_session(requests: DataFrame, sessions: DataFrame) -> DataFrame:
 
 
 def session_key(domain: Column, account: Column, proxy: Column, bound: Column) -> Column:
-    """The id that a new session of an identity gets."""
-    parts = [F.lower(domain), F.coalesce(account, F.lit("")), F.coalesce(proxy, F.lit("")), bound.cast("int").cast("string")]
+    """The id that an identity's first session gets."""
+    parts = [F.lower(domain), F.coalesce(account, F.lit("")), F.coalesce(proxy, F.lit("")), F.when(bound, "account").otherwise("anonymous")]
     return F.substring(F.sha1(F.concat_ws("\x1f", *parts)), 1, 16)
 
 
+def use_sessions(requests: DataFrame, sessions: DataFrame, now: Column) -> DataFrame:
+    """sessions after one request of each identity: its best active session is used once more, or a new one is made.
+
+    sessions: (session_id, domain, account_id, proxy_url, storage_state_bound, status, error_score, use_count, created_at,
+    updated_at). Where the identity's earlier sessions are retired, the new id gets the next generation's number.
+    """
+    identity = ["domain", "account_id", "proxy_url", "storage_state_bound"]
+    wanted = requests.select(*identity).distinct()
+    chosen = pick_session(wanted, sessions)
+    used = chosen.filter("session_id IS NOT NULL").select("session_id", F.lit(True).alias("_used"))
+    old = sessions.join(used, "session_id", "left")
+    mine = F.coalesce("_used", F.lit(False))
+    old = old.withColumn("use_count", F.col("use_count") + mine.cast("int")).withColumn("updated_at", F.when(mine, now).otherwise(F.col("updated_at"))).select(sessions.columns)
+    generations = sessions.groupBy(*identity).agg(F.count(F.lit(1)).alias("_n"))
+    new = chosen.filter("session_id IS NULL").join(generations, identity, "left")
+    first = session_key(*(F.col(c) for c in identity))
+    new = new.withColumn("session_id", F.when(F.col("_n") > 0, F.concat(first, F.lit("-"), F.col("_n") + 1)).otherwise(first))
+    made = {"status": F.lit("active"), "error_score": F.lit(0), "use_count": F.lit(1), "created_at": now, "updated_at": now}
+    return old.unionByName(new.select(*(made.get(c, F.col(c)).alias(c) for c in sessions.columns)))
+
+
+def listed_profiles(profiles: DataFrame, domain: str = "") -> DataFrame:
+    """Profiles by domain, the default first, then the newest."""
+    own = profiles.filter(F.col("domain") == domain) if domain else profiles
+    return own.orderBy("domain", F.desc("is_default"), F.desc("updated_at"), "account_id")
+
+
+def mark_profiles(profiles: DataFrame, marks: DataFrame, now: Column) -> DataFrame:
+    """marks: (domain, account_id, status, notes, risk_flags); empty notes and null flags keep the old ones; unknown profiles are made first."""
+    none = F.array().cast("array<string>")
+    new = marks.select("domain", "account_id", F.lit("").alias("label"), "notes", F.lit(None).cast("array<string>").alias("risk_flags"), F.lit(False).alias("make_default"))
+    unknown = new.join(profiles, ["domain", "account_id"], "left_anti")
+    known = register_profiles(profiles, unknown, now)
+    m = marks.select("domain", "account_id", F.col("status").alias("_status"), F.nullif("notes", F.lit("")).alias("_notes"), F.col("risk_flags").alias("_flags"))
+    j = known.join(m, ["domain", "account_id"], "left")
+    given = F.col("_status").isNotNull()
+    fresh = {
+        "status": F.coalesce("_status", "status"), "notes": F.coalesce("_notes", "notes"), "risk_flags": F.coalesce("_flags", "risk_flags", none),
+        "updated_at": F.when(given, now).otherwise(F.col("updated_at")),
+    }
+    return j.select(*(fresh.get(c, F.col(c)).alias(c) for c in known.columns))
+
+
 def stale_profiles(profiles: DataFrame, rules: DataFrame, keep: int) -> DataFrame:
     """Profiles of domains outside the `keep` (the feature) with the newest success."""
     newest = rules.filter("last_success_at IS NOT NULL").orderBy(F.desc("last_success_at"), "domain").limit(keep).select("domain")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import fnmatch
-import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -11,16 +9,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
-from ..functions.expressions import let
+from ..functions.expressions import glob_pattern, let
 
 TERMINAL = ("fetched", "error", "skipped")
 
 
-def glob_pattern(glob: str) -> str:
-    """fnmatch semantics as a Java pattern: `*` crosses slashes."""
-    return re.sub(r"\\Z$|\\z$", "", fnmatch.translate(glob)).replace("(?s:", "^(?s:") + "$"
-
-
 @dataclass(frozen=True)
 class CrawlPolicy:
     start_url: str
@@ -65,13 +58,31 @@ def seeds(candidates: DataFrame, policy: CrawlPolicy, limit: int) -> DataFrame:
     return named.groupBy("url").agg(F.min("pos").alias("pos")).orderBy("pos", "url").limit(limit)
 
 
-def links(pages: DataFrame) -> DataFrame:
-    """(page_id, pos, url, text, same_domain): every a[href] of the HTML tree, the first of each canonical URL of a page."""
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(html.anchors_of("html")).alias("pos", "a")).filter((F.col("a.href") != "") & ~F.lower("a.href").rlike("^(#|mailto:|tel:|javascript:|data:)"))
-    rows = rows.select("page_id", "pos", "base", urls.canonical_url(urls.join_url(F.col("base"), F.col("a.href"))).alias("url"), F.col("a.label").alias("text"))
-    rows = rows.filter(F.col("url").rlike("^https?://")).withColumn("same_domain", urls.domain_of(F.col("url")) == urls.domain_of(F.col("base")))
+def links(pages: DataFrame, start_domain: str = "", same_domain_only: bool = False, max_links: int | None = None) -> DataFrame:
+    """(page_id, pos, url, text, title, rel, same_domain): every a[href] of a page, the first of each canonical URL.
+
+    same_domain compares with `start_domain`, or with the page's own domain; at most `max_links` of a page, in its order.
+    """
+    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(html.anchors_of("html")).alias("pos", "a"))
+    rows = rows.filter((F.col("a.href") != "") & ~F.lower("a.href").rlike("^(#|mailto:|tel:|javascript:|data:)"))
+    url = urls.canonical_url(urls.join_url(F.col("base"), F.col("a.href")))
+    rows = rows.select("page_id", "pos", "base", url.alias("url"), F.col("a.label").alias("text"), "a.title", "a.rel").filter(F.col("url").rlike("^https?://[^/]"))
+    home = F.lit(start_domain) if start_domain else urls.domain_of(F.col("base"))
+    rows = rows.withColumn("same_domain", urls.domain_of(F.col("url")) == home)
+    rows = rows.filter("same_domain") if same_domain_only else rows
     first = Window.partitionBy("page_id", "url").orderBy("pos")
-    return rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "base")
+    rows = rows.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n", "base")
+    if max_links is None:
+        return rows
+    order = Window.partitionBy("page_id").orderBy("pos")
+    return rows.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= max_links).drop("_n")
+
+
+def final_url_allowed(final_url: Column, allowed_domain: Column, include_subdomains: bool = False) -> Column:
+    """The address after redirects is inside the allowed domain; an empty one allows all."""
+    own, wanted = urls.domain_of(F.lower(final_url)), F.lower(F.coalesce(allowed_domain, F.lit("")))
+    inside = (own == wanted) | own.endswith(F.concat(F.lit("."), wanted)) if include_subdomains else own == wanted
+    return (wanted == "") | F.coalesce(inside, F.lit(False))
 
 
 def reach(edges: DataFrame, starts: DataFrame, max_depth: int, cut=None) -> DataFrame:
@@ -134,8 +145,34 @@ def mark_retry(frontier: DataFrame, failed: DataFrame, now: Column, max_retries:
 
 
 def result_page(frontier: DataFrame, cursor: int, limit: int) -> DataFrame:
-    """A page of fetched URLs in order of time, then URL."""
-    return frontier.filter("status = 'fetched'").orderBy("updated_at", "url").offset(max(0, cursor)).limit(max(1, min(limit, 100)))
+    """A page of fetched URLs in order of time, then URL, each with the next page's cursor, null unless the page is full."""
+    cursor, limit = max(0, cursor), max(1, min(limit, 100))
+    page = frontier.filter("status = 'fetched'").orderBy("updated_at", "url").offset(cursor).limit(limit)
+    full = F.count(F.lit(1)).over(Window.partitionBy()) == limit  # of `limit` rows
+    return page.withColumn("next_cursor", F.when(full, cursor + limit))
+
+
+def done_urls(frontier: DataFrame, limit: int) -> DataFrame:
+    """URLs with an end, oldest first, at most `limit` of each job (the feature)."""
+    return _first(frontier.filter(F.col("status").isin(*TERMINAL)), [F.col("updated_at"), F.col("url")], limit)
+
+
+def queued_urls(frontier: DataFrame, limit: int = 200) -> DataFrame:
+    return _first(frontier.filter("status = 'queued'"), [F.desc("priority"), F.col("depth"), F.col("discovered_at"), F.col("url")], limit)
+
+
+def recent_errors(frontier: DataFrame, limit: int = 50) -> DataFrame:
+    return _first(frontier.filter("status = 'error'"), [F.desc("updated_at"), F.col("url")], limit)
+
+
+def _first(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
+    w = Window.partitionBy("job_id").orderBy(*order)
+    return rows.withColumn("pos", F.row_number().over(w)).filter(F.col("pos") <= limit).select("job_id", "pos", "url")
+
+
+def has_pending(frontier: DataFrame) -> DataFrame:
+    """(job_id, pending): a job has queued or leased rows."""
+    return frontier.groupBy("job_id").agg(F.bool_or(F.col("status").isin("queued", "in_progress")).alias("pending"))
 
 
 def job_report(parts: DataFrame, key: str, order: Sequence[str], source: str, body: str) -> DataFrame:

@@ -11,8 +11,9 @@ AIMD_UP, AIMD_DOWN, AIMD_MOST = 2.0, 0.9, 32.0
 
 
 def ordered(outcomes: DataFrame, key: str) -> DataFrame:
-    """(key, events): array of (ts, id, ok) in order; one key's outcomes are one row."""
-    return outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "ok"))).alias("events"))
+    """(key, events): array of (ts, id, ok, retire) in order; one key's outcomes are one row."""
+    retire = F.coalesce("retire", F.lit(False)) if "retire" in outcomes.columns else F.lit(False)
+    return outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "ok", retire.alias("retire")))).alias("events"))
 
 
 def aimd(events: Column) -> Column:
@@ -36,13 +37,14 @@ def circuit(events: Column) -> Column:
     return F.aggregate(events, start, step)
 
 
-def session_health(events: Column, retire_at: int = 3) -> Column:
-    """(error_score, retired): bad adds one, good takes one away, not below zero; retired once the score reaches 3."""
+def session_health(events: Column) -> Column:
+    """(error_score, retired): a failure adds one, a success takes one away, not below zero; an event with `retire` adds three and retires."""
     start = F.struct(F.lit(0).alias("error_score"), F.lit(False).alias("retired"))
 
     def step(a: Column, e: Column) -> Column:
-        score = F.when(e["ok"], F.greatest(F.lit(0), a["error_score"] - 1)).otherwise(a["error_score"] + 1)
-        return F.struct(F.when(a["retired"], a["error_score"]).otherwise(score).alias("error_score"), (a["retired"] | (score >= retire_at)).alias("retired"))
+        worse = a["error_score"] + F.when(e["retire"], 3).otherwise(1)
+        score = F.when(e["ok"], F.greatest(F.lit(0), a["error_score"] - 1)).otherwise(worse)
+        return F.struct(score.alias("error_score"), (a["retired"] | (~e["ok"] & e["retire"])).alias("retired"))
 
     return F.aggregate(events, start, step)
 

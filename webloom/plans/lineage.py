@@ -1,15 +1,29 @@
-"""Reliable checkpoints for iterative plans."""
+"""Reliable checkpoints and the shared folder that they lie in."""
 
 from __future__ import annotations
 
 import tempfile
+from functools import lru_cache
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+@lru_cache(1)
+def _temporary() -> str:
+    return tempfile.mkdtemp(prefix="webloom-checkpoint-")
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a temporary one where none is set, which only a local master may do without."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return named or _temporary()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the folder of spark.checkpoint.dir; a temporary one only where none is set (tests)."""
+    """Cuts lineage with a checkpoint in the shared folder."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="webloom-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -32,37 +32,105 @@ def parse_index(documents: DataFrame, scope=None) -> DataFrame:
     return rows.groupBy("doc_url", "kind", "url").agg(F.min("pos").alias("pos"))
 
 
-def robots_sitemaps(text: Column) -> Column:
-    lines = F.split(text, "\r?\n")
-    found = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)^\s*sitemap\s*:\s*(\S+)", 1)), lambda x: x != "")
-    return F.array_distinct(found)
+def _candidates(found: Column, base: Column, same_domain_only: bool, limit: int) -> Column:
+    """URLs joined to the base and canonical, http(s) and of the base's domain only, the first of each, at most `limit` (the feature)."""
+    full = F.transform(F.filter(found, lambda x: F.trim(x) != ""), lambda x: urls.canonical_url(urls.join_url(base, F.trim(x))))
+    kept = F.filter(full, lambda x: x.rlike("^https?://[^/]"))
+    if same_domain_only:
+        home = urls.domain_of(urls.canonical_url(base))
+        kept = F.filter(kept, lambda x: urls.domain_of(x) == home)
+    return F.slice(F.array_distinct(kept), 1, limit)
 
 
-def feed_links(html: Column) -> Column:
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?is)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?alternate") & x.rlike(r"(?i)application/(rss|atom)\+xml|application/feed\+json"))
-    return F.transform(tags, lambda x: F.regexp_extract(x, r"""(?i)\bhref\s*=\s*["']([^"']*)["']""", 1))
+def robots_sitemaps(text: Column, base: Column, same_domain_only: bool = True, limit: int = 20) -> Column:
+    """Sitemaps that a robots file names."""
+    named = F.transform(F.split(text, "\r\n?|\n"), lambda x: F.regexp_extract(x, r"(?i)^\s*sitemap\s*:\s*(.*?)\s*$", 1))
+    return _candidates(named, base, same_domain_only, limit)
+
+
+#: Types of feeds.
+FEED_TYPES = ("application/rss+xml", "application/atom+xml", "application/rdf+xml", "application/feed+json", "text/xml", "application/xml")
+
+
+def feed_links(html: Column, base: Column, same_domain_only: bool = True, limit: int = 20) -> Column:
+    """Feeds that a page names: link elements that are alternates or of a feed's type, and of no other type."""
+
+    def attribute(tag: Column, name: str) -> Column:
+        value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+        plain = F.regexp_replace(value, "^[\"']|[\"']$", "")
+        for mark, character in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+            plain = F.replace(plain, F.lit(mark), F.lit(character))
+        return plain
+
+    def names_feed(tag: Column) -> Column:
+        kind = F.lower(attribute(tag, "type"))
+        alternate = F.array_contains(F.split(F.lower(attribute(tag, "rel")), r"\s+"), "alternate")
+        return ((kind == "") & alternate) | kind.isin(*FEED_TYPES)
+
+    shown = F.regexp_replace(F.coalesce(html, F.lit("")), r"(?s)<!--.*?-->", "")
+    tags = F.filter(F.regexp_extract_all(shown, F.lit(r"""(?is)<link\b(?:[^>"']|"[^"]*"|'[^']*')*>"""), F.lit(0)), names_feed)
+    return _candidates(F.transform(tags, lambda x: attribute(x, "href")), base, same_domain_only, limit)
+
+
+#: Agents of crawlers that collect training data.
+AI_AGENTS = ("GPTBot", "ClaudeBot", "Claude-Web", "CCBot", "PerplexityBot", "Google-Extended", "Bytespider", "FacebookBot")
 
 
 def robots_rules(documents: DataFrame) -> DataFrame:
-    """(origin, agent, allow, path) rows of robots files (origin, body)."""
-    line = F.posexplode(F.split("body", "\r?\n")).alias("n", "line")
-    rows = documents.select("origin", line).select("origin", "n", F.lower(F.trim(F.substring_index("line", ":", 1))).alias("key"), F.trim(F.regexp_replace(F.regexp_replace("line", "^[^:]*:", ""), "#.*$", "")).alias("value"))
+    """(origin, section, agents, n, allow, path) rows of robots files (origin, body), in file order.
+
+    A section begins with agent lines after rules or after an empty line, which also ends it; without rules it counts for
+    nothing. Of the sections for `*` the first counts. A rule without a path allows everything.
+    """
+    line = F.posexplode(F.split("body", "\r\n?|\n")).alias("n", "line")
+    rows = documents.select("origin", line).withColumn("line", F.trim(F.regexp_replace("line", "#.*$", "")))
+    key, value = F.lower(F.trim(F.substring_index("line", ":", 1))), F.trim(F.regexp_replace("line", "^[^:]*:", ""))
+    rows = rows.select("origin", "n", F.when(F.col("line") == "", "").when(F.col("line").contains(":"), key).alias("key"), value.alias("value"))
+    rows = rows.filter(F.col("key").isin("", "user-agent", "allow", "disallow"))
     w = Window.partitionBy("origin").orderBy("n")
-    rows = rows.filter(F.col("key").isin("user-agent", "allow", "disallow"))
+    # agents after anything else begin a section; an empty line ends the one before it
     starts = (F.col("key") == "user-agent") & F.coalesce(F.lag("key").over(w) != "user-agent", F.lit(True))
-    rows = rows.withColumn("group", F.sum(starts.cast("int")).over(w))
-    agents = rows.filter("key = 'user-agent'").select("origin", "group", F.lower("value").alias("agent"))
-    return rows.filter("key <> 'user-agent' AND value <> ''").join(agents, ["origin", "group"]).select("origin", "agent", (F.col("key") == "allow").alias("allow"), F.col("value").alias("path"))
+    rows = rows.withColumn("section", F.sum(starts.cast("int")).over(w)).withColumn("part", F.sum((F.col("key") == "").cast("int")).over(w))
+    named = rows.filter("key = 'user-agent'").groupBy("origin", "section", "part").agg(F.collect_list(F.lower("value")).alias("agents"))
+    rules = rows.filter("key IN ('allow', 'disallow')").select("origin", "section", "part", "n", "value", (F.col("key") == "allow").alias("said"))
+    both = named.join(rules, ["origin", "section", "part"])
+    return both.select("origin", "section", "agents", "n", (F.col("said") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path"))
 
 
 def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """requests (url) with `allowed`: the longest matching path rule of the agent, allow on a tie or without any."""
-    own = rules.filter(F.col("agent") == agent.lower()).select("origin", "allow", F.col("path").alias("rule"))
-    r = requests.select("url").distinct().withColumn("origin", urls.origin_of(F.col("url")))
-    path = F.regexp_replace(F.col("url"), "^[^:/?#]+://[^/?#]*", "")
-    hits = r.join(own, "origin").filter(F.when(path == "", "/").otherwise(path).startswith(F.col("rule")))
-    best = hits.groupBy("url").agg(F.max_by("allow", F.struct(F.length("rule"), "allow")).alias("_allow"))
-    return requests.join(best, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+    """requests (url) with `allowed`: the first rule whose path begins the URL's, of the first section that names the agent, else of the first for `*`.
+
+    An agent is named by any part of its product name; without a section or a rule all is allowed.
+    """
+    product = F.lit(agent.split("/")[0].lower())
+    own = F.exists("agents", lambda a: (a != "*") & (a != "") & product.contains(a))
+    kinds = rules.select("origin", "section", F.when(own & ~F.array_contains("agents", "*"), 0).when(F.array_contains("agents", "*"), 1).alias("kind")).filter("kind IS NOT NULL")
+    chosen = kinds.groupBy("origin").agg(F.min(F.struct("kind", "section")).alias("k")).select("origin", F.col("k.section").alias("section"))
+    usable = rules.join(chosen, ["origin", "section"]).select("origin", "n", "allow", F.col("path").alias("rule"))
+    r = requests.select("url").distinct().withColumn("origin", F.lower(urls.origin_of(F.col("url"))))
+    path = F.regexp_replace(F.col("url"), "^[^:/?#]+://[^/?#]*|#.*$", "")
+    hits = r.join(usable, "origin").filter((F.col("rule") == "*") | F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).startswith(F.col("rule")))
+    first = hits.groupBy("url").agg(F.min_by("allow", "n").alias("_allow"))
+    return requests.join(first, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+
+
+def robots_status_allowed(requests: DataFrame, captured: DataFrame, agent: str = "*", fail_closed: bool = True) -> DataFrame:
+    """As robots_allowed over captured robots files (origin, status, body): 4xx but 429 means no rules, any other failure the setting."""
+    got = captured.filter("status = 200").select("origin", "body")
+    failed = captured.filter("status <> 200 AND (status NOT BETWEEN 400 AND 499 OR status = 429)").select("origin", F.lit(True).alias("_failed")).distinct()
+    judged = robots_allowed(requests, robots_rules(got), agent).withColumn("origin", F.lower(urls.origin_of(F.col("url"))))
+    return judged.join(failed, "origin", "left").withColumn("allowed", F.when(F.col("_failed"), not fail_closed).otherwise(F.col("allowed"))).drop("_failed", "origin")
+
+
+def ai_agents_disallowed(rules: DataFrame) -> DataFrame:
+    """(origin, disallowed): the root is closed to one of AI_AGENTS."""
+    roots = rules.select(F.concat("origin", F.lit("/")).alias("url")).distinct()
+    said = None
+    for agent in AI_AGENTS:
+        one = robots_allowed(roots, rules, agent)
+        said = one if said is None else said.unionByName(one)
+    closed = said.groupBy("url").agg(F.bool_or(~F.col("allowed")).alias("disallowed"))
+    return closed.select(urls.origin_of(F.col("url")).alias("origin"), "disallowed")
 
 
 def discover(starts: DataFrame, captured: DataFrame, scope=None, same_domain: bool = True, sitemaps: int = 20, children: int = 10, feeds: int = 20) -> DataFrame:
@@ -87,9 +155,10 @@ def discover(starts: DataFrame, captured: DataFrame, scope=None, same_domain: bo
 
     robots = s.join(docs, F.concat("_origin", F.lit("/robots.txt")) == F.col("doc_url"), "left")
     known = F.array(F.lit("/sitemap.xml"), F.lit("/sitemap_index.xml"))
-    queue = first(robots.select("start_url", named(F.concat(robots_sitemaps(F.coalesce("body", F.lit(""))), known))), sitemaps)
+    listed = robots_sitemaps(F.coalesce("body", F.lit("")), F.concat("_origin", F.lit("/")), same_domain, sitemaps)
+    queue = first(robots.select("start_url", named(F.concat(listed, known))), sitemaps)
     top = read(queue)
     below = top.filter("kind = 'sitemapindex'").select("start_url", F.col("url").alias("doc_url"), "pos").join(queue, ["start_url", "doc_url"], "left_anti")
-    home = s.join(docs, urls.canonical_url(F.col("start_url")) == F.col("doc_url")).select("start_url", named(feed_links(F.col("body"))))
+    home = s.join(docs, urls.canonical_url(F.col("start_url")) == F.col("doc_url")).select("start_url", named(feed_links(F.col("body"), F.col("start_url"), same_domain, feeds)))
     found = top.unionByName(read(first(below, children))).unionByName(read(first(home, feeds))).filter("kind <> 'sitemapindex'")
     return found.select("start_url", (scope(F.col("url")) if scope else F.col("url")).alias("url")).filter("url <> ''").distinct()

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -40,10 +40,26 @@ def aimd(events: DataFrame) -> DataFrame:
     return rows.groupBy("user_id").applyInPandasWithState(_aimd, "user_id long, factor double, n long", "factor double", "update", GroupStateTimeout.NoTimeout)
 
 
-def append_sink(stream: DataFrame, path: str, checkpoint: str) -> Any:
-    """Batches of rows appended as Parquet, each batch once: a repeated batch id overwrites its own part."""
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """Sessions of a user's events that are at most `gap` apart; an extension beside the reference."""
+    counted = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n"))
+    return counted.select("user_id", F.col("w.start").alias("session_start"), F.col("w.end").alias("session_end"), "n")
+
+
+def append_sink(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> Any:
+    """Batches of rows as Parquet, each batch once: a repeated batch id overwrites its own part."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest_batches(spark: SparkSession, path: str, keys: list[str] | None = None) -> DataFrame:
+    """What append_sink's folder says: the last batch (complete results), or the last row of each key (updates)."""
+    rows = spark.read.parquet(path)
+    if keys is None:
+        last = rows.agg(F.max("batch").alias("batch"))
+        return rows.join(F.broadcast(last), "batch", "left_semi").drop("batch")
+    columns = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), "batch").alias("_last")).select(*keys, "_last.*")
