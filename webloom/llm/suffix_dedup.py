@@ -7,6 +7,10 @@
    precedes it, reversed). Suffixes equal over the whole reach of any window
    keep their earliest place only; the later ones are repeats already. The
    sorted run goes, front-coded, to the bucket of its grams.
+   A gram at very many places (a line shorter than a window in most documents)
+   would fill one bucket: its suffixes go to several, by longer keys that equal
+   windows share too, one for each part of the positions that the gram can have
+   in a window.
 3. Each bucket merges its runs with a loser tree that carries the common
    prefix lengths and never compares known prefixes again. The merged order
    and its common prefixes name equal windows without looking at bytes; all
@@ -24,7 +28,7 @@ byte.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,15 +41,20 @@ from .common import K0, K1, U, cut, hot_keys, join_spread, mix, slices, utf8
 GRAM = 32
 #: Ids from here on stand for missing ones, so that such rows come last; each text has its own.
 NO_ID = 1 << 62
-#: Suffixes that a task sorts at a time.
+#: Suffixes that a task sorts at a time; a gram at more places than these is hot.
 RUN = 100_000
+#: Hot grams that are told to all workers (8 bytes each), the most frequent ones; of others all suffixes go to one bucket.
+MOST_HOT = 10_000
+#: Parts of the positions of a hot gram in a window; its suffixes go once for each part to a key of nearly the whole window.
+PARTS = 4
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
+    """Hashes of all runs of GRAM bytes along the last axis."""
     h = mix(np.arange(1, 257, dtype=np.uint64) * K0)[data]
     factor, width = int(K1), 1
     while width < GRAM:
-        h = h[:-width] * U(factor) + h[width:]
+        h = h[..., :-width] * U(factor) + h[..., width:]
         factor, width = factor * factor & (2**64 - 1), 2 * width
     return mix(h) | U(1)
 
@@ -100,31 +109,55 @@ def _sampled(length: int):
                 again = lead[which] != np.arange(len(h))
                 # of a gram that repeats here, one place meets other tasks; the rest is dealt out at random
                 h = np.where(again, mix(h + (ids[docs] + at).astype(np.uint64) * K0), h)
+                places = np.where(again, -1, times[which])  # here, told by the one place
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h.view(np.int64)), pa.array(ids[docs]), pa.array((at - offsets[docs]).astype(np.int32)), pa.array(times[which] > 1)], names=["h", "doc_id", "at", "known"]
+                    [pa.array(h.view(np.int64)), pa.array(ids[docs]), pa.array((at - offsets[docs]).astype(np.int32)), pa.array(places.astype(np.int32))], names=["h", "doc_id", "at", "places"]
                 )
 
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by h, those known to repeat or whose h occurs more than once; holds one row between batches."""
-    kept: tuple[np.ndarray, ...] | None = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = tuple(batch.column(x).to_numpy(zero_copy_only=False) for x in ("h", "doc_id", "at", "known"))
+def _repeated(hot: int):
+    """Of rows sorted by h, those that repeat in their slice or whose h occurs more than once, and (h, places) of grams at over `hot` places.
+
+    One row and one sum are held between batches.
+    """
+
+    def out(doc_id: np.ndarray, at: np.ndarray, h: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        none = lambda k, kind: pa.nulls(k, kind)
+        columns = [
+            pa.concat_arrays([pa.array(doc_id, pa.int64()), none(len(h), pa.int64())]), pa.concat_arrays([pa.array(at, pa.int32()), none(len(h), pa.int32())]),
+            pa.concat_arrays([none(len(at), pa.int64()), pa.array(h, pa.int64())]), pa.concat_arrays([none(len(at), pa.int64()), pa.array(n, pa.int64())]),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "at", "h", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple[np.ndarray, ...] | None = None
+        nothing, total = np.zeros(0, np.int64), 0  # of the last h
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            h, doc_id, at, places = (batch.column(x).to_numpy() for x in ("h", "doc_id", "at", "places"))
+            good = (places != 1)
+            if kept is not None:
+                h, doc_id, at, good = (np.concatenate([a, b]) for a, b in zip(kept, (h, doc_id, at, good), strict=True))
+                places = np.concatenate([[0], places])
+            same = h[1:] == h[:-1]
+            good[1:] |= same
+            good[:-1] |= same
+            first = np.flatnonzero(np.concatenate([[True], ~same]))
+            sums = np.add.reduceat(np.maximum(places, 0).astype(np.int64), first)
+            sums[0] += total
+            total = int(sums[-1])
+            many = np.flatnonzero(sums[:-1] > hot)
+            kept = (h[-1:], doc_id[-1:], at[-1:], good[-1:].copy())
+            good[-1] = False
+            yield out(doc_id[good], at[good], h[first[many]], sums[many])
         if kept is not None:
-            now = tuple(np.concatenate([a, b]) for a, b in zip(kept, now, strict=True))
-        same = now[0][1:] == now[0][:-1]
-        good = now[3].copy()
-        good[1:] |= same
-        good[:-1] |= same
-        kept = tuple(x[-1:] for x in (*now[:3], good))
-        good[-1] = False
-        yield pa.RecordBatch.from_arrays([pa.array(now[1][good]), pa.array(now[2][good])], names=["doc_id", "at"])
-    if kept is not None and kept[3][0]:
-        yield pa.RecordBatch.from_arrays([pa.array(kept[1]), pa.array(kept[2])], names=["doc_id", "at"])
+            good, many = kept[3], total > hot
+            yield out(kept[1][good], kept[2][good], kept[0] if many else nothing, np.array([total]) if many else nothing)
+
+    return run
 
 
 def front_code(records: np.ndarray, places: np.ndarray) -> bytes:
@@ -251,12 +284,34 @@ class _Suffixes:
         tail = records[:, self.width - 4 :].astype(np.int64)
         return tail[:, 0] << 8 | tail[:, 1], tail[:, 2] << 8 | tail[:, 3]
 
-    def bucket(self, records: np.ndarray) -> np.ndarray:
-        h = np.zeros(len(records), np.uint64)
-        for k in range(GRAM):
+    def bucket(self, records: np.ndarray, columns: Iterable[int] = range(GRAM), salt: int = 0) -> np.ndarray:
+        h = np.full(len(records), salt, np.uint64)
+        for k in columns:
             h = h * K1 + records[:, k]
         return (mix(h) % U(self.buckets)).astype(np.int64)
 
+    def dealt(self, records: np.ndarray, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(record, bucket) pairs: one of each record, but some of each that begins with a hot gram.
+
+        A window that begins l bytes before a gram has l bytes before it and length - l from it on. With l between low and
+        high, equal windows share at least `low` bytes before and length - high from the gram on, which make the key.
+        """
+        bucket, every = self.bucket(records), np.arange(len(records))
+        if not len(hot) or not len(records):
+            return every, bucket
+        gram = _gram_hashes(np.ascontiguousarray(records[:, :GRAM]))[:, 0].view(np.int64)
+        is_hot = hot[np.minimum(np.searchsorted(hot, gram), len(hot) - 1)] == gram
+        found = [(every[~is_hot], bucket[~is_hot])]
+        after, before = self.reach(records)
+        edges = [k * (self.before + 1) // PARTS for k in range(PARTS + 1)]
+        for low, end in zip(edges, edges[1:]):
+            ahead = self.length - (end - 1)
+            own = np.flatnonzero(is_hot & (after >= ahead) & (before >= low))
+            found.append((own, self.bucket(records[own], [*range(ahead), *range(self.length, self.length + low)], low + 1)))
+        which, where = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((which, where))
+        return which[order], where[order]
+
 
 def _ordered(records: np.ndarray) -> np.ndarray:
     return np.argsort(np.ascontiguousarray(records).view(f"S{records.shape[1]}").ravel(), kind="stable")
@@ -265,7 +320,7 @@ def _ordered(records: np.ndarray) -> np.ndarray:
 EXCHANGE = "bucket int, run binary, doc_id long, start long, stop long"
 
 
-def _runs(layout: _Suffixes):
+def _runs(layout: _Suffixes, hot: np.ndarray):
     """Sorted front-coded runs by bucket, and spans that repeat an earlier place of the same task."""
     names = [c.split()[0] for c in EXCHANGE.split(", ")]
 
@@ -284,16 +339,17 @@ def _runs(layout: _Suffixes):
         spans = again & (stop - start >= layout.length)
         keep = np.flatnonzero(lead == np.arange(len(records)))
         records_kept, places_kept = records[keep], places[keep]
-        bucket = layout.bucket(records_kept)
-        by = np.argsort(bucket, kind="stable")
-        cuts = np.flatnonzero(np.diff(bucket[by])) + 1
-        groups = np.split(by, cuts) if len(by) else []
-        runs = [front_code(records_kept[g], places_kept[g]) for g in groups]
+        which, bucket = layout.dealt(records_kept, hot)
+        if not len(hot):
+            by = np.argsort(bucket, kind="stable")
+            which, bucket = which[by], bucket[by]
+        cuts = np.flatnonzero(np.diff(bucket)) + 1
+        runs = [front_code(records_kept[g], places_kept[g]) for g in np.split(which, cuts)] if len(which) else []
         done = merge_spans(np.stack([places[spans, 0], start[spans], stop[spans]], 1))
-        ids, n = [int(bucket[g[0]]) for g in groups], len(done)
+        ids, n = bucket[np.concatenate([[0], cuts])] if len(which) else bucket, len(done)
         salt = (mix(done[:, 0].astype(np.uint64)) % U(layout.buckets)).astype(np.int64)
         return pa.RecordBatch.from_arrays([
-            pa.array(np.concatenate([np.array(ids, np.int64), salt]).astype(np.int32)), pa.array([*runs, *[None] * n], pa.binary()),
+            pa.array(np.concatenate([ids, salt]).astype(np.int32)), pa.array([*runs, *[None] * n], pa.binary()),
             *(pa.array(np.concatenate([np.zeros(len(runs), np.int64), done[:, k]])) for k in range(3)),
         ], names=names)
 
@@ -451,7 +507,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*batch.columns[:4], digest], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
 
-def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 100, hot: int = RUN) -> DataFrame:
     """(doc_id, start, stop): byte ranges under strings of `length` bytes that start earlier; they may overlap."""
     spark = docs.sparkSession
     buckets = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -460,28 +516,32 @@ def repeated_spans(docs: DataFrame, length: int = 100) -> DataFrame:
     sizes = keyed.groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("size"))
     firsts = cut(sizes.filter("least < most").drop("most"))
     copies = join_spread(keyed, firsts, hot_keys(firsts, "size"), "digest", "least", F.unhex(F.hex("doc_id"))).filter("doc_id > least").select("doc_id", F.lit(0).cast("long").alias("start"), F.col("n").alias("stop"))
-    sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int, known boolean")
-    shared = sampled.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated, "doc_id long, at int")
-    anchors = shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors")).join(copies, "doc_id", "left_anti")
+    sampled = docs.mapInArrow(_sampled(length), "h long, doc_id long, at int, places int")
+    shared = sampled.repartition("h").sortWithinPartitions("h").mapInArrow(_repeated(hot), "doc_id long, at int, h long, n long")
+    by_doc = cut(shared.groupBy("doc_id").agg(F.collect_set("at").alias("anchors"), F.collect_set(F.when(F.col("h").isNotNull(), F.struct("n", "h"))).alias("hot")))
+    # at most one gram a hundred thousand places, cut to MOST_HOT before it leaves the executors; which ones changes no result
+    told = by_doc.filter("doc_id IS NULL").select(F.slice(F.sort_array("hot", False), 1, MOST_HOT).alias("hot")).first()
+    grams = np.sort(np.array([x["h"] for x in told["hot"]] if told else [], np.int64))
+    anchors = by_doc.filter("doc_id IS NOT NULL").select("doc_id", "anchors").join(copies, "doc_id", "left_anti")
     # a left join like that in _with_spans, so that the texts are dealt by doc_id once
-    runs = docs.join(anchors.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "anchors").mapInArrow(_runs(layout), EXCHANGE)
+    runs = docs.join(anchors.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "anchors").mapInArrow(_runs(layout, grams), EXCHANGE)
     merged = runs.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_merged(layout), "doc_id long, start long, stop long")
     return merged.unionByName(copies)
 
 
-def _with_spans(docs: DataFrame, length: int) -> DataFrame:
+def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     missing = F.xxhash64(text).bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID)
     own = docs.select(F.coalesce(F.col("doc_id").cast("long"), missing).alias("doc_id"), text.alias("text"))
-    spans = repeated_spans(own, length).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = repeated_spans(own, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     return own.join(spans.hint("shuffle_hash"), "doc_id", "left").select(F.when(F.col("doc_id") < NO_ID, F.col("doc_id")).alias("doc_id"), "text", "spans")
 
 
-def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 100, hot: int = RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept): kept is the remaining bytes."""
-    return _with_spans(docs, length).mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return _with_spans(docs, length, hot).mapInArrow(_cut_texts, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def summarize_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
+def summarize_repeats(docs: DataFrame, length: int = 100, hot: int = RUN) -> DataFrame:
     """As remove_repeats, with the digest of the remaining bytes."""
-    return _with_spans(docs, length).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_spans(docs, length, hot).mapInArrow(_digests, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
