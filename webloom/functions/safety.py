@@ -34,11 +34,15 @@ AUDIT_RULES = (
 
 
 def replace_matches(text: Column, pattern: str, build: Callable[[Column], Column]) -> Column:
-    """Each match of `pattern` replaced by build(match): the pieces between matches zipped with the built matches."""
+    """Each match of `pattern` replaced by build(match): the pieces between matches zipped with the built matches.
+
+    A text without a match, as most are, is looked at once and left alone.
+    """
 
     def replaced(t: Column) -> Column:
         built = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), build)
-        return F.array_join(F.flatten(F.zip_with(F.split(t, pattern, -1), built, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        joined = F.array_join(F.flatten(F.zip_with(F.split(t, pattern, -1), built, lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), "")
+        return F.when(t.rlike(pattern), joined).otherwise(t)
 
     return let(text, replaced)
 
@@ -71,6 +75,8 @@ def mask_card(text: Column) -> Column:
 
 
 def mask_email(text: Column) -> Column:
+    """Most of a name becomes stars."""
+
     def one(m: Column) -> Column:
         name, host = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
         hidden = F.when(F.length(name) > 2, F.concat(F.substring(name, 1, 1), F.repeat(F.lit("*"), F.length(name) - 2), F.right(name, F.lit(1)))).otherwise(F.concat(F.substring(name, 1, 1), F.lit("*")))
@@ -106,7 +112,8 @@ def audit(text: Column, limit: int = 10) -> Column:
             between = F.split(t, pattern, -1)
             around = lambda m, i: F.concat(F.right(F.get(between, i), F.lit(80)), m, F.left(F.get(between, i + 1), F.lit(80)))
             snippet = lambda m, i: F.substring(F.trim(F.regexp_replace(around(m, i), r"\s+", " ")), 1, 240)
-            return F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), snippet(m, i).alias("snippet")))
+            found = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), snippet(m, i).alias("snippet")))
+            return F.when(t.rlike(pattern), found).otherwise(F.array().cast("array<struct<rule: string, severity: string, snippet: string>>"))
 
         return build
 
