@@ -38,12 +38,12 @@ def expand(conversations: DataFrame) -> DataFrame:
     turns = conversations.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     marked = F.transform("turns", lambda t: F.concat(F.lit("<turn "), escape(t["role"]), F.lit(">"), escape(t["text"]), F.lit("</turn>")))
-    said = F.transform("turns", lambda t, i: F.struct(i.alias("at"), (t["role"] == "assistant").alias("trained"), F.char_length(escape(t["text"])).alias("length")))
+    said = F.transform("turns", lambda t, i: F.struct(i.alias("at"), (t["role"] == "assistant").alias("trained")))
     targets = F.filter(said, lambda x: x["trained"] | (x["at"] == F.size("turns") - 1))
     # of a conversation only its marked turns go into each of its examples
     example = whole.select("conv_id", marked.alias("marked"), F.posexplode(targets).alias("example", "target"))
     formatted = F.array_join(F.slice("marked", 1, F.col("target.at") + 1), "")
-    length = F.col("target.length")
+    length = F.char_length(F.get("marked", F.col("target.at"))) - len("<turn assistant></turn>")
     return example.select(
         "conv_id", "example", (F.col("target.at") + 1).alias("n_turns"), formatted.alias("formatted"),
         F.when(F.col("target.trained"), F.char_length(formatted) - len("</turn>") - length).otherwise(0).alias("loss_start"),
