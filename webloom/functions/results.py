@@ -241,3 +241,22 @@ def map_payload(start_url: Column, text: Column, ok: Column, url: Column, links:
         F.when(~ok, error_payload(F.coalesce(F.nullif(error, F.lit("")), text))).alias("error"), F.when(ok, F.coalesce(F.nullif(url, F.lit("")), own)).otherwise(own).alias("url"),
         canonical.alias("canonical_url"), F.when(ok, told["links"]).otherwise(none).alias("links"), F.when(ok, told["link_count"]).otherwise(0).alias("link_count"),
     )
+
+
+def iso_seconds(text: Column) -> Column:
+    """Seconds of an ISO time, one without a zone in UTC; null for anything else."""
+    shaped = text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}(\.[0-9]{1,6})?)?(Z|[+-][0-9]{2}:?[0-9]{2})?)?$")
+    whole = F.regexp_replace(text, r"([T ][0-9]{2}:[0-9]{2})(?=$|Z|[+-])", "$1:00")
+    zoned = F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$") & text.rlike("[T ]"), whole).otherwise(F.concat(whole, F.when(text.rlike("[T ]"), "Z").otherwise(" 00:00:00Z")))
+    return F.when(shaped, F.try_to_timestamp(zoned).cast("double"))
+
+
+def flags_json(flags: Column) -> Column:
+    """Risk flags as stored: a JSON list of the distinct non-empty ones."""
+    own = F.filter(F.transform(F.coalesce(flags, F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
+    return F.to_json(F.array_distinct(own))
+
+
+def flags_of_json(text: Column) -> Column:
+    """Risk flags of a stored list; anything else is none."""
+    return F.coalesce(F.when(F.ltrim(text).startswith("["), F.filter(F.from_json(text, "array<string>"), lambda x: x.isNotNull())), F.array().cast("array<string>"))

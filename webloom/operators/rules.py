@@ -46,6 +46,16 @@ def csv_values(raw: str) -> tuple[str, ...]:
     return tuple(x for x in (v.strip().lower() for v in re.split("[,;\n]", raw or "")) if x)
 
 
+def env_bool(value: str | None, default: bool) -> bool:
+    """A switch of an environment; what is not set keeps its default."""
+    return default if value is None else value.strip().lower() in ("1", "true", "yes", "on")
+
+
+def configured_proxies(*settings: str) -> tuple[str, ...]:
+    """Proxies of the settings in order, each once; their case stays."""
+    return tuple(dict.fromkeys(x.strip() for raw in settings for x in re.split("[,;\n]", raw or "") if x.strip()))
+
+
 def domain_matches(domain: Column, pattern: str) -> Column:
     """`x` and `*.x` stand for x and all its subdomains; any other `*` is a wildcard; case and outer dots do not matter."""
     name, pattern = F.regexp_replace(F.lower(domain), r"^\.+|\.+$", ""), pattern.lower().strip(".")

@@ -607,13 +607,13 @@ def host_keys(spark, sf_dir):
     return pages(spark, sf_dir).select("page_id", network.domain_key(F.col("domain")).alias("key"), network.blocked_host(host).alias("blocked"))
 
 
-@query(f"""WITH {URLS}, d AS (SELECT DISTINCT domain FROM c), g AS (SELECT *, length(domain) % 3 AS k FROM d)
- SELECT domain, CASE k WHEN 0 THEN 'hint' WHEN 1 THEN 'stored' END AS gear FROM g""")
+@query(f"""WITH {URLS}, d AS (SELECT DISTINCT domain FROM c) SELECT domain, CASE length(domain) % 6 WHEN 0 THEN 'hint' WHEN 1 THEN 'stored' END AS gear FROM d""")
 def effective_gear(spark, sf_dir):
+    """A hint; a stored gear; stored ones that are stale, out of reach, doubtful or empty."""
     d = pages(spark, sf_dir).select("domain").distinct()
-    k = F.length("domain") % 3
+    k = F.length("domain") % 6
     sites = d.select("domain", F.when(k == 0, "hint").otherwise("").alias("gear_hint"))
-    stored = d.select("domain", F.lit("stored").alias("gear"), (k == 2).alias("stale"), F.lit(0).alias("unreachable_until"), F.lit(0.5).alias("confidence"))
+    stored = d.select("domain", F.when(k == 5, "").otherwise("stored").alias("gear"), (k == 2).alias("stale"), F.when(k == 3, 9).otherwise(1).alias("unreachable_until"), F.when(k == 4, 0.49).otherwise(0.5).alias("confidence"))
     return access.effective_gear(d, sites, stored, F.lit(1))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import html, markdown, results, urls
+from ..functions import detection, html, markdown, results, urls
 from ..operators import access, artifacts, caches, crawl, jobs, keyword_rules, state
 from ..sources import archive
 from . import catalogue
@@ -418,3 +418,100 @@ def latest_state(spark, sf_dir):
     e = t(spark, sf_dir, "events")
     twice = e.select("event_id", "ts").unionByName(e.select("event_id", (F.col("ts") - F.expr("INTERVAL 1 DAY")).alias("ts")))
     return state.latest(twice, ["event_id"], [F.desc("ts")])
+
+
+# --- scope, frontier moves, signs of pages ---------------------------------------------------------------------------------
+@query(f"""WITH {URLS} SELECT page_id, CASE WHEN domain = 'example.com' OR ends_with(domain, '.example.com') THEN canonical ELSE '' END AS near, CASE WHEN host = 'm.example.com' OR domain = 'm.example.com' THEN canonical ELSE '' END AS own FROM c""")
+def crawl_scope_domain(spark, sf_dir):
+    near, own = crawl.CrawlPolicy("https://example.com/", include_subdomains=True), crawl.CrawlPolicy("https://m.example.com/")
+    return t(spark, sf_dir, "pages").select("page_id", near.normalize(F.col("url")).alias("near"), own.normalize(F.col("url")).alias("own"))
+
+
+_MOVED = "CASE WHEN event_type = 'click' AND event_id % 2 = 0 THEN 'queued' WHEN event_type = 'click' AND event_id % 3 = 0 THEN 'error' WHEN event_type = 'click' THEN 'in_progress' ELSE 'fetched' END"
+
+
+@query(f"""SELECT user_id AS job_id, 'u' || event_id AS url, {_MOVED} AS status, CASE WHEN event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 < 2 THEN event_id % 5 + 1 ELSE event_id % 5 END AS retry_count FROM events WHERE event_type IN ('click', 'view') AND NOT (event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 >= 2)
+ UNION ALL SELECT user_id, 'u' || event_id, 'error', event_id % 5 FROM events WHERE event_type = 'click' AND event_id % 2 = 0 AND event_id % 5 >= 2
+ UNION ALL SELECT user_id, 'u' || event_id, 'queued', 0 FROM events WHERE event_type = 'signup'""")
+def frontier_moves(spark, sf_dir):
+    """Of leased rows some fail for now, some for good, some leases run out; new rows come in, known ones are ignored."""
+    e = t(spark, sf_dir, "events")
+    clicked, k = F.col("event_type") == "click", F.col("event_id")
+    f = e.filter("event_type IN ('click', 'view')").select(
+        F.col("user_id").alias("job_id"), F.concat(F.lit("u"), k).alias("url"), F.when(clicked, "in_progress").otherwise("fetched").alias("status"), F.lit(0).alias("priority"), F.lit(0).alias("depth"),
+        (k % 5).alias("retry_count"), F.lit(0.0).alias("next_fetch_at"), F.when(clicked & (k % 2 == 1) & (k % 3 > 0), 50.0).otherwise(99.0).alias("lease_expires_at"), F.col("ts").alias("discovered_at"), F.col("ts").alias("updated_at"),
+    )
+    failed = e.filter(clicked & ((k % 2 == 0) | (k % 3 == 0))).select(F.col("user_id").alias("job_id"), F.concat(F.lit("u"), k).alias("url"), (k % 2 == 0).alias("retryable"))
+    new = e.filter("event_type IN ('signup', 'view')").select(
+        F.col("user_id").alias("job_id"), F.concat(F.lit("u"), k).alias("url"), F.lit("queued").alias("status"), F.lit(0).alias("priority"), F.lit(1).alias("depth"), F.lit(0).cast("long").alias("retry_count"),
+        F.lit(0.0).alias("next_fetch_at"), F.lit(None).cast("double").alias("lease_expires_at"), F.col("ts").alias("discovered_at"), F.col("ts").alias("updated_at"),
+    )
+    moved = crawl.enqueue(crawl.mark_retry(crawl.release_expired(f, F.lit(40.0)), failed, F.lit(10.0)), new)
+    return moved.select("job_id", "url", "status", "retry_count")
+
+
+_SIGNS = (
+    ("<html>cf-turnstile</html>", True, None, False), ("<script>recaptcha hcaptcha</script>", True, None, False), ("recaptcha hcaptcha", False, None, False), ("<script>recaptcha</script>", False, None, False),
+    ("<div data-reactroot>Something went wrong</div>", False, "something went wrong", False), ("<div>something went wrong</div>", False, None, False), ("<p>Loading Error", False, "loading error", False),
+    ("<form>Sign in <input type=\"password\"></form>", False, None, True), ("<input type=\"password\">", False, None, False), ("", False, None, False),
+)
+
+
+@query("SELECT event_id, s.challenge, s.spa, s.login OR event_type = 'view' AS login FROM events JOIN (VALUES " + ", ".join(f"({k}, {str(c).lower()}, {'NULL' if f is None else repr(f)}, {str(g).lower()})" for k, (_, c, f, g) in enumerate(_SIGNS)) + f") AS s(k, challenge, spa, login) ON s.k = event_id % {len(_SIGNS)}")
+def page_signs(spark, sf_dir):
+    page = F.get(F.array(*(F.lit(x[0]) for x in _SIGNS)), (F.col("event_id") % len(_SIGNS)).cast("int"))
+    final = F.when(F.col("event_type") == "view", "https://a.example/Login/x").otherwise("https://a.example/logins")
+    e = t(spark, sf_dir, "events")
+    return e.select("event_id", detection.is_challenge(page).alias("challenge"), detection.spa_failure(page).alias("spa"), detection.is_login(page, final).alias("login"))
+
+
+@query("""SELECT event_id, event_type <> 'view' AND event_id % 3 > 0 AS valid, event_id % 4 = 0 OR event_id % 3 = 2 AS bad_cookie, event_id % 5 < 2 OR event_id % 5 = 4 AND event_id % 2 = 0 AS debug FROM events""")
+def session_signs(spark, sf_dir):
+    k = F.col("event_id")
+    page = F.get(F.array(F.lit("Please log in"), F.lit("all fine"), F.lit("akamaized.net")), (k % 3).cast("int"))
+    final = F.when(F.col("event_type") == "view", "https://a.example/signin/").otherwise("https://a.example/x")
+    cookie = F.when(k % 4 == 0, "a=b; _abck=1~-1~x").otherwise("_abck=ok")
+    address = F.get(F.array(*map(F.lit, ("http://localhost:9222/json", "ws://me@[::1]:9/x", "http://10.0.0.1/", "ftp://localhost/", "wss://far.example/"))), (k % 5).cast("int"))
+    debug = F.when(k % 2 == 0, results.allowed_debug_endpoint(address, True)).otherwise(results.allowed_debug_endpoint(address))
+    debug = F.when(k % 5 == 2, results.allowed_debug_endpoint(address)).otherwise(debug)
+    return t(spark, sf_dir, "events").select("event_id", results.session_valid(page, final).alias("valid"), results.sensor_cookie_invalid(page, cookie).alias("bad_cookie"), debug.alias("debug"))
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 6 = 0 THEN NULL ELSE (event_id % 6) * 86400 + CASE event_id % 6 WHEN 2 THEN 3661.5 WHEN 3 THEN -3600 ELSE 0 END END::DOUBLE AS seconds, CASE WHEN event_id % 2 = 0 THEN ['a', event_type] ELSE [] END AS flags FROM events""")
+def stored_values(spark, sf_dir):
+    k = F.col("event_id")
+    times = ("yesterday", "1970-01-02", "1970-01-03T01:01:01.5Z", "1970-01-04 00:00:00+01:00", "1970-01-05T00:00", "1970-01-06T00:00:00")
+    given = F.get(F.array(*map(F.lit, times)), (k % 6).cast("int"))
+    stored = F.when(k % 2 == 0, results.flags_json(F.array(F.lit(" a"), F.col("event_type"), F.lit(""), F.lit("a")))).otherwise("{}")
+    return t(spark, sf_dir, "events").select("event_id", results.iso_seconds(given).alias("seconds"), results.flags_of_json(stored).alias("flags"))
+
+
+@query("""SELECT user_id, n FROM (SELECT user_id, count(*) AS n, max(ts) AS newest FROM events GROUP BY 1) WHERE user_id NOT IN (SELECT user_id FROM (SELECT user_id, max(ts) AS newest FROM events WHERE event_type = 'view' GROUP BY 1) ORDER BY newest DESC, user_id LIMIT 30)""")
+def stale_profiles(spark, sf_dir):
+    e = t(spark, sf_dir, "events")
+    profiles = e.groupBy(F.col("user_id").alias("domain")).agg(F.count(F.lit(1)).alias("n"))
+    newest = e.groupBy(F.col("user_id").alias("domain")).agg(F.max(F.when(F.col("event_type") == "view", F.col("ts"))).alias("last_success_at"))
+    return access.stale_profiles(profiles, newest, 30).select(F.col("domain").alias("user_id"), "n")
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'raw' WHEN doc_id % 3 = 1 THEN 'blocked' ELSE 'blocked' END AS said FROM documents")
+def metadata_preferred(spark, sf_dir):
+    d = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("raw_id"))
+    raw, blocked = d.filter("raw_id % 3 <> 1").withColumn("metadata", F.lit("raw")), d.filter("raw_id % 3 > 0").withColumn("metadata", F.lit("blocked"))
+    return archive.prefer_blocked(raw, blocked, True).select(F.col("raw_id").alias("doc_id"), F.col("metadata").alias("said"))
+
+
+@query("SELECT doc_id, ['.main', '#a b', 'p > i', 'doc' || doc_id] AS selectors FROM documents")
+def rule_selectors(spark, sf_dir):
+    stored = F.concat(F.lit("#a b,\n , p > i\ndoc"), F.col("doc_id"))
+    return t(spark, sf_dir, "documents").select("doc_id", results.rule_selectors(F.array(F.lit(".main")), stored).alias("selectors"))
+
+
+@query("""SELECT event_id, '## Visible Content Blocks' || chr(10) || '1. first ' || event_id || ' [x=1, y=2, w=3, h=4]' || CASE WHEN event_id % 2 = 0 THEN chr(10) || '3. third' ELSE chr(10) || '[...truncated...]' END AS listed FROM events""")
+def visible_blocks(spark, sf_dir):
+    k = F.col("event_id")
+    rect = F.struct(*(F.lit(n).alias(x) for x, n in zip("xywh", (1, 2, 3, 4), strict=True)))
+    block = lambda text, at: F.struct(text.alias("text"), at.alias("rect"))
+    third = F.when(k % 2 == 0, "third").otherwise(F.repeat(F.lit("long "), 40))
+    blocks = F.array(block(F.concat(F.lit(" first\n "), k), rect), block(F.lit(" "), rect), block(third, F.when(F.lit(False), rect)))
+    return t(spark, sf_dir, "events").select("event_id", results.visible_blocks(blocks, 120).alias("listed"))
