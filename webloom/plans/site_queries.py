@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, urls
-from ..operators import access, artifacts, caches, crawl, jobs, keyword_rules, state
+from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, state
 from ..sources import archive
 from . import catalogue
 from .catalogue import _HEADED, _TALKS, ANCHORS, URLS, _headed, _talks, pages, query, t
@@ -515,3 +515,27 @@ def visible_blocks(spark, sf_dir):
     third = F.when(k % 2 == 0, "third").otherwise(F.repeat(F.lit("long "), 40))
     blocks = F.array(block(F.concat(F.lit(" first\n "), k), rect), block(F.lit(" "), rect), block(third, F.when(F.lit(False), rect)))
     return t(spark, sf_dir, "events").select("event_id", results.visible_blocks(blocks, 120).alias("listed"))
+
+
+# --- what is learned of domains --------------------------------------------------------------------------------------------
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type <> 'error' AS ok, event_type = 'error' AND value > 150 AS gone, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS good, CAST(0 AS BIGINT) AS bad, 'closed' AS state, CAST(0 AS DOUBLE) AS opened, CAST(0 AS BIGINT) AS failures, CAST(0 AS DOUBLE) AS far, false AS stale FROM o
+  UNION ALL SELECT user_id, k, CASE WHEN ok THEN good + 1 ELSE good END, CASE WHEN ok THEN bad ELSE bad + 1 END, CASE WHEN ok THEN 'closed' WHEN half OR more >= 5 THEN 'open' ELSE state END, CASE WHEN ok THEN 0 WHEN half OR more >= 5 THEN tm ELSE opened END,
+   CASE WHEN ok THEN 0 ELSE more END, CASE WHEN ok THEN 0 WHEN gone THEN tm + 86400 ELSE far END, NOT ok AND (good + 1) / (good + bad + 3) < 0.5
+  FROM (SELECT w.*EXCLUDE (k), o.k, o.ok, o.tm, o.gone, w.state = 'open' AND o.tm - w.opened > 300 AS half, CASE WHEN w.state = 'open' AND o.tm - w.opened > 300 THEN 1 ELSE w.failures + 1 END AS more FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1))
+ SELECT w.user_id, good, bad, state, round(opened, 3) AS opened, failures, round(far, 3) AS far, stale, w.user_id % 3 = 0 AS needs, (good + 1) / (good + bad + 2.0)::DOUBLE AS confidence FROM w JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) m ON m.user_id = w.user_id AND m.k = w.k""")
+def domain_rule_table(spark, sf_dir):
+    """All events in three slices, one after the other."""
+    e = t(spark, sf_dir, "events").select(
+        F.col("user_id").alias("domain"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"), F.lit("plain").alias("gear"),
+        F.col("event_type").alias("error"), (F.col("value") > 150).alias("out_of_reach"), F.lit(None).cast("boolean").alias("needs_account"),
+    )
+    table = spark.createDataFrame([], "domain long, " + ", ".join(f"{k} {kind}" for k, kind in domain_rules.STATE.items()))
+    starts = [r["at"] for r in e.agg(F.explode(F.percentile("at", F.array(F.lit(0.0), F.lit(0.3), F.lit(0.7)))).alias("at")).collect()]
+    for low, high in zip(starts, [*starts[1:], float("inf")], strict=True):
+        table = domain_rules.record(table, e.filter((F.col("at") >= low) & (F.col("at") < high)))
+    table = domain_rules.with_confidence(domain_rules.mark_needs_account(table, e.filter("domain % 3 = 0").select("domain")))
+    return table.select(
+        F.col("domain").alias("user_id"), F.col("success_count").alias("good"), F.col("fail_count").alias("bad"), F.col("circuit_state").alias("state"), F.round("circuit_opened_at", 3).alias("opened"),
+        F.col("consecutive_failures").alias("failures"), F.round("unreachable_until", 3).alias("far"), "stale", F.col("needs_account").alias("needs"), "confidence",
+    )
