@@ -12,7 +12,8 @@ Edge cases: a null text or role is empty; turns are ordered by turn, then role,
 then text (nulls first), and repeated rows all stay. Rows without a
 conversation id form one conversation of their own. An empty table gives an
 empty result; other columns do not matter. One conversation is one row, so it
-must fit a row; nothing is truncated.
+must fit a row; nothing is truncated, however long a text is. Its examples grow
+with the square of its turns, as each repeats its context: that is the method.
 """
 
 from __future__ import annotations

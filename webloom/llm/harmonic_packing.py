@@ -7,9 +7,10 @@ bins also take k pieces and waste less than 1 / (k + 1). Each worker fills its
 own bins, so there is no shuffle; at its end the pieces of its unfinished bins
 are cut on into full sequences, and only the last of these is padded.
 
-Edge cases: a null or empty text is the closing id alone. Repeated rows are
-packed each. An empty table gives an empty result. Other columns of `docs` do
-not matter. A very long text is cut like any other; a worker holds one text
+Edge cases: a null or empty text is the closing id alone. Rows with repeated or
+null ids are packed each. Pieces of the same length go into bins in the order in
+which they come. An empty table gives an empty result. Other columns of `docs`
+do not matter. A very long text is cut like any other; a worker holds one text
 and its unfinished bins at a time.
 """
 

@@ -16,9 +16,11 @@ Never secrets by this rule: UUIDs, dates with times, hex strings of the usual
 digest lengths, runs of which over a quarter are separators, and runs without
 letters (the vocabulary compresses random numbers as well as dates and counts).
 
-Edge cases: a null text is empty and gives no spans. Rows with repeated ids
-give one row each. An empty table gives an empty result; other columns do not
-matter. Offsets are code points; a text of any length is scanned whole.
+Edge cases: a null text is empty and gives no spans. Rows with repeated or null
+ids give one row each. Spans that start together come in the order of their
+kinds; a ratio equal to the threshold is no secret. An empty table gives an
+empty result; other columns do not matter. Offsets are code points; a text of
+any length is scanned whole, in time in proportion to its length.
 """
 
 from __future__ import annotations
