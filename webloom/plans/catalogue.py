@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import detection, html, markdown, network, results, safety, urls
 from ..operators import access, crawl, rules, state
 from ..sources import archive, site_index
-from ..streaming import audit
+from ..streaming import audit, frontier
 from .lineage import cut, shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -657,6 +657,24 @@ def stream_audit_state(spark, sf_dir):
     return audit.latest_batches(spark, _streamed(spark, sf_dir, audit.aimd, "update"), ["user_id"]).select("user_id", "factor")
 
 
+@query("""WITH RECURSIVE o AS (SELECT user_id, event_type AS kind, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'none' AS status, CAST(0 AS BIGINT) AS n, CAST(0 AS DOUBLE) AS lease, CAST(0 AS DOUBLE) AS due FROM o
+  UNION ALL SELECT user_id, k, CASE WHEN kind = 'signup' AND s = 'none' THEN 'queued' WHEN kind = 'click' AND s = 'queued' AND due <= tm THEN 'in_progress' WHEN s <> 'in_progress' THEN s
+    WHEN kind = 'view' THEN 'fetched' WHEN kind = 'purchase' THEN 'error' WHEN kind = 'error' AND n < 2 THEN 'queued' WHEN kind = 'error' THEN 'error' ELSE s END,
+   CASE WHEN kind = 'error' AND s = 'in_progress' AND n < 2 THEN n + 1 ELSE n END, CASE WHEN kind = 'click' AND s = 'queued' AND due <= tm THEN tm + 40000.0 ELSE lease END,
+   CASE WHEN kind = 'error' AND s = 'in_progress' AND n < 2 THEN tm + least(2.0 * pow(2.0, n), 300.0) ELSE due END
+  FROM (SELECT w.user_id, o.k, o.kind, o.tm, CASE WHEN w.status = 'in_progress' AND w.lease < o.tm THEN 'queued' ELSE w.status END AS s, n, lease, due FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1))
+ SELECT 'u' || w.user_id AS url, status, n AS retry_count FROM w JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) m ON m.user_id = w.user_id AND m.k = w.k""")
+def stream_frontier(spark, sf_dir):
+    kinds = F.create_map(*(F.lit(x) for pair in (("signup", "enqueue"), ("click", "lease"), ("view", "fetched"), ("error", "failed"), ("purchase", "gone")) for x in pair))
+
+    def build(s: DataFrame) -> DataFrame:
+        events = s.select(F.lit(1).cast("long").alias("job_id"), F.concat(F.lit("u"), "user_id").alias("url"), F.col("ts").cast("double").alias("at"), F.col("event_id").alias("id"), kinds[F.col("event_type")].alias("kind"))
+        return frontier.leases(events, 40_000.0)
+
+    return audit.latest_batches(spark, _streamed(spark, sf_dir, build, "update"), ["job_id", "url"]).select("url", "status", "retry_count")
+
+
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> str:
     """The folder with the batches of a stream over the stored events, after one run through them."""
     schema = t(spark, sf_dir, "events").schema
