@@ -3,8 +3,9 @@ vectorised word hashing over Arrow's own UTF-8 buffers."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -81,6 +82,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _trim() -> Callable[[int], int] | None:
+    try:
+        return ctypes.CDLL(None).malloc_trim
+    except (OSError, AttributeError):
+        return None
+
+
+_TRIM = _trim()
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; idle workers stay alive and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Consecutive slices whose `column` holds at most `limit` bytes, or a single row."""
     n = batch.num_rows
@@ -93,8 +111,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
         end = min(n, max(at + 1, end))
         yield batch.slice(at, end - at)
         at = end
-    # idle workers stay alive and would keep what Arrow has freed
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def _offsets(array: pa.Array) -> np.ndarray:
