@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U, WORD_BYTES, ByteHash, K2, grams, members, mix, owner, per_document, slices, utf8
+from .common import K2, WORD_BYTES, ByteHash, cut, grams, members, mix, owner, per_document, slices, utf8
 
 #: Fixed values of the base test.
 SYMBOLS = b"#*$%&|<>"
@@ -190,7 +190,9 @@ def with_quality(featured: DataFrame, name: str = "features", quality: str = "qu
 
 def judge(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, quality)."""
-    scored = with_quality(text_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")))
+    # the counts are small beside the texts: written once, for the fit and for the verdicts
+    featured = cut(text_features(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).select("doc_id", "features"))
+    scored = with_quality(featured)
     counts = [F.col("features")[x].alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
     return scored.select("doc_id", *counts, base_failed().alias("base_failed"), (~base_failed() & (F.col("quality") >= threshold)).alias("kept"), "quality")
 
