@@ -441,9 +441,9 @@ def robots_allowed(spark, sf_dir):
     docs = p.select(F.lower(urls.origin_of(F.col("url"))).alias("origin")).distinct().withColumn("body", F.lit(body))
     rules_ = site_index.robots_rules(docs)
     captured = docs.withColumn("status", F.when(F.col("origin").startswith("https"), 503).otherwise(200))
-    out = site_index.robots_allowed(p, rules_)
-    for name, agent in (("named", "OneBot/2.1"), ("other", "Other/1.0")):
-        out = site_index.robots_allowed(out.withColumnRenamed("allowed", "_before"), rules_, agent).withColumnRenamed("allowed", name).withColumnRenamed("_before", "allowed")
+    named = {"*": "allowed", "OneBot/2.1": "named", "Other/1.0": "other"}
+    said = site_index.robots_said(p, rules_, list(named))
+    out = said.groupBy("page_id", "url").agg(*(F.bool_or(F.when(F.col("agent") == agent, F.col("allowed"))).alias(name) for agent, name in named.items()))
     closed = site_index.robots_status_allowed(p, captured).select("page_id", F.col("allowed").alias("closed"))
     ai = site_index.ai_agents_disallowed(rules_).select("origin", F.col("disallowed").alias("ai"))
     return out.join(closed, "page_id").withColumn("origin", F.lower(urls.origin_of(F.col("url")))).join(ai, "origin").select("page_id", "allowed", "named", "other", "closed", "ai")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,21 +99,28 @@ def robots_rules(documents: DataFrame) -> DataFrame:
     return both.select("origin", "section", "agents", "n", (F.col("said") | (F.col("value") == "")).alias("allow"), F.col("value").alias("path"))
 
 
-def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
-    """requests (url) with `allowed`: the first rule whose path begins the URL's, of the first section that names the agent, else of the first for `*`.
+def robots_said(requests: DataFrame, rules: DataFrame, agents: Sequence[str]) -> DataFrame:
+    """requests (url) for each agent, with `agent` and `allowed`: the first rule whose path begins the URL's, of the first section that names the agent, else of the first for `*`.
 
     An agent is named by any part of its product name; without a section or a rule all is allowed.
     """
-    product = F.lit(agent.split("/")[0].lower())
+    every = F.explode(F.array(*map(F.lit, agents))).alias("agent")
+    product = F.lower(F.substring_index("agent", "/", 1))
     own = F.exists("agents", lambda a: (a != "*") & (a != "") & product.contains(a))
-    kinds = rules.select("origin", "section", F.when(own & ~F.array_contains("agents", "*"), 0).when(F.array_contains("agents", "*"), 1).alias("kind")).filter("kind IS NOT NULL")
-    chosen = kinds.groupBy("origin").agg(F.min(F.struct("kind", "section")).alias("k")).select("origin", F.col("k.section").alias("section"))
-    usable = rules.join(chosen, ["origin", "section"]).select("origin", "n", "allow", F.col("path").alias("rule"))
+    kind = F.when(F.array_contains("agents", "*"), 1).when(own, 0)
+    kinds = rules.select("origin", "section", "agents", every).select("origin", "agent", "section", kind.alias("kind")).filter("kind IS NOT NULL")
+    chosen = kinds.groupBy("origin", "agent").agg(F.min(F.struct("kind", "section")).alias("k")).select("origin", "agent", F.col("k.section").alias("section"))
+    usable = rules.join(chosen, ["origin", "section"]).select("origin", "agent", "n", "allow", F.col("path").alias("rule"))
     r = requests.select("url").distinct().withColumn("origin", F.lower(urls.origin_of(F.col("url"))))
     path = F.regexp_replace(F.col("url"), "^[^:/?#]+://[^/?#]*|#.*$", "")
     hits = r.join(usable, "origin").filter((F.col("rule") == "*") | F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).startswith(F.col("rule")))
-    first = hits.groupBy("url").agg(F.min_by("allow", "n").alias("_allow"))
-    return requests.join(first, "url", "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+    first = hits.groupBy("url", "agent").agg(F.min_by("allow", "n").alias("_allow"))
+    return requests.select("*", every).join(first, ["url", "agent"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+
+
+def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
+    """requests (url) with `allowed` for one agent; see robots_said."""
+    return robots_said(requests, rules, [agent]).drop("agent")
 
 
 def robots_status_allowed(requests: DataFrame, captured: DataFrame, agent: str = "*", fail_closed: bool = True) -> DataFrame:
@@ -125,11 +134,7 @@ def robots_status_allowed(requests: DataFrame, captured: DataFrame, agent: str =
 def ai_agents_disallowed(rules: DataFrame) -> DataFrame:
     """(origin, disallowed): the root is closed to one of AI_AGENTS."""
     roots = rules.select(F.concat("origin", F.lit("/")).alias("url")).distinct()
-    said = None
-    for agent in AI_AGENTS:
-        one = robots_allowed(roots, rules, agent)
-        said = one if said is None else said.unionByName(one)
-    closed = said.groupBy("url").agg(F.bool_or(~F.col("allowed")).alias("disallowed"))
+    closed = robots_said(roots, rules, AI_AGENTS).groupBy("url").agg(F.bool_or(~F.col("allowed")).alias("disallowed"))
     return closed.select(urls.origin_of(F.col("url")).alias("origin"), "disallowed")
 
 
