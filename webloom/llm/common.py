@@ -174,6 +174,10 @@ class ByteHash:
         after[-1] = False
         after[:-1] = inside[1:]
         end = np.flatnonzero(inside & (~after | edge[1:])) + 1
+        return start, end, self.spans(data, start, end), np.searchsorted(start, offsets)
+
+    def spans(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Hashes of ascending spans that do not overlap."""
         hashes = np.empty(len(start), np.uint64)
         at = 0
         while at < len(start):  # one round unless a text is longer than a slice
@@ -187,8 +191,7 @@ class ByteHash:
             s, e = start[at:to] - origin, end[at:to] - origin
             hashes[at:to] = (sums[e] - sums[s]) * self.inverses[s]
             at = to
-        hashes = mix(hashes + (end - start).astype(np.uint64) * K3)
-        return start, end, hashes, np.searchsorted(start, offsets)
+        return mix(hashes + (end - start).astype(np.uint64) * K3)
 
 
 def members(test) -> np.ndarray:
