@@ -51,7 +51,9 @@ from pyspark.sql import functions as F
 
 from .common import K0, SLICE_BYTES, ByteHash, cut, give_back, members, mix, slices, utf8
 
-BLOCK_BYTES, BUCKET_BYTES = 16 << 20, 32 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
+#: (Document, link) entries that a block sorts at a time.
+ENTRIES = 1 << 20
 #: B's stand-in for a space.
 SPACE_MARK = "▁"
 #: ASCII that some library takes for white space.
@@ -59,7 +61,8 @@ BLANK = members(lambda b: 9 <= b <= 13 or 28 <= b <= 32)
 #: UTF-8 of other white space, of what was or may count as such, and of B's mark: fixed values.
 WIDE_BLANKS = [chr(c).encode() for c in (0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x2010), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x2581, 0x3000, 0xFEFF)]
 SENT = "block long, bucket int, sign long, payload binary"
-ANSWER = pa.schema([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("spelled", pa.bool_()), ("n_groups", pa.int32()), ("groups", pa.string()), ("pairs", pa.list_(pa.int64()))])
+#: Ids of a segment, and its links in order: 1 where a token of A ends behind one, 2 for B, 3 for both. Without links, its tokens do not spell it.
+ANSWER = pa.schema([("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32())), ("links", pa.list_(pa.int8()))])
 DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("text", pa.string())])
 COMPOSED = pa.schema([("doc_id", pa.int64()), *((c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.string()), ("pairs", pa.list_(pa.int32())), ("times", pa.list_(pa.int32()))])
 OUT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -110,27 +113,34 @@ class Tokenizers:
         spelled = [b"".join([self.a_bytes[i] for i in x]) == s == b"".join([self.b_bytes[i] for i in y]) for x, y, s in zip(a, b, segments, strict=True)]
         n_a, n_b = (np.array([len(x) if ok else 0 for x, ok in zip(t, spelled, strict=True)], np.int64) for t in (a, b))
         flat_a, flat_b = (np.array([i for x, ok in zip(t, spelled, strict=True) if ok for i in x], np.int64) for t in (a, b))
-        # all segments end to end: where tokens end, and where tokens of both do
+        # all segments end to end: each stretch between neighbouring ends lies in one token of each, and each overlap is one stretch
         end_a, end_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
-        both = np.intersect1d(end_a, end_b, assume_unique=True)
-        # each stretch between neighbouring ends lies in one token of each, and each overlap is one stretch
         ends = np.union1d(end_a, end_b)
-        pairs = flat_a[np.searchsorted(end_a, ends)] << 32 | flat_b[np.searchsorted(end_b, ends)]
+        links = np.isin(ends, end_a).astype(np.int8) + 2 * np.isin(ends, end_b).astype(np.int8)
         last = np.cumsum([len(s) if ok else 0 for s, ok in zip(segments, spelled, strict=True)])
-        count = lambda at: np.diff(np.searchsorted(at, last, "right"), prepend=0)
-        n_groups, n_pairs = count(both), count(ends)
-        # a group as text: its A ids, a bar, its B ids
-        to_a, to_b = np.searchsorted(end_a, both, "right").tolist(), np.searchsorted(end_b, both, "right").tolist()
-        name_a, name_b = list(map(str, flat_a.tolist())), list(map(str, flat_b.tolist()))
+        lists = lambda offsets, values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], offsets]), pa.int32()), pa.array(values, kind))
+        columns = [lists(np.cumsum(n_a), flat_a, pa.int32()), lists(np.cumsum(n_b), flat_b, pa.int32()), lists(np.searchsorted(ends, last, "right"), links, pa.int8())]
+        return pa.RecordBatch.from_arrays(columns, schema=ANSWER)
+
+
+class Alignments:
+    """Counts, pairs and texts of rows of ANSWER."""
+
+    def __init__(self, answers: pa.Table) -> None:
+        (a, a_at), (b, b_at), (links, self.at) = (_flat(answers.column(c).combine_chunks() if answers.num_rows else pa.array([], ANSWER.field(c).type)) for c in ("a", "b", "links"))
+        self.n_a, self.n_b, self.n_links = np.diff(a_at), np.diff(b_at), np.diff(self.at)
+        ends_a, ends_b = np.cumsum(links & 1, dtype=np.int64), np.cumsum(links >> 1, dtype=np.int64)
+        self.codes, self.code = np.unique(a[ends_a - (links & 1)].astype(np.int64) << 32 | b[ends_b - (links >> 1)], return_inverse=True)
+        both = np.flatnonzero(links == 3)
+        self.group_at = np.searchsorted(both, self.at)
+        self.n_groups = np.diff(self.group_at)
+        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
         groups, i, j = [], 0, 0
-        for p, q in zip(to_a, to_b, strict=True):
-            groups.append(",".join(name_a[i:p]) + "|" + ",".join(name_b[j:q]))
+        for p, q in zip(ends_a[both].tolist(), ends_b[both].tolist(), strict=True):
+            groups.append(name_a[i] + "|" + name_b[j] if p - i == q - j == 1 else ",".join(name_a[i:p]) + "|" + ",".join(name_b[j:q]))
             i, j = p, q
-        g = np.concatenate([[0], np.cumsum(n_groups)]).tolist()
-        whole = [";".join(groups[x:y]) for x, y in zip(g, g[1:], strict=False)]
-        lists = lambda sizes, values, kind: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(values, kind))
-        columns = [lists(n_a, flat_a, pa.int32()), lists(n_b, flat_b, pa.int32()), pa.array(spelled, pa.bool_()), pa.array(n_groups, pa.int32()), pa.array(whole, pa.string()), lists(n_pairs, pairs, pa.int64())]
-        return pa.RecordBatch.from_arrays(columns, schema=ANSWER)
+        at = self.group_at.tolist()
+        self.texts = [";".join(groups[x:y]) for x, y in zip(at, at[1:], strict=False)]
 
 
 @lru_cache(1)
@@ -279,6 +289,7 @@ def _compose(a_path: str, b_path: str, split: bool, buckets: int):
     """A block's texts and answers to one row: its documents and, for each linked pair of ids, how many of them hold it."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        give_back()
         rows = unpacked(left.column("texts")[0].as_py(), DOCUMENTS)
         data, starts, ends, hashes, first = Segments(split).find(rows.column("text"))
         unique, kind = np.unique(hashes, return_inverse=True)
@@ -291,50 +302,56 @@ def _compose(a_path: str, b_path: str, split: bool, buckets: int):
         seat = np.empty(len(unique), np.int64)
         seat[order] = np.arange(len(unique))
         kind = seat[kind]
+        del seat, unique, order
         n_docs, docs = rows.num_rows, np.repeat(np.arange(rows.num_rows), np.diff(first))
-        batch = answers.to_batches()[0] if answers.num_rows else pa.RecordBatch.from_pylist([], schema=ANSWER)
-        spelled = np.asarray(batch.column("spelled").cast(pa.int8()), np.int8).astype(bool)
-        n_a, n_b = (np.asarray(batch.column(c).value_lengths(), np.int64) for c in ("a", "b"))
-        n_groups = np.asarray(batch.column("n_groups"), np.int64)
-        pair, pair_at = _flat(batch.column("pairs"))
-        groups = batch.column("groups").to_pylist()
-        # a text with a segment that is not spelled is read whole: its segments are put aside for the one of the whole text
-        whole = np.unique(docs[~spelled[kind]])
+        # a text with a segment that is not spelled is read whole, and its segments are put aside for that one
+        whole = np.unique(docs[(np.asarray(pc.list_value_length(answers.column("links"))) == 0)[kind]]) if len(kind) else docs
         if len(whole):
             extra = loaded(a_path, b_path).aligned([b" " + rows.column("text")[int(d)].as_py().encode() for d in whole])
             stays = ~np.isin(docs, whole)
-            kind = np.concatenate([kind[stays], len(groups) + np.arange(len(whole))])
-            docs = np.concatenate([docs[stays], whole])
+            kind, docs = np.concatenate([kind[stays], answers.num_rows + np.arange(len(whole))]), np.concatenate([docs[stays], whole])
             back = np.argsort(docs, kind="stable")
             kind, docs = kind[back], docs[back]
             first = np.searchsorted(docs, np.arange(n_docs + 1))
-            more, more_at = _flat(extra.column("pairs"))
-            pair, pair_at = np.concatenate([pair, more]), np.concatenate([pair_at, pair_at[-1] + more_at[1:]])
-            n_a, n_b = (np.concatenate([x, np.asarray(extra.column(c).value_lengths(), np.int64)]) for x, c in ((n_a, "a"), (n_b, "b")))
-            n_groups = np.concatenate([n_groups, np.asarray(extra.column("n_groups"), np.int64)])
-            groups += extra.column("groups").to_pylist()
+            answers = pa.Table.from_batches([*answers.to_batches(), extra], ANSWER)
+        known = Alignments(answers)
+        del answers, got, data, starts, ends, hashes
         total = lambda per: np.bincount(docs, per[kind], n_docs).astype(np.int64)
-        sizes = np.diff(pair_at)
-        named, names = kind.tolist(), first.tolist()
-        digests = ["" if a == b else _digest([groups[i] for i in named[a:b]]) for a, b in zip(names, names[1:], strict=False)]
-        # times of each (document, segment), then of each (document, pair)
-        seen, times = np.unique(docs * max(1, len(sizes)) + kind, return_counts=True)
-        doc, segment = np.divmod(seen, max(1, len(sizes)))
-        codes, code = np.unique(pair, return_inverse=True)
-        which = code[_ranges(pair_at[segment], sizes[segment])] if len(segment) else np.zeros(0, np.int64)
-        held, place = np.unique(np.repeat(doc, sizes[segment]) * max(1, len(codes)) + which, return_inverse=True)
-        often = np.bincount(place, np.repeat(times, sizes[segment]), len(held)).astype(np.int32)
-        owner, which = np.divmod(held, max(1, len(codes)))
-        offsets = pa.array(np.searchsorted(owner, np.arange(n_docs + 1)), pa.int32())
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x, pa.int32())) for x in (which, often)]
-        made = [rows.column("doc_id"), *(pa.array(total(x)) for x in (n_a, n_b, n_groups, sizes)), pa.array(digests, pa.string()), *lists]
-        pairs = pa.RecordBatch.from_arrays([pa.array(codes, pa.int64()), pa.array(np.bincount(which, minlength=len(codes)), pa.int64())], names=["pair", "n"])
+        totals = [total(x) for x in (known.n_a, known.n_b, known.n_groups, known.n_links)]
+        digests = [_digest([known.texts[i] for i in kind[a:b].tolist()]) for a, b in zip(first.tolist(), first[1:].tolist(), strict=False)]
+        held = np.zeros(len(known.codes), np.int64)
+        lists, sizes = [], []
+        so_far = np.concatenate([[0], np.cumsum(totals[3])])
+        d = 0
+        while d < n_docs:
+            to = max(d + 1, int(np.searchsorted(so_far, so_far[d] + ENTRIES, "right")) - 1)
+            which, times, n = _document_pairs(known, docs[first[d] : first[to]] - d, kind[first[d] : first[to]], to - d)
+            held += np.bincount(which, minlength=len(held))
+            lists.append((which.astype(np.int32), times.astype(np.int32)))
+            sizes.append(n)
+            d = to
+        offsets = pa.array(np.concatenate([[0], *sizes]).cumsum(), pa.int32())
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *(x[k] for x in lists)]))) for k in (0, 1)]
+        made = [rows.column("doc_id"), *map(pa.array, totals), pa.array(digests, pa.string()), *lists]
+        pairs = pa.RecordBatch.from_arrays([pa.array(known.codes, pa.int64()), pa.array(held)], names=["pair", "n"])
         give_back()
         return pa.table({"block": [key[0].as_py()], "documents": pa.array([packed(pa.RecordBatch.from_arrays(made, schema=COMPOSED))], pa.binary()), "pairs": pa.array([packed(pairs)], pa.binary())})
 
     return run
 
 
+def _document_pairs(known: Alignments, docs: np.ndarray, kind: np.ndarray, n_docs: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in `codes`, how often) of the linked pairs of each document, one document after another, and how many each has."""
+    n_kinds, n_codes = max(1, len(known.n_links)), max(1, len(known.codes))
+    seen, times = np.unique(docs * n_kinds + kind, return_counts=True)
+    doc, segment = np.divmod(seen, n_kinds)
+    sizes = known.n_links[segment]
+    code = known.code[_ranges(known.at[segment], sizes)] if len(segment) else segment
+    entries, place = np.unique(np.repeat(doc, sizes) * n_codes + code, return_inverse=True)
+    owner, which = np.divmod(entries, n_codes)
+    return which, np.bincount(place, np.repeat(times, sizes), len(entries)), np.bincount(owner, minlength=n_docs)
+
+
 def _digest(groups: list[str]) -> str:
     said = ";".join(x for x in groups if x)
     return hashlib.sha256(said.encode()).hexdigest() if said else ""
