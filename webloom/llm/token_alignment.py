@@ -134,7 +134,8 @@ class Alignments:
         both = np.flatnonzero(links == 3)
         self.group_at = np.searchsorted(both, self.at)
         self.n_groups = np.diff(self.group_at)
-        name_a, name_b = list(map(str, a.tolist())), list(map(str, b.tolist()))
+        name = list(map(str, range(1 + max(int(a.max(initial=0)), int(b.max(initial=0))))))
+        name_a, name_b = ([name[k] for k in x.tolist()] for x in (a, b))
         groups, i, j = [], 0, 0
         for p, q in zip(ends_a[both].tolist(), ends_b[both].tolist(), strict=True):
             groups.append(name_a[i] + "|" + name_b[j] if p - i == q - j == 1 else ",".join(name_a[i:p]) + "|" + ",".join(name_b[j:q]))

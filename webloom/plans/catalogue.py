@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import detection, html, markdown, network, results, safety, urls
 from ..operators import access, crawl, rules, state
 from ..sources import archive, site_index
-from ..streaming import audit, frontier
-from .lineage import cut, shared_folder
+from ..streaming import audit, frontier, lifetime, replay
+from .lineage import cut, remove_folder, shared_folder
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
@@ -675,12 +675,82 @@ def stream_frontier(spark, sf_dir):
     return audit.latest_batches(spark, _streamed(spark, sf_dir, build, "update"), ["job_id", "url"]).select("url", "status", "retry_count")
 
 
+_LEASES = """WITH RECURSIVE o AS (SELECT user_id, event_type AS kind, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT DISTINCT user_id, CAST(0 AS BIGINT) AS k, 'none' AS status, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS gone, CAST(0 AS DOUBLE) AS lease, CAST(0 AS DOUBLE) AS due FROM o
+  UNION ALL SELECT user_id, k, CASE WHEN kind = 'signup' AND s = 'none' THEN 'queued' WHEN kind = 'click' AND s = 'queued' AND due <= tm THEN 'in_progress' WHEN s <> 'in_progress' THEN s
+    WHEN kind = 'view' THEN 'fetched' WHEN kind = 'purchase' THEN 'error' WHEN kind = 'error' AND n < 2 THEN 'queued' WHEN kind = 'error' THEN 'error' ELSE s END,
+   CASE WHEN kind = 'error' AND s = 'in_progress' AND n < 2 THEN n + 1 ELSE n END, g, CASE WHEN kind = 'click' AND s = 'queued' AND due <= tm THEN tm + 9000.0 ELSE lease END,
+   CASE WHEN kind = 'error' AND s = 'in_progress' AND n < 2 THEN tm + least(2.0 * pow(2.0, n), 300.0) ELSE due END
+  FROM (SELECT w.user_id, o.k, o.kind, o.tm, CASE WHEN w.status = 'in_progress' AND w.lease < o.tm THEN 'queued' ELSE w.status END AS s, n, gone + CASE WHEN w.status = 'in_progress' AND w.lease < o.tm THEN 1 ELSE 0 END AS g, lease, due
+        FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)),
+ l AS (SELECT w.*, status = 'in_progress' AND lease < (SELECT max(tm) FROM o) - 1 AS over FROM w JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) m ON m.user_id = w.user_id AND m.k = w.k)
+"""
+
+
+@query(f"{_LEASES} SELECT 'u' || user_id AS url, CASE WHEN over THEN 'queued' ELSE status END AS status, n AS retry_count, gone + CASE WHEN over THEN 1 ELSE 0 END AS n_expired FROM l")
+def stream_leases(spark, sf_dir):
+    """Leases that nobody ends go back to the queue by a timer."""
+    kinds = F.create_map(*(F.lit(x) for pair in (("signup", "enqueue"), ("click", "lease"), ("view", "fetched"), ("error", "failed"), ("purchase", "gone")) for x in pair))
+
+    def build(s: DataFrame) -> DataFrame:
+        return lifetime.leases(s.select(F.lit(1).cast("long").alias("job_id"), F.concat(F.lit("u"), "user_id").alias("url"), "ts", F.col("event_id").alias("id"), kinds[F.col("event_type")].alias("kind")), 9000.0)
+
+    rows = spark.read.parquet(_replayed(spark, sf_dir, build, "update"))
+    last = rows.groupBy("url").agg(F.max_by(F.struct("status", "retry_count", "n_expired"), "version").alias("last"))
+    return last.select("url", "last.*")
+
+
+@query("""WITH RECURSIVE o AS (SELECT event_id, user_id, epoch(ts) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ w AS (SELECT user_id, k, event_id, tm AS passed, true AS first_one FROM o WHERE k = 1
+  UNION ALL SELECT o.user_id, o.k, o.event_id, CASE WHEN o.tm - w.passed > 86400 THEN o.tm ELSE w.passed END, o.tm - w.passed > 86400 FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1)
+ SELECT event_id, user_id FROM w WHERE first_one""")
+def stream_seen_again(spark, sf_dir):
+    """A user's events pass once a day, counted from the last passage."""
+    got = _replayed(spark, sf_dir, lambda s: lifetime.first_within(s.select("event_id", "user_id", "ts"), ["user_id"], 86400.0, "event_id"), "append")
+    return spark.read.parquet(got).select("event_id", "user_id")
+
+
+@query("""WITH p AS (SELECT user_id, event_id, ts, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_type = 'click'),
+ a AS (SELECT user_id, event_id, ts FROM events WHERE event_type = 'view'),
+ j AS (SELECT a.event_id, max_by(p.value, (p.ts, p.event_id)) AS value, max((p.ts, p.event_id)) AS stored, any_value(a.ts) AS ts FROM a LEFT JOIN p ON p.user_id = a.user_id AND (p.ts, p.event_id) < (a.ts, a.event_id) GROUP BY 1)
+ SELECT event_id AS id, CASE WHEN epoch(ts) - epoch(stored[1]) <= 43200 THEN value END AS value FROM j""")
+def stream_cache(spark, sf_dir):
+    """Clicks store, views ask for what their user stored within half a day; seven hosts hold the users' entries."""
+
+    def build(s: DataFrame) -> DataFrame:
+        used = s.filter("event_type IN ('click', 'view')")
+        return lifetime.cached(used.select((F.col("user_id") % 7).alias("key"), F.col("user_id").cast("string").alias("name"), "ts", F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", F.col("event_id").cast("string")).alias("value")), 43200.0)
+
+    return spark.read.parquet(_replayed(spark, sf_dir, build, "append")).select("id", "value")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+ s AS (SELECT user_id, ts, sum(starts) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+ SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL 30 MINUTE AS session_end, count(*) AS n FROM s GROUP BY user_id, k""")
+def stream_sessions(spark, sf_dir):
+    got = _streamed(spark, sf_dir, lambda s: audit.sessions(s), "complete")
+    return audit.latest_batches(spark, got).select("user_id", *(F.col(c).cast("timestamp_ntz").alias(c) for c in ("session_start", "session_end")), "n")
+
+
+def _replayed(spark: SparkSession, sf_dir: str, build, mode: str, slices: int = 4) -> str:
+    """The folder with the rows of a stream with timers over the stored events, taken in so many slices of time."""
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    replay.time_slices(events, f"{base}/events", slices)
+    with lifetime.rocksdb(spark):
+        audit.append_sink(build(replay.replayed(spark, f"{base}/events", events.schema)), f"{base}/rows", f"{base}/checkpoint", mode).awaitTermination()
+    for done in ("events", "checkpoint"):
+        remove_folder(spark, f"{base}/{done}")
+    return f"{base}/rows"
+
+
 def _streamed(spark: SparkSession, sf_dir: str, build, mode: str) -> str:
     """The folder with the batches of a stream over the stored events, after one run through them."""
     schema = t(spark, sf_dir, "events").schema
     source = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     audit.append_sink(build(source), f"{base}/rows", f"{base}/checkpoint", mode).awaitTermination()
+    remove_folder(spark, f"{base}/checkpoint")
     return f"{base}/rows"
 
 
