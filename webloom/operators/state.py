@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,24 +16,6 @@ def ordered(outcomes: DataFrame, key: str) -> DataFrame:
     return outcomes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ts", "id", "ok", retire.alias("retire")))).alias("events"))
 
 
-def in_slices(outcomes: DataFrame, key: str, fold: Callable[[Column, Column | None], Column], edges: Sequence) -> DataFrame:
-    """(key, value) of a fold over all outcomes, slice by slice of time: the value so far is all that goes from one to the next.
-
-    An array holds one slice of a key's outcomes, so more edges (first times of slices, ascending) bound it for any key.
-    """
-    table = None
-    for low, high in zip(edges, [*edges[1:], None], strict=True):
-        part = outcomes.filter((F.col("ts") >= F.lit(low)) & (F.lit(True) if high is None else F.col("ts") < F.lit(high)))
-        events = ordered(part, key)
-        if table is None:
-            table = events.select(key, fold(F.col("events"), None).alias("value"))
-            continue
-        j = events.join(table, key, "full")
-        fresh, more = fold(F.col("events"), None), fold(F.col("events"), F.col("value"))
-        table = j.select(key, F.when(F.col("events").isNull(), F.col("value")).when(F.col("value").isNull(), fresh).otherwise(more).alias("value"))
-    return table
-
-
 def aimd(events: Column, start: Column | None = None) -> Column:
     """Rate factor: doubled by a failure up to 32, times 0.9 by a success down to 1."""
     return F.aggregate(events, F.lit(1.0) if start is None else start, lambda f, e: F.when(e["ok"], F.greatest(F.lit(1.0), f * AIMD_DOWN)).otherwise(F.least(F.lit(AIMD_MOST), f * AIMD_UP)))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, network, results, safety, urls
-from ..operators import access, crawl, rules, state
+from ..operators import access, crawl, folds, rules, state
 from ..sources import archive, site_index
 from ..streaming import audit, frontier, lifetime, replay
 from .lineage import cut, remove_folder, shared_folder
@@ -350,13 +350,11 @@ def job_report(spark, sf_dir):
     return crawl.job_report(t(spark, sf_dir, "conversations"), "conv_id", ["turn"], "role", "text")
 
 
-def _folded(spark: SparkSession, sf_dir: str, fold) -> DataFrame:
-    """(user_id, value) of a fold over each user's events, in four slices of time."""
+def _folded(spark: SparkSession, sf_dir: str, machine: type) -> DataFrame:
+    """Each user's state after all events, from summaries of days."""
     retire = (F.col("value") > 150).alias("retire")
     e = t(spark, sf_dir, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("id"), (F.col("event_type") != "error").alias("ok"), retire)
-    seconds = F.col("ts").cast("double")
-    edges = e.agg(F.min("ts").alias("first"), *(F.percentile_approx(seconds, x).cast("timestamp").alias(f"p{x}") for x in (0.25, 0.5, 0.75))).first()
-    return state.in_slices(e, "user_id", fold, sorted(set(x for x in edges if x is not None))) if edges[0] is not None else state.ordered(e, "user_id").select("user_id", fold(F.col("events"), None).alias("value"))
+    return folds.fold(e, "user_id", machine)
 
 
 @query("SELECT user_id, (count(*) FILTER (WHERE event_type <> 'error') + 1) / (count(*) + 2.0) AS confidence FROM events GROUP BY 1")
@@ -367,13 +365,13 @@ def domain_confidence(spark, sf_dir):
 
 @query("SELECT user_id, list_reduce(list(CASE WHEN event_type <> 'error' THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END ORDER BY ts, event_id), lambda f, e: CASE WHEN e > 0.5 THEN greatest(1.0::DOUBLE, f * 0.9::DOUBLE) ELSE least(32.0::DOUBLE, f * 2.0::DOUBLE) END, 1.0::DOUBLE) AS factor FROM events GROUP BY 1")
 def domain_aimd(spark, sf_dir):
-    return _folded(spark, sf_dir, state.aimd).select("user_id", F.col("value").alias("factor"))
+    return _folded(spark, sf_dir, folds.Rate)
 
 
 @query("""SELECT user_id, list_reduce(list(CASE WHEN event_type <> 'error' THEN 1 WHEN value > 150 THEN -1 ELSE 0 END ORDER BY ts, event_id), lambda s, e: CASE e WHEN 1 THEN greatest(0, s - 1) WHEN 0 THEN s + 1 ELSE s + 3 END, 0) AS error_score,
  bool_or(event_type = 'error' AND value > 150) AS retired FROM events GROUP BY 1""")
 def session_health(spark, sf_dir):
-    return _folded(spark, sf_dir, state.session_health).select("user_id", "value.error_score", "value.retired")
+    return _folded(spark, sf_dir, folds.Score)
 
 
 @query("""WITH RECURSIVE o AS (SELECT user_id, event_type <> 'error' AS ok, CAST(floor(epoch(ts)) AS BIGINT) AS tm, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
@@ -383,7 +381,7 @@ def session_health(spark, sf_dir):
         FROM w JOIN o ON o.user_id = w.user_id AND o.k = w.k + 1))
  SELECT w.user_id, state, failures, opened_at FROM w JOIN (SELECT user_id, max(k) AS k FROM o GROUP BY 1) m ON m.user_id = w.user_id AND m.k = w.k""")
 def domain_circuit(spark, sf_dir):
-    return _folded(spark, sf_dir, state.circuit).select("user_id", "value.state", "value.failures", "value.opened_at")
+    return _folded(spark, sf_dir, folds.Circuit)
 
 
 @query("SELECT event_type, count(*) AS n FROM events WHERE event_type <> 'view' GROUP BY 1")
