@@ -65,7 +65,7 @@ def test_tiling(spark, odd):
         kept = string_tiling.keep_clean(odd, items, broadcast_seeds=limit)
         assert kept.columns == odd.columns
         ids = [r.doc_id for r in kept.collect()]
-        same(ids, [2, 2, 3, None, None] if limit else [2, 2, 3])
+        same(ids, [2, 2, 3, None, None])
 
 
 def test_personal_data(odd):
@@ -326,3 +326,13 @@ def test_cache_encodes_nothing_twice(spark, tmp_path, monkeypatch):
     assert rows == 5 and spark.read.parquet(path).count() == 5 and files
     assert [x.name for x in (tmp_path / "cache").iterdir() if x.is_dir()] == [f"tokenizer={token_counts.tokenizer_digest(COUNT)}"]
     assert token_counts.count_tokens(table, PACK, path).count() == 20 and spark.read.parquet(path).select(F.count_distinct("tokenizer").alias("n")).first().n == 2
+
+
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_tiling_judges_rows_by_their_texts(spark, limit):
+    said = "one two three four five six seven eight nine ten"
+    given = [(None, said), (None, "clean"), (1, f"so {said}"), (1, "clean too"), (2, None), (2, said), (2, said), (3, "")]
+    table = spark.createDataFrame([(*x, 5) for x in given], "doc_id long, text string, gone int")
+    kept = string_tiling.keep_clean(table, spark.createDataFrame([(7, said)], "item_id long, text string"), broadcast_seeds=limit)
+    assert kept.columns == table.columns
+    same([(r.doc_id, r.text) for r in kept.collect()], [(None, "clean"), (1, "clean too"), (2, None), (3, "")])

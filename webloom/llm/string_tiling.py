@@ -10,8 +10,8 @@ order they stand.
 Items with fewer tokens than `min_match` are one seed as a whole. Edge cases:
 null or empty texts and items match nothing, a text of any length is one text.
 Repeated rows give repeated rows; rows without an id give rows without one, and
-keep_clean judges each row by its own text (with items too many to go to every
-worker: by its id, so that rows which share an id or have none go together).
+keep_clean judges each row by its own text, whatever its id (with items too many
+to go to every worker: each different text once, by its digest).
 Items without an id match nothing. Of equally long matches the first in the item
 is marked first. Empty tables give an empty result; other columns do not matter.
 Words are compared by 64-bit hashes.
@@ -262,21 +262,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, cove
     """(doc_id, item_id, item_tokens, covered, coverage) of the pairs whose tiles cover enough of the item."""
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     items, few = _items(benchmark, broadcast_seeds, min_match)
-    if few is not None:
-        found = own.mapInArrow(_scan(few, min_match, coverage), PAIRS)
-    else:
-        item_seeds = items.mapInArrow(_seed_rows("item_id", min_match), "item_id long, n int, seed long").distinct()
-        doc_seeds = own.mapInArrow(_seed_rows("doc_id", min_match), "doc_id long, n int, seed long").distinct()
-        pairs = doc_seeds.join(item_seeds, ["n", "seed"]).select(F.col("doc_id").alias("own_id"), "item_id").distinct()
-        both = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(own, F.col("own_id").eqNullSafe(F.col("doc_id")))
-        found = both.select("item_id", "item", "doc_id", "text").sortWithinPartitions("item_id").mapInArrow(_scan_pairs(min_match, coverage), PAIRS)
+    found = own.mapInArrow(_scan(few, min_match, coverage), PAIRS) if few is not None else _joined(own, items, min_match, coverage)
     return found.withColumn("coverage", F.col("covered") / F.col("item_tokens"))
 
 
+def _joined(own: DataFrame, items: DataFrame, min_match: int, coverage: float) -> DataFrame:
+    """The pairs of own (doc_id, text) and items, by a join on seeds; a doc_id of any type."""
+    kind = own.schema["doc_id"].dataType.simpleString()
+    item_seeds = items.mapInArrow(_seed_rows("item_id", min_match), "item_id long, n int, seed long").distinct()
+    doc_seeds = own.mapInArrow(_seed_rows("doc_id", min_match), f"doc_id {kind}, n int, seed long").distinct()
+    pairs = doc_seeds.join(item_seeds, ["n", "seed"]).select(F.col("doc_id").alias("own_id"), "item_id").distinct()
+    both = pairs.join(items.withColumnRenamed("text", "item"), "item_id").join(own, F.col("own_id").eqNullSafe(F.col("doc_id")))
+    return both.select("item_id", "item", "doc_id", "text").sortWithinPartitions("item_id").mapInArrow(_scan_pairs(min_match, coverage), PAIRS.replace("doc_id long", f"doc_id {kind}"))
+
+
 def keep_clean(docs: DataFrame, benchmark: DataFrame, min_match: int = 5, coverage: float = 0.6, broadcast_seeds: int = BROADCAST_SEEDS) -> DataFrame:
     """docs without the rows in which an item is found; a filter without shuffle unless the items are too many to go to every worker."""
-    few = _items(benchmark, broadcast_seeds, min_match)[1]
+    items, few = _items(benchmark, broadcast_seeds, min_match)
     if few is not None:
         return docs.mapInArrow(_without(few, min_match, coverage), docs.schema)
-    gone = contaminated(docs, benchmark, min_match, coverage, broadcast_seeds).select("doc_id").distinct()
-    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti").select(docs.columns)
+    digest = F.unhex(F.sha2("text", 256))
+    texts = docs.filter("text IS NOT NULL").groupBy(digest.alias("doc_id")).agg(F.first("text").alias("text"))
+    name = "gone"
+    while name in docs.columns:
+        name = f"_{name}"
+    gone = _joined(texts, items, min_match, coverage).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, digest == F.col(name), "left_anti")
