@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, urls
-from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, state
+from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, state
 from ..sources import archive
 from . import catalogue
 from .catalogue import _HEADED, _TALKS, ANCHORS, URLS, _headed, _talks, pages, query, t
@@ -192,6 +192,27 @@ def keyword_rule_changes(spark, sf_dir):
     return keyword_rules.delete(keyword_rules.update(table, changes, F.lit(2.0)), ids.filter("name % 5 = 0")).select("name", "scope", "enabled", "updated_at")
 
 
+@query("""WITH k AS (SELECT 'r' || lpad(CAST(event_id AS VARCHAR), 9, '0') AS name, CASE WHEN event_id % 3 = 0 THEN 'domain:' || (['en', 'de', 'fr', 'es'])[1 + event_id % 4] ELSE 'global' END AS scope, event_id % 2 = 0 AS exact,
+  chr(97 + CAST(event_id % 26 AS INT)) || chr(97 + CAST(event_id // 26 % 26 AS INT)) || chr(97 + CAST(event_id // 676 % 26 AS INT)) AS word FROM events WHERE event_id % 7 <> 0),
+ l AS (SELECT doc_id, lang, string_split(text, ' ') AS words FROM documents),
+ w AS (SELECT DISTINCT doc_id, lang, unnest(words[2:-2]) AS said FROM l),
+ m AS (SELECT w.doc_id, k.scope, k.name, k.word FROM w JOIN k ON k.word = w.said AND k.exact UNION ALL SELECT w.doc_id, k.scope, k.name, k.word FROM w JOIN k ON k.word = lower(w.said) AND NOT k.exact),
+ f AS (SELECT m.doc_id, min_by('excluded_keyword: '' ' || word || ' '' (rule=' || name || ')', (scope = 'global', name)) AS reason FROM m JOIN documents d ON d.doc_id = m.doc_id WHERE scope IN ('global', 'domain:' || d.lang) GROUP BY 1)
+ SELECT d.doc_id, f.reason FROM documents d LEFT JOIN f ON f.doc_id = d.doc_id""")
+def keyword_table_scan(spark, sf_dir):
+    """A rule for six of seven events: some scoped, some exact; as many rules as the table of events is large."""
+    k = F.col("event_id")
+    letter = lambda n: F.chr(97 + (F.floor(k / n) % 26))
+    none = F.array().cast("array<string>")
+    rules = t(spark, sf_dir, "events").filter(k % 7 != 0).select(
+        F.concat(F.lit("r"), F.lpad(k.cast("string"), 9, "0")).alias("name"), none.alias("include"), F.array(F.concat(F.lit(" "), letter(1), letter(26), letter(676), F.lit(" "))).alias("exclude"), none.alias("regex"),
+        (k % 2 == 0).alias("case_sensitive"), F.lit("any").alias("match_position"), F.lit(True).alias("enabled"),
+        F.when(k % 3 == 0, F.concat(F.lit("domain:"), F.get(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (k % 4).cast("int")))).otherwise("global").alias("scope"),
+    )
+    d = t(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("domain"))
+    return keyword_scan.filtered(d, rules).select("doc_id", "reason")
+
+
 # --- caches ----------------------------------------------------------------------------------------------------------------
 @query("""SELECT event_id, (SELECT max_by(v.event_id, (v.ts, v.event_id)) FROM events v WHERE v.user_id = e.user_id AND v.event_type = 'view' AND v.ts <= e.ts AND epoch(e.ts) - epoch(v.ts) <= 43200) AS value FROM events e WHERE event_type = 'click'""")
 def ttl_cache(spark, sf_dir):
