@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, urls
-from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, state
+from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, networks, state
 from ..sources import archive
 from . import catalogue
 from .catalogue import _HEADED, _TALKS, ANCHORS, URLS, _headed, _talks, pages, query, t
@@ -560,3 +560,31 @@ def domain_rule_table(spark, sf_dir):
         F.col("domain").alias("user_id"), F.col("success_count").alias("good"), F.col("fail_count").alias("bad"), F.col("circuit_state").alias("state"), F.round("circuit_opened_at", 3).alias("opened"),
         F.col("consecutive_failures").alias("failures"), F.round("unreachable_until", 3).alias("far"), "stale", F.col("needs_account").alias("needs"), "confidence",
     )
+
+
+# --- networks --------------------------------------------------------------------------------------------------------------
+@query("""WITH a AS (SELECT event_id, event_id % 2 = 0 AS four, CASE WHEN event_id % 2 = 0 THEN ((10 + event_id % 3) << 24) + ((event_id * 7 % 256) << 16) + ((event_id * 13 % 256) << 8) + event_id % 256
+   ELSE (CAST(x'20010db8' AS BIGINT) << 32) + ((event_id % 64) << 16) + event_id * 11 % 65536 END AS ip FROM events),
+ u AS (SELECT DISTINCT user_id AS u FROM events),
+ n AS (SELECT 'v' || u AS name, true AS four, ([8, 16, 20, 24, 28, 32])[1 + u % 6] AS bits, 32 AS width, ((10 + u % 3) << 24) + ((u * 7 % 256) << 16) + ((u * 13 % 256) << 8) + u % 256 AS ip FROM u
+  UNION ALL SELECT 's' || u, false, ([32, 40, 48, 52, 64])[1 + u % 5], 64, (CAST(x'20010db8' AS BIGINT) << 32) + ((u % 64) << 16) + u * 11 % 65536 FROM u),
+ r AS (SELECT name, four, bits, (ip >> (width - bits)) << (width - bits) AS low, ((ip >> (width - bits)) << (width - bits)) + (CAST(1 AS BIGINT) << (width - bits)) - 1 AS high FROM n),
+ m AS (SELECT a.event_id, min_by(r.name, (-r.bits, r.name)) AS network FROM a JOIN r ON r.four = a.four AND a.ip BETWEEN r.low AND r.high GROUP BY 1)
+ SELECT a.event_id, m.network FROM a LEFT JOIN m ON m.event_id = a.event_id""".replace("CAST(x'20010db8' AS BIGINT)", "CAST(536940984 AS BIGINT)"))
+def network_narrowest(spark, sf_dir):
+    """Every event's address in two networks a user, of eleven lengths."""
+
+    def spelled(k: F.Column) -> tuple[F.Column, F.Column]:
+        dotted = F.concat_ws(".", (10 + k % 3).cast("string"), (k * 7 % 256).cast("string"), (k * 13 % 256).cast("string"), (k % 256).cast("string"))
+        return dotted, F.concat(F.lit("2001:DB8:"), F.hex(k % 64), F.lit(":"), F.hex(k * 11 % 65536), F.lit("::"))
+
+    e = t(spark, sf_dir, "events").select("event_id", "user_id")
+    four, six = spelled(F.col("event_id"))
+    addresses = e.select("event_id", F.when(F.col("event_id") % 2 == 0, four).otherwise(F.concat(six, F.hex(F.col("event_id") % 65536))).alias("address"))
+    users, u = e.select("user_id").distinct(), F.col("user_id")
+    four, six = spelled(u)
+    length = lambda options: F.get(F.array(*map(F.lit, options)), (u % len(options)).cast("int")).cast("string")
+    held = users.select(F.concat(F.lit("v"), u).alias("name"), F.concat(four, F.lit("/"), length((8, 16, 20, 24, 28, 32))).alias("cidr")).unionByName(
+        users.select(F.concat(F.lit("s"), u).alias("name"), F.concat(six, F.lit("/"), length((32, 40, 48, 52, 64))).alias("cidr"))
+    )
+    return networks.narrowest(addresses, held).select("event_id", "network")
