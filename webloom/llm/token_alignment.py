@@ -53,7 +53,7 @@ from .common import K0, SLICE_BYTES, ByteHash, cut, give_back, members, mix, sli
 
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 #: (Document, link) entries that a block sorts at a time.
-ENTRIES = 1 << 20
+ENTRIES = 1 << 19
 #: B's stand-in for a space.
 SPACE_MARK = "▁"
 #: ASCII that some library takes for white space.
@@ -290,6 +290,7 @@ def _compose(a_path: str, b_path: str, split: bool, buckets: int):
     """A block's texts and answers to one row: its documents and, for each linked pair of ids, how many of them hold it."""
 
     def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        loaded.cache_clear()  # of an earlier stage in this process; few blocks need them
         give_back()
         rows = unpacked(left.column("texts")[0].as_py(), DOCUMENTS)
         data, starts, ends, hashes, first = Segments(split).find(rows.column("text"))
