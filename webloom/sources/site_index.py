@@ -110,12 +110,20 @@ def robots_said(requests: DataFrame, rules: DataFrame, agents: Sequence[str]) ->
     kind = F.when(F.array_contains("agents", "*"), 1).when(own, 0)
     kinds = rules.select("origin", "section", "agents", every).select("origin", "agent", "section", kind.alias("kind")).filter("kind IS NOT NULL")
     chosen = kinds.groupBy("origin", "agent").agg(F.min(F.struct("kind", "section")).alias("k")).select("origin", "agent", F.col("k.section").alias("section"))
-    usable = rules.join(chosen, ["origin", "section"]).select("origin", "agent", "n", "allow", F.col("path").alias("rule"))
-    r = requests.select("url").distinct().withColumn("origin", F.lower(urls.origin_of(F.col("url"))))
+    used = rules.join(chosen.select("origin", "section").distinct(), ["origin", "section"])
+    # a rule is asked for by the start of a URL of its own length, so a URL makes a row for each length that its origin's rules have
+    start = F.when(F.col("path") == "*", "").otherwise(F.col("path"))
+    keyed = used.groupBy("origin", "section", start.alias("start")).agg(F.min(F.struct("n", "allow")).alias("rule"))
+    lengths = keyed.groupBy("origin").agg(F.array_sort(F.collect_set(F.char_length("start"))).alias("lengths"))
     path = F.regexp_replace(F.col("url"), "^[^:/?#]+://[^/?#]*|#.*$", "")
-    hits = r.join(usable, "origin").filter((F.col("rule") == "*") | F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).startswith(F.col("rule")))
-    first = hits.groupBy("url", "agent").agg(F.min_by("allow", "n").alias("_allow"))
-    return requests.select("*", every).join(first, ["url", "agent"], "left").withColumn("allowed", F.coalesce("_allow", F.lit(True))).drop("_allow")
+    r = requests.select("url").distinct().select("url", F.lower(urls.origin_of(F.col("url"))).alias("origin"), F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path)).alias("asked"))
+    starts = r.join(lengths, "origin").select("url", "origin", "asked", F.explode(F.filter("lengths", lambda n: n <= F.char_length("asked"))).alias("n"))
+    starts = starts.select("url", "origin", F.substring(F.col("asked"), F.lit(1), F.col("n")).alias("start"))
+    first = starts.join(keyed, ["origin", "start"]).groupBy("url", "section").agg(F.min("rule").alias("rule")).select("url", "section", F.col("rule.allow").alias("_allow"))
+    asked = requests.select("*", every).withColumn("_origin", F.lower(urls.origin_of(F.col("url"))))
+    named = chosen.select(F.col("origin").alias("_origin"), "agent", F.col("section").alias("_section"))
+    judged = asked.join(named, ["_origin", "agent"], "left").join(first.withColumnRenamed("section", "_section"), ["url", "_section"], "left")
+    return judged.select(*requests.columns, "agent", F.coalesce("_allow", F.lit(True)).alias("allowed"))
 
 
 def robots_allowed(requests: DataFrame, rules: DataFrame, agent: str = "*") -> DataFrame:
