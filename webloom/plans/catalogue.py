@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, network, results, safety, urls
-from ..operators import access, crawl, folds, rules, state
+from ..operators import access, crawl, folds, paging, rules, state
 from ..sources import archive, site_index
 from ..streaming import audit, frontier, lifetime, replay
 from .lineage import cut, remove_folder, shared_folder
@@ -335,6 +335,14 @@ def frontier_page(spark, sf_dir):
     return crawl.result_page(_frontier(spark, sf_dir), 20, 100).select("url", "updated_at")
 
 
+@query(f"WITH {_FRONTIER} SELECT url, ts AS updated_at FROM f WHERE status IN ('fetched', 'error') ORDER BY ts, url LIMIT 100 OFFSET 200")
+def frontier_cursor(spark, sf_dir):
+    """The third page by cursors, from results that lie in order of time and URL."""
+    done = _frontier(spark, sf_dir).filter("status IN ('fetched', 'error')").select("updated_at", "url")
+    table = paging.laid_out(done, ["updated_at", "url"], f"{shared_folder(spark)}/pages-{uuid.uuid4().hex}")
+    return paging.page_number(table, ["updated_at", "url"], 3, 100).select("url", "updated_at")
+
+
 @query(f"WITH {_FRONTIER} SELECT url, ts AS updated_at FROM f WHERE status = 'error' ORDER BY ts DESC, url LIMIT 50")
 def frontier_errors(spark, sf_dir):
     return _frontier(spark, sf_dir).filter("status = 'error'").orderBy(F.desc("updated_at"), "url").limit(50).select("url", "updated_at")
