@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detection, html, markdown, results, urls
+from ..functions import detection, html, markdown, results, tables, urls
 from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, networks, state
 from ..sources import archive
 from . import catalogue
@@ -588,3 +588,25 @@ def network_narrowest(spark, sf_dir):
         users.select(F.concat(F.lit("s"), u).alias("name"), F.concat(six, F.lit("/"), length((32, 40, 48, 52, 64))).alias("cidr"))
     )
     return networks.narrowest(addresses, held).select("event_id", "network")
+
+
+# --- table functions, from SQL alone ---------------------------------------------------------------------------------------
+@query("""SELECT doc_id, CAST(i AS INT) AS chunk_index, CAST(greatest(1, ceil(length(text) / 1000.0)) AS INT) AS total_chunks, substr(text, CAST((i - 1) * 1000 + 1 AS BIGINT), 1000) AS body
+ FROM (SELECT doc_id, text, unnest(generate_series(1, CAST(greatest(1, ceil(length(text) / 1000.0)) AS BIGINT))) AS i FROM documents WHERE text IS NOT NULL)""")
+def table_chunks(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT d.doc_id, c.chunk_index, c.total_chunks, c.body FROM {docs} d, LATERAL text_chunks(d.text, 1000) c", docs=t(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {ANCHORS} SELECT page_id, CAST(pos AS INT) AS pos, href, label FROM a")
+def table_anchors(spark, sf_dir):
+    tables.register(spark)
+    return spark.sql("SELECT p.page_id, a.pos, a.href, a.label FROM {pages} p, LATERAL page_anchor_rows(p.html) a", pages=t(spark, sf_dir, "pages"))
+
+
+@query("""SELECT doc_id, CAST(k AS INT) AS pos, CASE k WHEN 1 THEN source ELSE 'part ' || doc_id END AS label, CASE k WHEN 1 THEN '/s/' || source ELSE 'https://example.com/' || doc_id END AS ref
+ FROM documents, (SELECT unnest([1, 2]) AS k) WHERE source IS NOT NULL AND (k = 1 OR doc_id % 3 <> 0)""")
+def table_citations(spark, sf_dir):
+    tables.register(spark)
+    said = """concat('# ', source, ' ![', source, '](/i.png) [ ', source, '](/s/', source, ') and [top](#top) ', IF(doc_id % 3 = 0, '[call](tel:1)', concat('[part ', doc_id, '](https://example.com/', doc_id, ' "title")')))"""
+    return spark.sql(f"SELECT d.doc_id, c.pos, c.label, c.ref FROM {{docs}} d, LATERAL markdown_citations({said}, 5) c WHERE d.source IS NOT NULL", docs=t(spark, sf_dir, "documents"))
