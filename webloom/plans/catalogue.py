@@ -445,7 +445,7 @@ def robots_allowed(spark, sf_dir):
     p = t(spark, sf_dir, "pages").select("page_id", "url")
     body = "User-agent: GPTBot\nuser-agent: OneBot # two names\nDisallow: /fr/\nAllow: /fr/1\n\nDisallow: /\n\nUser-agent: *\nAllow: /en/1\nDisallow: /en/\n\nUser-agent: *\nDisallow: /\n\nUser-agent: ClaudeBot\nDisallow:\n\nUser-agent: CCBot\nDisallow: /\n"
     docs = p.select(F.lower(urls.origin_of(F.col("url"))).alias("origin")).distinct().withColumn("body", F.lit(body))
-    rules_ = site_index.robots_rules(docs)
+    rules_ = cut(site_index.robots_rules(docs))  # read by several plans below
     captured = docs.withColumn("status", F.when(F.col("origin").startswith("https"), 503).otherwise(200))
     named = {"*": "allowed", "OneBot/2.1": "named", "Other/1.0": "other"}
     said = site_index.robots_said(p, rules_, list(named))
