@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, tables, urls
 from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, networks, state
-from ..sources import archive
+from ..sources import archive, archive_source
+from ..streaming import audit
 from . import catalogue
 from .catalogue import _HEADED, _TALKS, ANCHORS, URLS, _headed, _talks, pages, query, t
-from .lineage import cut
+from .lineage import cut, remove_folder, shared_folder
 
 def _now() -> Column:
     return F.lit("2024-02-01").cast("timestamp")
@@ -610,3 +613,46 @@ def table_citations(spark, sf_dir):
     tables.register(spark)
     said = """concat('# ', source, ' ![', source, '](/i.png) [ ', source, '](/s/', source, ') and [top](#top) ', IF(doc_id % 3 = 0, '[call](tel:1)', concat('[part ', doc_id, '](https://example.com/', doc_id, ' "title")')))"""
     return spark.sql(f"SELECT d.doc_id, c.pos, c.label, c.ref FROM {{docs}} d, LATERAL markdown_citations({said}, 5) c WHERE d.source IS NOT NULL", docs=t(spark, sf_dir, "documents"))
+
+
+# --- archive folders -------------------------------------------------------------------------------------------------------
+def _archived(spark: SparkSession, sf_dir: str) -> str:
+    """A folder with the archive of all pages, every seventh of them blocked."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    text = archive.document_text({"url": F.col("url"), "page": F.col("page_id")}, F.col("html"))
+    folder = f"{shared_folder(spark)}/archive-{uuid.uuid4().hex}"
+    archive_source.write(p.select(F.concat(F.lit("p/"), F.col("page_id")).alias("raw_id"), (F.col("page_id") % 7 == 0).alias("blocked"), text.alias("text")), folder)
+    return folder
+
+
+@query("SELECT page_id, page_id % 7 = 0 AS blocked, coalesce(url, '') AS url, regexp_replace(coalesce(html, ''), '^\\n+', '') || chr(10) AS body FROM pages")
+def archive_source_texts(spark, sf_dir):
+    """All pages through the archive's data source and back."""
+    rows = archive_source.read(spark, _archived(spark, sf_dir))
+    return rows.select(archive.frontmatter(F.col("text"))["page"].cast("long").alias("page_id"), "blocked", archive.frontmatter(F.col("text"))["url"].alias("url"), archive.strip_frontmatter(F.col("text")).alias("body"))
+
+
+@query("SELECT page_id, coalesce(url, '') AS url, page_id % 7 = 0 AS blocked FROM pages WHERE page_id IN (SELECT event_id * 3 FROM events)")
+def archive_source_keys(spark, sf_dir):
+    """Heads of the documents that events ask for, opened by their ids."""
+    wanted = t(spark, sf_dir, "events").select(F.concat(F.lit("p/"), F.col("event_id") * 3).alias("raw_id"))
+    rows = archive_source.read_keys(wanted, _archived(spark, sf_dir), "head")
+    return rows.select(F.substring("raw_id", 3, 20).cast("long").alias("page_id"), archive.frontmatter(F.col("text"))["url"].alias("url"), "blocked")
+
+
+@query("SELECT page_id, page_id % 2 = 0 AS again, coalesce(url, '') || CASE WHEN page_id % 2 = 0 THEN '!' ELSE '' END AS url FROM pages UNION ALL SELECT page_id, false, coalesce(url, '') FROM pages WHERE page_id % 2 = 0")
+def stream_archive(spark, sf_dir):
+    """The archive as a stream that ends and goes on: each commit's documents once, those written again a second time."""
+    p = t(spark, sf_dir, "pages").select("page_id", F.coalesce("url", F.lit("")).alias("url"))
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+    def add(rows: DataFrame) -> None:
+        archive_source.write(rows.select(F.col("page_id").cast("string").alias("raw_id"), F.lit(False).alias("blocked"), archive.document_text({"url": F.col("url")}, F.lit("")).alias("text")), f"{base}/archive")
+        heads = archive_source.read_stream(spark, f"{base}/archive", "head").select("raw_id", archive.frontmatter(F.col("text"))["url"].alias("url"))
+        audit.append_sink(heads, f"{base}/rows", f"{base}/checkpoint", "append").awaitTermination()
+
+    add(p)
+    add(p.filter("page_id % 2 = 0").withColumn("url", F.concat("url", F.lit("!"))))
+    for done in ("archive", "checkpoint"):
+        remove_folder(spark, f"{base}/{done}")
+    return spark.read.parquet(f"{base}/rows").select(F.col("raw_id").cast("long").alias("page_id"), F.col("url").endswith("!").alias("again"), "url")
