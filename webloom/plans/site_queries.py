@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, tables, urls
-from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyword_rules, keyword_scan, networks, state
+from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyed_store, keyword_rules, keyword_scan, networks, state
 from ..sources import archive, archive_source
 from ..streaming import audit
 from . import catalogue
@@ -656,3 +656,40 @@ def stream_archive(spark, sf_dir):
     for done in ("archive", "checkpoint"):
         remove_folder(spark, f"{base}/{done}")
     return spark.read.parquet(f"{base}/rows").select(F.col("raw_id").cast("long").alias("page_id"), F.col("url").endswith("!").alias("again"), "url")
+
+
+# --- keyed stores ----------------------------------------------------------------------------------------------------------
+#: A user's events in ten slices; a slice whose last event is an error removes the user, others add to what is known.
+_SLICED = """o AS (SELECT user_id, CAST(event_id % 10 AS INT) AS slice, count(*) AS n, max(event_id) AS last_id, max_by(event_type, event_id) = 'error' AS gone FROM events GROUP BY ALL),
+ g AS (SELECT user_id, max(slice) AS slice FROM o WHERE gone GROUP BY 1),
+ k AS (SELECT o.user_id, CAST(sum(o.n) AS BIGINT) AS n, CAST(count(*) AS BIGINT) AS n_slices, max(o.last_id) AS last_id FROM o LEFT JOIN g ON g.user_id = o.user_id WHERE g.slice IS NULL OR o.slice > g.slice GROUP BY 1)"""
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> keyed_store.KeyedStore:
+    """A store of users after ten slices of events, made one generation after the fifth."""
+    e = t(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    sliced = e.groupBy("user_id", (F.col("event_id") % 10).alias("slice")).agg(
+        F.count(F.lit(1)).alias("n"), F.lit(1).cast("long").alias("n_slices"), F.max("event_id").alias("last_id"), F.max_by("event_type", "event_id").alias("last_type"),
+    )
+    slices = cut(sliced)
+    add = lambda known, old, new: F.when(known, old + new).otherwise(new)
+    last = lambda known, old, new: F.greatest(old, new)
+    path = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    store = keyed_store.KeyedStore.create(slices.select("user_id", "n", "n_slices", "last_id").limit(0), path, ["user_id"], 16)
+    for k in range(10):
+        store.apply(slices.filter(F.col("slice") == k), {"n": add, "n_slices": add, "last_id": last}, F.col("last_type") == "error")
+        if k == 4:
+            store.compact()
+    return store
+
+
+@query(f"WITH {_SLICED} SELECT user_id, n, n_slices, last_id FROM k")
+def keyed_store_slices(spark, sf_dir):
+    """What a store holds after ten slices of changes, half of them compacted."""
+    return _stored(spark, sf_dir).read()
+
+
+@query(f"WITH {_SLICED} SELECT user_id, n, last_id FROM k WHERE user_id IN (SELECT doc_id * 3 FROM documents)")
+def keyed_store_lookup(spark, sf_dir):
+    """Rows of the users that another table asks for."""
+    return _stored(spark, sf_dir).lookup(t(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("user_id"))).select("user_id", "n", "last_id")
