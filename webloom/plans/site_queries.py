@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import detection, html, markdown, results, tables, urls
 from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyed_store, keyword_rules, keyword_scan, networks, state
-from ..sources import archive, archive_source
+from ..sources import archive, archive_source, site_index
 from ..streaming import audit
 from . import catalogue
 from .catalogue import _HEADED, _TALKS, ANCHORS, URLS, _headed, _talks, pages, query, t
@@ -693,3 +693,39 @@ def keyed_store_slices(spark, sf_dir):
 def keyed_store_lookup(spark, sf_dir):
     """Rows of the users that another table asks for."""
     return _stored(spark, sf_dir).lookup(t(spark, sf_dir, "documents").select((F.col("doc_id") * 3).alias("user_id"))).select("user_id", "n", "last_id")
+
+
+# --- sitemaps and feeds in files -------------------------------------------------------------------------------------------
+#: Fixed value: most entries of one sitemap.
+SITEMAP_ENTRIES = 50_000
+
+
+def _listed_files(spark: SparkSession, sf_dir: str, head: str, tail: str, entry) -> str:
+    """A folder of files domain=<d>/part=<n> that list each domain's pages, so many that none has too many entries."""
+    p = pages(spark, sf_dir).select("domain", F.replace(F.regexp_replace("url", "#.*", ""), F.lit("&"), F.lit("&amp;")).alias("u")).filter("domain <> ''")
+    sizes = p.groupBy("domain").agg(F.ceil(2 * F.count(F.lit(1)) / SITEMAP_ENTRIES).cast("int").alias("n"))  # a hash fills no part to twice its share
+    placed = p.join(sizes, "domain").select("domain", F.pmod(F.xxhash64("u"), "n").alias("part"), F.lit(1).alias("line"), entry(F.col("u")).alias("value"))
+    parts = placed.select("domain", "part").distinct()
+    ends = parts.select("domain", "part", F.explode(F.array(F.struct(F.lit(0).alias("line"), F.lit(head).alias("value")), F.struct(F.lit(2).alias("line"), F.lit(tail).alias("value")))).alias("e"))
+    rows = placed.unionByName(ends.select("domain", "part", "e.*"))
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    rows.repartition("domain", "part").sortWithinPartitions("domain", "part", "line", "value").select("domain", "part", "value").write.partitionBy("domain", "part").text(folder)
+    return folder
+
+
+def _home(file: Column) -> Column:
+    return F.concat(F.lit("https://"), F.regexp_extract(file, "/domain=([^/]+)/", 1), F.lit("/"))
+
+
+@query(f"WITH {URLS} SELECT DISTINCT domain, 'urlset' AS kind, canonical AS url FROM c WHERE domain <> ''")
+def sitemap_records(spark, sf_dir):
+    """Sitemaps of all pages, read from files entry by entry."""
+    folder = _listed_files(spark, sf_dir, "<?xml version='1.0'?><urlset>", "</urlset>", lambda u: F.concat(F.lit("<url><loc>"), u, F.lit("</loc><priority>0.5</priority></url>")))
+    return site_index.sitemap_records(spark, folder, _home).select(urls.domain_of(F.col("doc_url")).alias("domain"), "kind", "url").distinct()
+
+
+@query(f"WITH {URLS} SELECT DISTINCT domain, 'rss' AS kind, canonical AS url FROM c WHERE domain <> ''")
+def feed_records(spark, sf_dir):
+    """Feeds of all pages, read from files item by item."""
+    folder = _listed_files(spark, sf_dir, "<rss><channel><link>https://home.example/</link>", "</channel></rss>", lambda u: F.concat(F.lit("<item><title>x</title><link>"), u, F.lit("</link></item>")))
+    return site_index.feed_records(spark, folder, _home).select(urls.domain_of(F.col("doc_url")).alias("domain"), "kind", "url").distinct()

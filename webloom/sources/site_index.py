@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls
@@ -15,25 +15,74 @@ def index_kind(xml: Column) -> Column:
     return F.when(root.isin("sitemapindex", "urlset"), root).when(root.isin("rss", "rdf"), "rss").when(root == "feed", "atom").otherwise("unknown")
 
 
+RSS_LINK = r"(?is)<link\s*>(.*?)</link\s*>"
+ATOM_LINK = r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""
+
+
+def _plain(x: Column) -> Column:
+    """An entry's text without CDATA marks."""
+    return F.trim(F.replace(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), F.lit("&amp;"), F.lit("&")))
+
+
 def index_urls(xml: Column) -> Column:
     """Raw URLs in document order, by kind; malformed documents give what can be read."""
-    entity = lambda x: F.trim(F.replace(F.regexp_replace(x, r"(?s)^\s*<!\[CDATA\[(.*?)\]\]>\s*$", "$1"), F.lit("&amp;"), F.lit("&")))
     loc = F.regexp_extract_all(xml, F.lit(r"(?is)<(?:\w+:)?loc\s*>(.*?)</(?:\w+:)?loc\s*>"), F.lit(1))
-    items = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0)), lambda x: F.regexp_extract(x, r"(?is)<link\s*>(.*?)</link\s*>", 1))
-    entries = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<entry\b.*?</entry>"), F.lit(0)), lambda x: F.regexp_extract(x, r"""(?is)<link\b[^>]*\bhref\s*=\s*["']([^"']*)["']""", 1))
+    items = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<item\b.*?</item>"), F.lit(0)), lambda x: F.regexp_extract(x, RSS_LINK, 1))
+    entries = F.transform(F.regexp_extract_all(xml, F.lit(r"(?is)<entry\b.*?</entry>"), F.lit(0)), lambda x: F.regexp_extract(x, ATOM_LINK, 1))
     kind = index_kind(xml)
     found = F.when(kind.isin("sitemapindex", "urlset"), loc).when(kind == "rss", items).when(kind == "atom", entries).otherwise(F.array().cast("array<string>"))
-    return F.filter(F.transform(found, entity), lambda x: x != "")
+    return F.filter(F.transform(found, _plain), lambda x: x != "")
 
 
-def parse_index(documents: DataFrame, scope=None) -> DataFrame:
-    """(doc_url, kind, pos, url): canonical, joined to the base URL, first of each; `scope` maps a URL column to '' outside."""
-    rows = documents.select("doc_url", "base_url", index_kind(F.col("body")).alias("kind"), F.posexplode(index_urls(F.col("body"))).alias("pos", "raw"))
+def _listed(rows: DataFrame, scope) -> DataFrame:
+    """(doc_url, kind, pos, url) of rows (doc_url, base_url, kind, pos, raw): canonical, joined to the base URL, first of each."""
     url = urls.canonical_url(urls.join_url(F.col("base_url"), F.col("raw")))
     rows = rows.select("doc_url", "kind", "pos", (scope(url) if scope else url).alias("url")).filter("url <> ''")
     return rows.groupBy("doc_url", "kind", "url").agg(F.min("pos").alias("pos"))
 
 
+def parse_index(documents: DataFrame, scope=None) -> DataFrame:
+    """(doc_url, kind, pos, url): canonical, joined to the base URL, first of each; `scope` maps a URL column to '' outside."""
+    return _listed(documents.select("doc_url", "base_url", index_kind(F.col("body")).alias("kind"), F.posexplode(index_urls(F.col("body"))).alias("pos", "raw")), scope)
+
+
+def _records(spark: SparkSession, path: str | Sequence[str], separator: str) -> DataFrame:
+    """(file, pos, record): texts of files cut at a separator by the scan itself, so a file of any size is read in splits and no row holds it whole.
+
+    pos = (start of the split, number within it) orders the records of a file.
+    """
+    rows = spark.read.option("lineSep", separator).text(path if isinstance(path, str) else list(path))
+    pos = F.struct(F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("n"))
+    return rows.select(F.col("_metadata.file_path").alias("file"), pos.alias("pos"), F.regexp_replace("value", "^\ufeff", "").alias("record"))
+
+
+def sitemap_records(spark: SparkSession, path: str | Sequence[str], doc_url, base_url=None, scope=None) -> DataFrame:
+    """parse_index for sitemaps and sitemap indexes in files (UTF-8, .gz as well), one record an entry; pos is a struct.
+
+    `doc_url` and `base_url` (None: doc_url) map the column of a file's path to URLs. Records end at closing tags, whatever their prefixes. A file with another root
+    gives nothing, nor does an entry that the file's end cuts off. A CDATA section may not hold a closing tag.
+    """
+    rows = _records(spark, path, "</")
+    files = rows.groupBy("file").agg(F.min_by(index_kind(F.col("record")), "pos").alias("kind"), F.max("pos").alias("last")).filter("kind IN ('sitemapindex', 'urlset')")
+    loc = r"(?is)<(?:\w+:)?loc\s*>(.*)$"
+    named = rows.filter(F.col("record").rlike(loc)).join(files, "file").filter("pos < last")
+    file = F.col("file")
+    return _listed(named.select(doc_url(file).alias("doc_url"), (base_url or doc_url)(file).alias("base_url"), "kind", "pos", _plain(F.regexp_extract("record", loc, 1)).alias("raw")).filter("raw <> ''"), scope)
+
+
+def feed_records(spark: SparkSession, path: str | Sequence[str], doc_url, base_url=None, scope=None, kind: str = "rss") -> DataFrame:
+    """parse_index for feeds of one kind (rss, atom) in files, one record an item; see sitemap_records."""
+    if kind not in ("rss", "atom"):
+        raise ValueError(f"kind is rss or atom, not {kind}")
+    tag, link = ("item", RSS_LINK) if kind == "rss" else ("entry", ATOM_LINK)
+    rows = _records(spark, path, f"</{tag}>")
+    files = rows.groupBy("file").agg(F.min_by(index_kind(F.col("record")), "pos").alias("kind"), F.max("pos").alias("last")).filter(F.col("kind") == kind)
+    item = F.regexp_extract("record", rf"(?is)<{tag}\b.*$", 0)
+    named = rows.join(files, "file").filter("pos < last")
+    file = F.col("file")
+    return _listed(named.select(doc_url(file).alias("doc_url"), (base_url or doc_url)(file).alias("base_url"), "kind", "pos", _plain(F.regexp_extract(item, link, 1)).alias("raw")).filter("raw <> ''"), scope)
+
+
 def _candidates(found: Column, base: Column, same_domain_only: bool, limit: int) -> Column:
     """URLs joined to the base and canonical, http(s) and of the base's domain only, the first of each, at most `limit` (the feature)."""
     full = F.transform(F.filter(found, lambda x: F.trim(x) != ""), lambda x: urls.canonical_url(urls.join_url(base, F.trim(x))))
