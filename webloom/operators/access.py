@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import urls
+from . import rules
 from .state import account_usable
 
 #: Extract modes from the most wanted on.
@@ -154,6 +156,26 @@ def readiness(targets: DataFrame, sites: DataFrame, profiles: DataFrame, vault:
     return j.withColumns(new).drop("_first", "_status", "_expires", "_held", "_site", "_needs", "_human", "_modes")
 
 
+def decided(ready: DataFrame, policy: rules.Policy = rules.Policy(), target: str = "url") -> DataFrame:
+    """Rows of `readiness` with the recommended call and what the policy says of it; a call that it denies adds the issue `policy_denied`.
+
+    next_call: (tool, url, domain, account_id, access_mode, human_assist, extract_mode), null where the tool takes no such argument. A session
+    is always authorized; a page is fetched with an account only where access is. Adds policy_allowed, policy_risk, policy_reasons, approval_required.
+    """
+    session, page = F.col("tool") == "open_browser_session", F.col("tool") == "retrieve_page"
+    authorized = F.col("access_mode") == "user_authorized"
+    url = F.coalesce(urls.canonical_url(F.col(target)), F.lit(""))
+    call = F.struct(
+        F.col("tool"), url.alias("url"), F.col("domain"), F.when(session | (page & authorized), F.col("selected_account_id")).when(page, "").alias("account_id"),
+        F.when(session, "user_authorized").when(page, F.col("access_mode")).alias("access_mode"), F.when(page, F.col("assist")).alias("human_assist"), F.when(page, "page").alias("extract_mode"),
+    )
+    calls = ready.select(F.struct("*").alias("_ready"), call.alias("next_call"), "tool", url.alias("target_url"), "domain", "access_mode", (session | (page & authorized)).alias("uses_live_browser"))
+    made = rules.decide(calls, policy)
+    issues = F.when(F.col("allowed"), F.col("_ready.issues")).otherwise(F.concat("_ready.issues", F.array(F.lit("policy_denied"))))
+    own = [issues.alias(c) if c == "issues" else F.col("_ready")[c].alias(c) for c in ready.columns]
+    return made.select(*own, "next_call", F.col("allowed").alias("policy_allowed"), F.col("risk").alias("policy_risk"), F.col("reasons").alias("policy_reasons"), "approval_required")
+
+
 def outcome_shares(outcomes: DataFrame, by: str) -> DataFrame:
     """(by, n, percent) of each outcome; the total is summed over the counts."""
     counts = outcomes.groupBy(by).agg(F.count(F.lit(1)).alias("n"))

@@ -7,8 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import detection, html, markdown, results, tables, urls
-from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyed_store, keyword_rules, keyword_scan, networks, state
+from ..functions import cookies, detection, html, markdown, results, tables, urls
+from ..operators import access, artifacts, caches, crawl, domain_rules, jobs, keyed_store, keyword_rules, keyword_scan, networks, rules, state
 from ..sources import archive, archive_source, site_index
 from ..streaming import audit
 from . import catalogue
@@ -729,3 +729,73 @@ def feed_records(spark, sf_dir):
     """Feeds of all pages, read from files item by item."""
     folder = _listed_files(spark, sf_dir, "<rss><channel><link>https://home.example/</link>", "</channel></rss>", lambda u: F.concat(F.lit("<item><title>x</title><link>"), u, F.lit("</link></item>")))
     return site_index.feed_records(spark, folder, _home).select(urls.domain_of(F.col("doc_url")).alias("domain"), "kind", "url").distinct()
+
+
+# --- readiness with its policy, cookies, mapped sites, word lists, nodes -----------------------------------------------------
+@query(f"""WITH {URLS}, d AS (SELECT domain, length(domain) % 4 AS k, length(domain) % 3 = 0 AS std, min(canonical) AS url FROM c GROUP BY 1),
+ o AS (SELECT *, CASE WHEN k = 2 THEN 'mark_account_profile_or_register_account_profile' WHEN std AND k <> 3 OR k = 1 THEN 'retrieve_page' ELSE 'open_browser_session' END AS tool, ends_with(domain, '.org') AS shut FROM d),
+ l AS (SELECT *, tool = 'open_browser_session' OR tool = 'retrieve_page' AND NOT std AS live FROM o)
+ SELECT domain, tool, url, CASE WHEN k = 2 THEN NULL WHEN tool = 'retrieve_page' AND std THEN '' WHEN k = 1 THEN 'main' ELSE 'default' END AS account_id, NOT shut AND NOT live AS policy_allowed,
+ concat_ws(',', CASE WHEN shut THEN 'blocked_domain' END, CASE WHEN live THEN 'live_browser_disabled' END, CASE WHEN NOT shut AND NOT live THEN 'allowed_by_policy' END) AS policy_reasons,
+ concat_ws(',', CASE WHEN k = 2 THEN 'default_account_blocked' END, CASE WHEN shut OR live THEN 'policy_denied' END) AS issues, tool = 'open_browser_session' AS approval_required FROM l""")
+def readiness_policy(spark, sf_dir):
+    """What to call for each site, and whether an installation without live browsers and without .org lets it."""
+    d = pages(spark, sf_dir).groupBy("domain").agg(F.min("canonical").alias("url")).withColumn("k", F.length("domain") % 4)
+    sites = d.filter("k > 0").select("domain", (F.col("k") == 3).alias("needs_account"), F.lit(False).alias("human_assist"), F.array(F.lit("page")).alias("modes"))
+    profiles = d.filter("k IN (1, 2)").select("domain", F.when(F.col("k") == 1, "main").otherwise("default").alias("account_id"), F.when(F.col("k") == 1, "active").otherwise("blocked").alias("status"), F.lit(None).cast("string").alias("expires_at"), F.lit(True).alias("is_default"))
+    targets = d.select("domain", "url", F.lit("").alias("account_id"), F.when(F.length("domain") % 3 == 0, "standard").otherwise("user_authorized").alias("access_mode"))
+    ready = access.readiness(targets, sites, profiles, profiles.select("domain", "account_id"), F.current_timestamp())
+    made = access.decided(ready, rules.Policy(blocked_domains=("*.org",), live_browser=False))
+    return made.select("domain", "tool", "next_call.url", "next_call.account_id", "policy_allowed", F.array_join("policy_reasons", ",").alias("policy_reasons"), F.array_join("issues", ",").alias("issues"), "approval_required")
+
+
+@query("""WITH k AS (SELECT event_id, event_id % 3 > 0 AS fresh, event_id % 4 AS got, CASE event_id % 3 WHEN 0 THEN '100' WHEN 1 THEN '1000000' ELSE '-1' END AS ends FROM events),
+ p AS (SELECT *, '{"name":"a","value":"' || event_id || '","domain":"d.example","path":"/","expires":' || ends || '}' AS a, '{"name":"b","value":"' || event_id || '","domain":"o.example","path":"/","secure":true}' AS b,
+   '{"name":"a","value":"n","domain":"d.example","path":"/"}' AS n, '{"name":"z","value":"q","domain":"d.example","path":"/"}' AS z FROM k)
+ SELECT event_id, '[' || concat_ws(',', CASE WHEN fresh AND got = 0 THEN n WHEN fresh THEN a END, b, CASE WHEN NOT fresh AND got = 0 THEN n END, CASE WHEN got = 1 THEN z END) || ']' AS jar, 1 + fresh::INT + CASE WHEN got = 1 OR got = 0 AND NOT fresh THEN 1 ELSE 0 END AS n FROM p""")
+def cookie_jars(spark, sf_dir):
+    """Stored jars of events, moved on by new ones of several shapes, and stored again."""
+    number = F.col("event_id").cast("string")
+    ends = F.when(F.col("event_id") % 3 == 0, "100").when(F.col("event_id") % 3 == 1, "1000000").otherwise("-1")
+    old = F.concat(F.lit('[{"name":"a","value":"'), number, F.lit('","expires":'), ends, F.lit('},{"name":"b","value":'), number, F.lit(',"domain":"o.example","secure":true},7,{"name":"","value":"y"},{"name":"c"}]'))
+    new = F.get(F.array(*map(F.lit, ('[{"name":"a","value":"n","path":""}]', '{"z":"q","k":5}', "{", "[]"))), (F.col("event_id") % 4).cast("int"))
+    home = F.lit("d.example")
+    jar = cookies.merged_cookies(cookies.cookies_of_json(old, home), cookies.cookies_of_json(new, home), F.lit(5000.0))
+    return t(spark, sf_dir, "events").select("event_id", jar.alias("j")).select("event_id", cookies.cookies_json(F.col("j")).alias("jar"), F.size("j").alias("n"))
+
+
+@query(f"""WITH {URLS} SELECT page_id, page_id % 3 > 0 AS ok, CASE page_id % 3 WHEN 0 THEN '' ELSE 'map ' || page_id END AS text, canonical AS canonical_url, CASE WHEN page_id % 3 = 1 THEN 'https://final.example/' || page_id ELSE canonical END AS url,
+ CASE page_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 7 END AS link_count, CASE page_id % 3 WHEN 1 THEN url ELSE '' END AS links, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'timeout' ELSE 'internal-error' END END AS kind, CASE WHEN page_id % 3 = 0 THEN CASE WHEN page_id % 2 = 0 THEN 'slow' ELSE 'torn ' || page_id END END AS message FROM c""")
+def site_map_payload(spark, sf_dir):
+    """Typed results of mapped sites: with and without the tag, with stored links or a count alone, and failures of two kinds."""
+    k = F.col("page_id") % 3
+    name = F.concat(F.lit("map "), F.col("page_id"))
+    text = F.when(k == 1, F.concat(F.lit(results.OK), name)).when(k == 2, name).otherwise(F.concat(F.lit("torn "), F.col("page_id")))
+    error = F.when(F.col("page_id") % 2 == 0, results.format_error(F.lit("timeout"), F.lit("slow"))).otherwise("")
+    p = results.map_payload(F.col("url"), text, k > 0, F.when(k == 1, F.concat(F.lit("https://final.example/"), F.col("page_id"))), F.when(k == 1, F.array("url")), F.when(k == 2, 7), error)
+    got = t(spark, sf_dir, "pages").select("page_id", p.alias("p"))
+    return got.select("page_id", "p.ok", "p.text", "p.canonical_url", "p.url", "p.link_count", F.array_join("p.links", ",").alias("links"), F.col("p.error.errorType").alias("kind"), F.col("p.error.message").alias("message"))
+
+
+@query("SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'USER' ELSE 'CUSTOM' END AS category, CASE WHEN user_id % 2 = 0 THEN 'u' || user_id || ':x' ELSE 'low:' || user_id END AS word FROM events")
+def word_list(spark, sf_dir):
+    """A word list in files, with categories, plain words that hold a colon, blank lines and remarks."""
+    u = t(spark, sf_dir, "events").select("user_id").distinct()
+    line = F.when(F.col("user_id") % 2 == 0, F.concat(F.lit("  USER:u"), F.col("user_id"), F.lit(":x "))).otherwise(F.concat(F.lit("low:"), F.col("user_id")))
+    folder = f"{shared_folder(spark)}/words-{uuid.uuid4().hex}"
+    u.select(F.explode(F.array(line, F.lit("   "), F.concat(F.lit("# USER:"), F.col("user_id")))).alias("value")).write.text(folder)
+    return archive.load_words(spark, folder)
+
+
+@query("""SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 2 END + CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END AS node_count, CASE WHEN event_id % 4 = 0 THEN 0 ELSE 2 END + CASE WHEN event_id % 5 = 0 THEN 0 ELSE 1 END >= 3 AS truncated,
+ concat_ws('|', CASE WHEN event_id % 4 > 0 THEN 'link/' || left(repeat(event_type, 50), 240) || '/-' END, CASE WHEN event_id % 4 > 0 THEN '/' || event_id || '/d' END, CASE WHEN event_id % 5 > 0 THEN 'button//-' END) AS nodes FROM events""")
+def page_nodes(spark, sf_dir):
+    """Nodes of pages for reading aloud: those without role and name or ignored go, long names are cut, at most three stay (the feature)."""
+    number = F.col("event_id")
+    node = lambda ignored, role, name, description: F.struct(ignored.alias("ignored"), F.lit(role).alias("role"), name.alias("name"), F.lit(description).alias("description"))
+    own = F.array(
+        node(number % 4 == 0, "link", F.repeat("event_type", 50), " "), node(F.lit(None).cast("boolean"), " ", F.lit(""), "x"), node(number % 4 == 0, None, F.concat(F.lit(" "), number.cast("string")), " d "), node(number % 5 == 0, "button", F.lit(None).cast("string"), None),
+    )
+    r = t(spark, sf_dir, "events").select("event_id", results.fit_nodes(own, 3).alias("r"))
+    shown = F.transform("r.nodes", lambda n: F.concat_ws("/", n["role"], n["name"], F.coalesce(n["description"], F.lit("-"))))
+    return r.select("event_id", "r.node_count", "r.truncated", F.array_join(shown, "|").alias("nodes"))
