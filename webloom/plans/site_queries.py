@@ -127,7 +127,7 @@ def job_recent(spark, sf_dir):
 _ENDS = "f AS (SELECT user_id AS job_id, 'u' || event_id AS url, event_type AS kind, ts, event_id FROM events WHERE event_type IN ('view', 'error'))"
 
 
-@query(f"""WITH {_ENDS}, p AS (SELECT job_id, string_agg(chr(10) || '---' || chr(10) || chr(10) || '## Source: ' || url || chr(10) || chr(10) || text, chr(10) ORDER BY ts, url) AS body FROM f JOIN documents ON doc_id = event_id % 100 WHERE kind = 'view' AND event_id % 100 < 60 GROUP BY 1),
+@query(f"""WITH {_ENDS}, p AS (SELECT job_id, string_agg(chr(10) || '---' || chr(10) || chr(10) || '## Source: ' || url || chr(10) || chr(10) || text, chr(10) ORDER BY ts, url) AS body FROM f JOIN documents ON doc_id = event_id WHERE kind = 'view' GROUP BY 1),
  x AS (SELECT job_id, string_agg('- ' || url || ': timeout', chr(10) ORDER BY n) AS said FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts, url) AS n FROM f WHERE kind = 'error') WHERE n <= 20 GROUP BY 1)
  SELECT u.job_id, '# Crawl job ' || u.job_id || chr(10) || chr(10) || 'Start: s' || chr(10) || 'Status: completed' || chr(10) || 'Pages: 1/2' || chr(10) || coalesce(chr(10) || body, '')
   || coalesce(chr(10) || chr(10) || '---' || chr(10) || chr(10) || '## Errors' || chr(10) || chr(10) || said, '') AS report FROM (SELECT DISTINCT job_id FROM f) u LEFT JOIN p USING (job_id) LEFT JOIN x USING (job_id)""")
@@ -135,15 +135,15 @@ def job_full_report(spark, sf_dir):
     e = t(spark, sf_dir, "events").filter("event_type IN ('view', 'error')")
     f = e.select(
         F.col("user_id").alias("job_id"), F.concat(F.lit("u"), F.col("event_id")).alias("url"), F.when(F.col("event_type") == "view", "fetched").otherwise("error").alias("status"),
-        (F.col("event_id") % 100).cast("string").alias("raw_id"), F.col("ts").alias("updated_at"), F.lit("timeout").alias("last_error"),
+        F.col("event_id").cast("string").alias("raw_id"), F.col("ts").alias("updated_at"), F.lit("timeout").alias("last_error"),
     )
-    docs = t(spark, sf_dir, "documents").filter("doc_id < 60").select(F.col("doc_id").cast("string").alias("raw_id"), F.col("text").alias("body"))
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("raw_id"), F.col("text").alias("body"))
     j = f.select("job_id").distinct().select("job_id", F.lit("s").alias("start_url"), F.lit("completed").alias("status"), F.lit(1).alias("completed"), F.lit(2).alias("total"))
     return jobs.report(j, f, docs)
 
 
 #: A site of pages k that link to 2k + 1, 2k + 2 and k + 7; one in eleven fails for good, one in seven once or always.
-_SITE = "SELECT event_id AS k, event_id % 11 = 5 AS lost, event_id % 7 = 3 AS slow FROM events WHERE event_id < 400"
+_SITE = "SELECT event_id AS k, event_id % 11 = 5 AS lost, event_id % 7 = 3 AS slow FROM events"
 
 
 @query(f"""WITH RECURSIVE s AS ({_SITE}), w AS (SELECT CAST(0 AS BIGINT) AS k, 0 AS depth UNION SELECT n.k, w.depth + 1 FROM w JOIN s ON s.k = w.k AND NOT lost AND NOT slow, LATERAL (SELECT unnest([2 * w.k + 1, 2 * w.k + 2, w.k + 7]) AS k) n WHERE w.depth < 5 AND n.k % 10 <> 9),
@@ -153,7 +153,7 @@ def crawl_loop(spark, sf_dir):
     k = F.col("event_id")
     address = lambda x: F.concat(F.lit("https://site.example/p/"), x.cast("string"))
     lost, slow = k % 11 == 5, k % 7 == 3
-    site = t(spark, sf_dir, "events").filter("event_id < 400").select(
+    site = t(spark, sf_dir, "events").select(
         address(k).alias("url"), (~lost & ~slow).alias("ok"), F.when(lost | slow, F.when(slow, "timeout").otherwise("gone")).alias("error"), slow.alias("retryable"),
         F.array(address(2 * k + 1), address(2 * k + 2), address(k + 7), F.lit("https://other.example/p/1")).alias("links"),
     )
@@ -224,14 +224,14 @@ def ttl_cache(spark, sf_dir):
     return caches.lookup(e.filter("event_type = 'click'").select("key", "at", "event_id"), stored, caches.ROBOTS_TTL).select("event_id", "value")
 
 
-@query("""WITH RECURSIVE e AS (SELECT *, epoch(ts) AS at, user_id % 5 AS host, row_number() OVER (PARTITION BY user_id % 5 ORDER BY epoch(ts), event_id) AS k FROM events WHERE event_id < 2000),
+@query("""WITH RECURSIVE e AS (SELECT *, epoch(ts) AS at, user_id AS host, row_number() OVER (PARTITION BY user_id ORDER BY epoch(ts), event_id) AS k FROM events),
  w AS (SELECT DISTINCT host, CAST(0 AS BIGINT) AS k, CAST(0 AS BIGINT) AS event_id, CAST(0 AS DOUBLE) AS last, CAST(0 AS DOUBLE) AS until, false AS counts FROM e
   UNION ALL SELECT w.host, e.k, e.event_id, CASE WHEN e.event_type = 'error' THEN w.last WHEN w.until > e.at THEN w.until ELSE greatest(e.at, w.last + 60.0 * pow(2, e.event_id % 3)) END,
    CASE WHEN e.event_type = 'error' THEN e.at + 500.0 ELSE w.until END, e.event_type <> 'error' FROM w JOIN e ON e.host = w.host AND e.k = w.k + 1)
  SELECT event_id, round(last, 3) AS start FROM w WHERE counts""")
 def request_times(spark, sf_dir):
-    e = t(spark, sf_dir, "events").filter("event_id < 2000")
-    asked = e.select((F.col("user_id") % 5).alias("domain"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.when(F.col("event_type") == "error", 500.0).alias("retry_after"), F.lit(1.0).alias("factor"), (F.col("event_id") % 3).alias("attempt"))
+    e = t(spark, sf_dir, "events")
+    asked = e.select(F.col("user_id").alias("domain"), F.col("event_id").alias("id"), F.col("ts").cast("timestamp").cast("double").alias("at"), F.when(F.col("event_type") == "error", 500.0).alias("retry_after"), F.lit(1.0).alias("factor"), (F.col("event_id") % 3).alias("attempt"))
     return caches.request_times(asked, 60.0).select(F.col("id").alias("event_id"), F.round("start", 3).alias("start"))
 
 
