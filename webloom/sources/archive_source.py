@@ -297,8 +297,9 @@ def register(spark: SparkSession) -> None:
 
 
 def read(spark: SparkSession, folder: str, what: str = "text", **options: str) -> DataFrame:
+    """The archive's documents, in up to four tasks a core."""
     register(spark)
-    return spark.read.format(FORMAT).options(what=what, **options).load(folder)
+    return spark.read.format(FORMAT).options(**{"what": what, "tasks": str(4 * spark.sparkContext.defaultParallelism)} | options).load(folder)
 
 
 def read_stream(spark: SparkSession, folder: str, what: str = "text") -> DataFrame:
