@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls
 from ..functions.expressions import glob_pattern
+from ..functions.results import RETRYABLE
 
 #: Risk of each tool.
 LOW_RISK = (
@@ -30,7 +31,6 @@ CRITICAL_RISK = (
     "observe_browser_session", "extract_browser_session", "close_browser_session", "get_artifact", "cleanup_artifacts",
 )
 RISK = {"low": LOW_RISK, "medium": MEDIUM_RISK, "high": HIGH_RISK, "critical": CRITICAL_RISK}
-RETRYABLE = ("timeout", "rate-limit", "session-expired", "domain-unreachable", "job-timeout")
 OK_PREFIX = "__OK__:\n\n"
 
 
