@@ -1,3 +1,5 @@
+import duckdb
+
 from webloom.functions import html
 from webloom.operators import crawl
 from webloom.plans import catalogue
@@ -19,6 +21,28 @@ def test_select_and_adapt():
     assert html.adapt("two\nlines") == ("plain", "two\nlines")
 
 
+def test_selected_as_the_page_spells_it():
+    page = """<article>\n<H1 title="a&amp;b">x &amp;&am<!-- c --> <b>&quot;y</H1>\n<p>1<p>2<br/>&copy;</p><i>3</article><p>4"""
+    assert html.select(page, ["article > h1"])[0] == """<H1 title="a&amp;b">x &amp;&am<!-- c --> <b>&quot;y</H1>"""
+    assert html.select(page, ["p"])[0] == "<p>1</p>\n<p>2<br/>&copy;</p>\n<p>4</p>"
+    assert html.select(page, ["b", "i", "br"])[0] == "<b>&quot;y</b>\n<i>3</i>\n<br/>"
+    assert html.select(page, ["article"])[0] == page[: page.index("<p>4")]
+
+
+def test_select_reads_the_whole_page():
+    page = "<p>x</p>" * (html.MAX_CHARS // 8 + 1) + "<article><h1>late</h1></article>"
+    assert html.select(page, ["article > h1"]) == ("<h1>late</h1>", ["article > h1"], [])
+
+
+def test_page_selected_with_cut_references(spark, tmp_path):
+    heads = ["a &amp;&amp", "&quot;b&am", "c  &copy; \n d", "<b>e</b> &"]
+    spark.createDataFrame([(i, f"<body><article><h1>{h}</h1><p>x</p></article>") for i, h in enumerate(heads)], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = catalogue.queries()["page_selected"](spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    assert sorted(map(tuple, got.collect())) == sorted(con.sql(catalogue.oracle_sql()["page_selected"]).fetchall())
+
+
 def test_robust():
     assert html.to_markdown(None) == html.to_markdown("") == html.EMPTY
     assert html.to_markdown("<div>" * 10000 + "deep") == "deep"
