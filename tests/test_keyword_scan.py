@@ -75,3 +75,30 @@ def test_words_without_rules_and_no_rules(spark):
     assert [tuple(x) for x in keyword_scan.filtered(docs, none).collect()] == [(1, "x", "text", None)]
     always = spark.createDataFrame([("a", None, [""], None, True, "any", True, "global")], FIELDS)
     assert keyword_scan.filtered(docs, always).first().reason == "excluded_keyword: '' (rule=a)"
+
+
+def test_rules_that_repeat_words_make_one_part(spark):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abAB'") for _ in range(r.randint(1, 2)))
+    rules = [
+        (f"n{r.random()}", [word()] if i % 3 == 0 else None, [word()], [r.choice(["a.b", "(", "^b"])] if i % 5 == 0 else None, r.random() < 0.5, r.choice(["any", "title"]), True, r.choice(["global", "domain:x", "domain:y"]))
+        for i in range(2000)
+    ]
+    table = spark.createDataFrame([*rules, ("nulls", None, [None], None, None, None, True, None)], FIELDS)
+    assert len(list(keyword_scan.parts(table, 40_000))) == 1
+    rows = [(i, r.choice("xyz"), "".join(r.choice("abAB' #\n") for _ in range(r.choice([1, 2, 4])))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, domain string, text string")
+    few = [x for x in rules if len(x[2][0]) == 2 and x[2][0][0] in "aB"]
+    for some, chars in ((rules, 40_000), (few, 40_000), (few, 1_000)):
+        got = {x.doc_id: x.reason for x in keyword_scan.filtered(docs, spark.createDataFrame(some, FIELDS), chars=chars).collect()}
+        assert got == {i: plain(t, d, some) for i, d, t in rows}
+
+
+def test_no_task_holds_two_parts(spark):
+    """Each part runs in tasks of its own, so no two scanners are held at once by a task."""
+    rules = spark.createDataFrame([(f"n{i}", None, [f"w{i}"], None, True, "any", True, "global") for i in range(6)], FIELDS)
+    docs = spark.createDataFrame([(i, "x", f"w{i % 8} w{i % 5}") for i in range(40)], "doc_id long, domain string, text string")
+    out = keyword_scan.filtered(docs, rules, chars=1)
+    assert {x.doc_id: x.reason for x in out.collect()} == {i: plain(f"w{i % 8} w{i % 5}", "x", [tuple(x) for x in rules.collect()]) for i in range(40)}
+    depth = [len(line) - len(line.lstrip(" :+-|*0123456789()")) for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in line]
+    assert len(depth) == 6 and len(set(depth)) == 1

@@ -1,9 +1,10 @@
 """Keyword rule sets of any size: automata of all words, read once a text.
 
 The words of many rules are put into Aho-Corasick automata, one for each pair of position and case; a text is read once by each
-that has words, and only regular expressions of rules before the first failing one are tried. Nothing is joined and no row
-carries rules. The rules travel in parts of at most PART_CHARS characters, each a broadcast of a checked size and one more pass
-over the texts, so a larger table takes more passes and never a larger task.
+that has words, and only regular expressions of rules before the first failing one are tried. No row carries rules. What an earlier
+rule of the scope decides alike goes before anything is sent (`decisive`). The rest travels in parts of at most PART_CHARS
+characters, each a broadcast of a checked size. One part takes one pass as the texts are read; more parts take passes of their
+own over a checkpoint of the texts, never two in one task, so a larger table takes more passes and never a larger task.
 
 rules: as in keyword_rules; `regex` is Python's here, and one that cannot be compiled never matches. A text meets the enabled
 rules of its domain by name, then the global ones by name; the first that fails gives the reason.
@@ -12,19 +13,24 @@ rules of its domain by name, then the global ones by name; the first that fails
 from __future__ import annotations
 
 import re
+import sys
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 from typing import NamedTuple
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
-#: Characters of rules that one broadcast holds at most (a single rule may be longer).
-PART_CHARS = 16_000_000
+from ..plans.lineage import cut
+
+#: Characters of rules that one broadcast holds at most, each string counting as STRING more (a single rule may be longer).
+#: A worker's automata take some 30 bytes for each.
+PART_CHARS, STRING = 2_000_000, 16
 GLOBAL, NONE = 1 << 62, (1 << 63) - 1
 
 
@@ -133,13 +139,29 @@ class Scanner:
         return None
 
 
+def decisive(rules: DataFrame) -> DataFrame:
+    """The enabled rules without what an earlier rule of the scope decides alike, in up to three rows each: by `step` words that exclude, words to include, expressions."""
+    same = ["scope", "match_position", "case_sensitive"]
+    own = [F.col("scope"), F.coalesce("match_position", F.lit("any")).alias("match_position"), F.coalesce("case_sensitive", F.lit(False)).alias("case_sensitive"), F.col("name")]
+    r = rules.filter("enabled AND scope IS NOT NULL").select(*own, *(F.array_compact(c).alias(c) if c != "exclude" else F.col(c) for c in ("include", "exclude", "regex")))
+    none = F.array().cast("array<string>")
+
+    first = r.select(*same, "name", F.posexplode("exclude").alias("place", "word")).filter("word IS NOT NULL").groupBy(*same, "word").agg(F.min(F.struct("name", "place")).alias("first"))
+    words = F.transform(F.array_sort(F.collect_list(F.struct("first.place", "word"))), lambda x: x["word"])
+    rows = first.groupBy(*same, F.col("first.name").alias("name")).agg(words.alias("exclude")).select(*same, "name", F.lit(0).alias("step"), none.alias("include"), "exclude", none.alias("regex"))
+    for step, c in ((1, "include"), (2, "regex")):
+        got = r.filter(F.size(c) > 0).groupBy(*same, F.array_sort(F.array_distinct(c)).alias("_all")).agg(F.min("name").alias("name"))
+        rows = rows.unionByName(got.select(*same, "name", F.lit(step).alias("step"), *((F.col("_all") if k == c else none).alias(k) for k in ("include", "exclude", "regex"))))
+    return rows
+
+
 def parts(rules: DataFrame, chars: int = PART_CHARS) -> Iterator[list[Rule]]:
-    """The enabled rules by scope and name, in lists of at most so many characters."""
+    """The decisive rules by scope and name, in lists of at most so many characters."""
     some, size = [], 0
-    ordered = rules.filter("enabled").select("scope", "name", "include", "exclude", "regex", "case_sensitive", "match_position").orderBy("scope", "name")
+    ordered = decisive(rules).orderBy("scope", "name", "step")
     for rank, r in enumerate(ordered.toLocalIterator(prefetchPartitions=True)):
-        rule = Rule(rank, r.scope, r.name, *(tuple(x or ()) for x in (r.include, r.exclude, r.regex)), bool(r.case_sensitive), r.match_position or "any")
-        n = sum(map(len, (*rule.include, *rule.exclude, *rule.regex, rule.name)))
+        rule = Rule(rank, sys.intern(r.scope), r.name, *map(tuple, (r.include, r.exclude, r.regex)), r.case_sensitive, sys.intern(r.match_position))
+        n = sum(len(x or "") + STRING for x in (*rule.include, *rule.exclude, *rule.regex, rule.name))
         if some and size + n > chars:
             yield some
             some, size = [], 0
@@ -151,32 +173,40 @@ def parts(rules: DataFrame, chars: int = PART_CHARS) -> Iterator[list[Rule]]:
 
 def filtered(docs: DataFrame, rules: DataFrame, text: str = "text", chars: int = PART_CHARS) -> DataFrame:
     """docs (domain, text, ...) with `reason`, null for those that pass the rules of their domain and the global ones; an empty text passes."""
-    columns = docs.columns
-    now = docs.withColumns({"_rank": F.lit(NONE).cast("long"), "reason": F.lit(None).cast("string")})
-    schema = StructType([*docs.schema.fields, StructField("_rank", LongType()), StructField("reason", StringType())])
-    for some in parts(rules, chars):
-        held = docs.sparkSession.sparkContext.broadcast(Scanner(some))
-        now = now.mapInArrow(_pass(held, text), schema)
-    return now.select(*columns, "reason")
+    held = [docs.sparkSession.sparkContext.broadcast(Scanner(some)) for some in parts(rules, chars)]
+    if not held:
+        return docs.withColumn("reason", F.lit(None).cast("string"))
+    if len(held) == 1:
+        return docs.mapInArrow(_reasons(held[0], text), StructType([*docs.schema.fields, StructField("reason", StringType())]))
+    kept = cut(docs.withColumn("_id", F.monotonically_increasing_id()))
+    asked = kept.select("_id", text, "domain")
+    found = reduce(DataFrame.unionAll, (asked.mapInArrow(_failures(part, text), "_id long, rank long, reason string") for part in held))
+    first = found.groupBy("_id").agg(F.min_by("reason", "rank").alias("reason"))
+    return kept.join(first, "_id", "left").select(*docs.columns, "reason")
+
+
+def _told(scanner: Scanner, batch: pa.RecordBatch, text: str) -> Iterator[tuple[int, str] | None]:
+    """(rank, reason) of each text of a batch; the rules of its domain come before the global ones."""
+    for said, domain in zip(batch.column(text).to_pylist(), batch.column("domain").to_pylist(), strict=True):
+        own = f"domain:{domain}"
+        found = scanner.first_failure(said, [own, "global"]) if said else None
+        yield found and (found[0] if scanner.by_rank[found[0]].scope == own else GLOBAL + found[0], found[1])
+
+
+def _reasons(held, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            reasons = [found and found[1] for found in _told(held.value, batch, text)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(reasons, pa.string())], names=[*batch.schema.names, "reason"])
+
+    return run
 
 
-def _pass(held, text: str):
+def _failures(held, text: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scanner = held.value
         for batch in batches:
-            ranks, reasons = [], []
-            columns = (batch.column(c).to_pylist() for c in (text, "domain", "_rank", "reason"))
-            for said, domain, rank, reason in zip(*columns, strict=True):
-                if said:
-                    own = f"domain:{domain}"
-                    found = scanner.first_failure(said, [own, "global"])
-                    # a rule of the domain comes before the global ones
-                    if found is not None:
-                        at = found[0] if scanner.by_rank[found[0]].scope == own else GLOBAL + found[0]
-                        rank, reason = min((rank, reason), (at, found[1]), key=lambda x: x[0])
-                ranks.append(rank)
-                reasons.append(reason)
-            n = batch.num_columns
-            yield pa.RecordBatch.from_arrays([*batch.columns[: n - 2], pa.array(ranks, pa.int64()), pa.array(reasons, pa.string())], names=batch.schema.names)
+            failed = [(i, *found) for i, found in zip(batch.column("_id").to_pylist(), _told(held.value, batch, text), strict=True) if found]
+            ids, ranks, reasons = zip(*failed, strict=True) if failed else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(ranks, pa.int64()), pa.array(reasons, pa.string())], names=["_id", "rank", "reason"])
 
     return run
