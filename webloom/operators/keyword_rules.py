@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from ..functions.expressions import let
 
 CHANGEABLE = ("include", "exclude", "regex", "case_sensitive", "match_position", "enabled", "scope", "notes")
+#: Characters of rules that are sent to every task at most, and tasks over which a domain's rows are dealt beyond that.
+SMALL_CHARS, SALTS = 4_000_000, 64
 FIELDS = ("name", "include", "exclude", "regex", "case_sensitive", "match_position")
 
 
@@ -27,11 +29,30 @@ def by_scope(rules: DataFrame) -> DataFrame:
 
 
 def for_domains(domains: DataFrame, rules: DataFrame) -> DataFrame:
-    """domains (domain, ...) with `rules`: those of the domain, then the global ones, each by name."""
+    """domains (domain, ...) with `rules`: those of the domain, then the global ones, each by name.
+
+    Rules of up to SMALL_CHARS characters go to every task, so that the rows stay where they are. More are joined by scope and
+    one of SALTS numbers that a row's values give it, so that the rows of one domain are dealt over many tasks.
+    """
     scopes, none = by_scope(rules), F.array().cast("array<struct<name: string, include: array<string>, exclude: array<string>, regex: array<string>, case_sensitive: boolean, match_position: string>>")
-    for scope, name in ((F.concat(F.lit("domain:"), F.col("domain")), "_own"), (F.lit("global"), "_all")):
-        domains = domains.join(scopes.select(F.col("scope").alias("_scope"), F.col("rules").alias(name)), scope == F.col("_scope"), "left").drop("_scope")
-    return domains.withColumn("rules", F.concat(F.coalesce("_own", none), F.coalesce("_all", none))).drop("_own", "_all")
+    own = scopes.select(F.col("scope").alias("_scope"), F.col("rules").alias("_own"))
+    scope = F.concat(F.lit("domain:"), F.col("domain"))
+    if _chars(rules) <= SMALL_CHARS:
+        domains = domains.join(F.broadcast(own), scope == F.col("_scope"), "left")
+    else:
+        hashed = [f.name for f in domains.schema.fields if "map<" not in f.dataType.simpleString()]
+        salted = own.withColumn("_n", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        domains = domains.withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.lit(SALTS)).cast("int"))
+        domains = domains.join(salted, (scope == F.col("_scope")) & (F.col("_salt") == F.col("_n")), "left").drop("_salt", "_n")
+    everywhere = scopes.filter("scope = 'global'").select(F.col("rules").alias("_all"))
+    return domains.drop("_scope").join(F.broadcast(everywhere), F.lit(True), "left").withColumn("rules", F.concat(F.coalesce("_own", none), F.coalesce("_all", none))).drop("_own", "_all")
+
+
+def _chars(rules: DataFrame) -> int:
+    """Characters of the enabled rules, each string counting as 16 more."""
+    length = lambda words: F.coalesce(F.aggregate(words, F.lit(0).cast("long"), lambda n, w: n + 16 + F.coalesce(F.char_length(w), F.lit(0))), F.lit(0))
+    total = length(F.array(F.col("name").cast("string"), "scope")) + length(F.col("include")) + length(F.col("exclude")) + length(F.col("regex"))
+    return rules.filter("enabled").agg(F.sum(total)).first()[0] or 0
 
 
 def _target(text: Column, position: Column) -> Column:
