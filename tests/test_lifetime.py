@@ -6,6 +6,7 @@ import time
 import uuid
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from webloom.streaming import lifetime, replay
@@ -115,3 +116,51 @@ def test_time_slices(spark, tmp_path, slices):
     assert back.count() == 50
     spans = sorted((r.low, r.high) for r in back.groupBy("file").agg(F.min("ts").alias("low"), F.max("ts").alias("high")).collect())
     assert len(spans) == slices and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_large_slices_have_many_files_and_stay_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(replay, "FILE_ROWS", 100, raising=False)
+    events = spark.range(2000).select(F.col("id"), (F.lit(1_700_000_000) + F.col("id") * 7 % 2000).cast("timestamp").alias("ts"))
+    files = replay.time_slices(events, f"{tmp_path}/s", 4)
+    assert files >= 4
+    back = spark.read.parquet(f"{tmp_path}/s/*").select(F.col("_metadata.file_path").alias("file"))
+    assert back.distinct().count() == 4 * files
+    seen = []
+    q = replay.replayed(spark, f"{tmp_path}/s", events.schema, files).writeStream.foreachBatch(lambda b, i: seen.append(b.agg(F.min("ts"), F.max("ts"), F.count("*")).first())).option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert len(seen) == 4 and sum(x[2] for x in seen) == 2000 and all(a[1] < b[0] for a, b in zip(seen, seen[1:]))
+
+
+class Told:
+    """A handle and a value state in one, which counts what is asked of them."""
+
+    def __init__(self):
+        self.value, self.timers, self.calls = None, set(), 0
+
+    def getValueState(self, *_):
+        return self
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name == "update":
+                self.value = given[0]
+            if name == "registerTimer":
+                self.timers.add(given[0])
+            if name == "deleteTimer":
+                self.timers.remove(given[0])
+            return {"get": self.value, "exists": self.value is not None, "listTimers": iter(sorted(self.timers))}.get(name)
+
+        return call
+
+
+def test_a_batch_of_a_request_asks_little_of_the_store():
+    row = Row("at", "id", "kind")
+    lease, told = lifetime.Leases(10.0, 2), Told()
+    lease.init(told)
+    batches = [([row(0.0, 1, "enqueue"), row(1.0, 2, "lease")], {11001}, 3), ([row(2.0, 3, "lease")], {11001}, 2), ([row(20.0, 4, "lease")], {30001}, 4), ([row(21.0, 5, "fetched")], set(), 3), ([row(22.0, 6, "lease")], set(), 2)]
+    for rows, timers, most in batches:
+        before = told.calls
+        list(lease.handleInputRows((1, "a"), iter(rows), None))
+        assert told.timers == timers and told.calls - before <= most
+    assert told.value[0] == "fetched" and told.value[4:] == (1, 5)

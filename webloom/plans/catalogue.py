@@ -742,9 +742,9 @@ def _replayed(spark: SparkSession, sf_dir: str, build, mode: str, slices: int =
     """The folder with the rows of a stream with timers over the stored events, taken in so many slices of time."""
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     events = t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    replay.time_slices(events, f"{base}/events", slices)
+    files = replay.time_slices(events, f"{base}/events", slices)
     with lifetime.rocksdb(spark):
-        audit.append_sink(build(replay.replayed(spark, f"{base}/events", events.schema)), f"{base}/rows", f"{base}/checkpoint", mode).awaitTermination()
+        audit.append_sink(build(replay.replayed(spark, f"{base}/events", events.schema, files)), f"{base}/rows", f"{base}/checkpoint", mode).awaitTermination()
     for done in ("events", "checkpoint"):
         remove_folder(spark, f"{base}/{done}")
     return f"{base}/rows"

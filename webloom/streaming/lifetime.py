@@ -33,9 +33,9 @@ def rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(PROVIDER, before)
 
 
-def _millis(seconds: float) -> int:
-    """The first whole millisecond after a time."""
-    return int(seconds * 1000) + 1
+def _millis(seconds: float | None) -> int | None:
+    """The first whole millisecond after a time; None: none."""
+    return None if seconds is None else int(seconds * 1000) + 1
 
 
 def _at() -> F.Column:
@@ -43,7 +43,7 @@ def _at() -> F.Column:
 
 
 class _Timed(StatefulProcessor):
-    """One timer a key, moved as its state moves."""
+    """One timer a key, moved as its state moves. Each call to the state is a message to the store, so a timer's time is told from the state."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -52,16 +52,13 @@ class _Timed(StatefulProcessor):
     def open(self, handle: StatefulProcessorHandle) -> None:
         raise NotImplementedError
 
-    def wake(self, at: float | None) -> None:
-        """The key's only timer from now on; None: none."""
-        due = None if at is None else _millis(at)
-        kept = False
-        for old in list(self.handle.listTimers()):
-            if old == due:
-                kept = True
-            else:
-                self.handle.deleteTimer(old)
-        if due is not None and not kept:
+    def wake(self, old: int | None, due: int | None) -> None:
+        """Moves the key's only timer, in milliseconds; None: none. One that has gone off is removed by the stream."""
+        if old == due:
+            return
+        if old is not None:
+            self.handle.deleteTimer(old)
+        if due is not None:
             self.handle.registerTimer(due)
 
     def close(self) -> None:
@@ -81,15 +78,19 @@ class Leases(_Timed):
 
     def _told(self, key: tuple, now: tuple, expired: int, version: int) -> Row:
         self.state.update((*now, expired, version))
-        self.wake(now[2] if now[0] == "in_progress" else None)
         return Row(job_id=key[0], url=key[1], status=now[0], retry_count=now[1], n_expired=expired, version=version)
 
+    def _due(self, now: tuple) -> int | None:
+        return _millis(now[2]) if now[0] == "in_progress" else None
+
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        *now, expired, version = self.state.get() if self.state.exists() else ("none", 0, 0.0, 0.0, 0, 0)
+        *now, expired, version = self.state.get() or ("none", 0, 0.0, 0.0, 0, 0)
         now = tuple(now)
+        old = self._due(now)
         for at, _, kind in sorted((r.at, r.id, r.kind) for r in rows):
             expired += now[0] == "in_progress" and now[2] < at
             now = move(now, kind, at, self.lease_seconds, self.max_retries)
+        self.wake(old, self._due(now))
         yield self._told(tuple(key), now, expired, version + 1)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
@@ -117,13 +118,15 @@ class FirstWithin(_Timed):
         self.state = handle.getValueState("seen", "at double")
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
-        seen = self.state.get()[0] if self.state.exists() else None
+        held = self.state.get()
+        before = seen = held[0] if held else None
         for r in sorted(rows, key=lambda r: (r._at, r._id)):
             if seen is None or r._at - seen > self.ttl:
                 seen = r._at
                 yield Row(**{c: r[c] for c in self.columns})
-        self.state.update((seen,))
-        self.wake(seen + self.ttl)
+        if seen != before:
+            self.state.update((seen,))
+            self.wake(None if before is None else _millis(before + self.ttl), _millis(seen + self.ttl))
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         self.state.clear()
@@ -161,7 +164,7 @@ class Cache(_Timed):
                 self.entries.removeKey((name,))
             else:
                 ends.append(at + self.ttl)
-        self.wake(min(ends, default=None))
+        self.wake(next(iter(list(self.handle.listTimers())), None), _millis(min(ends, default=None)))
 
     def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         for r in sorted(rows, key=lambda r: (r.at, r.id)):
